@@ -1,0 +1,38 @@
+"""Joined cells: many ids in one text field, as the tabular formats want them.
+
+A cell holds its whole group, so its size must be bounded. Ids are spread over
+``parts`` by hash; with one part (up to ``IDS_PER_CELL`` ids in the input) a
+row is exactly one cell, with more the rows carry a ``part`` number and the
+cells of a key together hold all its ids. The long form, one row per id, is
+always available from the operators and needs no parts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+IDS_PER_CELL = 1_000_000
+
+
+def parts_for(n_ids: int) -> int:
+    """Number of parts that keeps every cell within its bound."""
+    return max(1, -(-n_ids // IDS_PER_CELL))
+
+
+def with_part(df: DataFrame, id_col: str, parts: int) -> tuple[DataFrame, list[str]]:
+    """Add ``part`` when more than one is needed; also return the extra key."""
+    if parts == 1:
+        return df, []
+    return df.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")), ["part"]
+
+
+def sorted_cell(ids: Column, sep: str = ";") -> Column:
+    """Distinct ids in sorted order; an empty cell when there are none."""
+    return F.array_join(F.array_sort(F.collect_set(ids)), sep)
+
+
+def ordered_cell(order: Column, value: Column, sep: str = ";") -> Column:
+    """Values with repeats in the given order."""
+    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
+    return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)
