@@ -46,12 +46,13 @@ def record_stream(records: DataFrame) -> DataFrame:
 
 
 def keyed_sequences(records: DataFrame) -> DataFrame:
-    """One cleaned sequence per id: its last non-empty one.
+    """One cleaned sequence per id (and ``side``): its last non-empty one.
 
     ``rec_idx`` is the position where the id appeared first. The partial
     aggregation reduces a repeated id before the shuffle.
     """
-    return (record_stream(records).groupBy("id")
+    keys = [c for c in ("side", "id") if c in records.columns]
+    return (record_stream(records).groupBy(*keys)
             .agg(F.max_by("seq", "rec_idx").alias("seq"),
                  F.min("rec_idx").alias("rec_idx"),
                  F.count("*").alias("n_records")))
@@ -63,25 +64,27 @@ def shared_ids(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def windows(sequences: DataFrame, ks: Sequence[int], skip_ambiguous: bool = True) -> DataFrame:
-    """(k, kmer, id): the distinct windows of every row for all ``ks``."""
+    """(k, kmer, id[, side]): the distinct windows of every row for all ``ks``."""
     for k in ks:
         if k < 1:
             raise ValueError(f"k must be >= 1, got {k}")
+    carry = [c for c in ("id", "side") if c in sequences.columns]
+    rows = sequences.select("seq", *carry)
     if len(ks) == 1:
-        k_col = F.lit(ks[0])
-        rows = sequences.select("id", "seq")
-        return rows.select(k_col.alias("k"), F.explode(win.distinct_kmers(F.col("seq"), ks[0], skip_ambiguous)).alias("kmer"), "id")
-    rows = sequences.select("id", "seq", F.explode(F.array(*map(F.lit, ks))).alias("k"))
-    return rows.select("k", F.explode(win.distinct_kmers(F.col("seq"), F.col("k"), skip_ambiguous)).alias("kmer"), "id")
+        k, rows = ks[0], rows.withColumn("k", F.lit(ks[0]))
+    else:
+        k, rows = F.col("k"), rows.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    kmer = F.explode(win.distinct_kmers(F.col("seq"), k, skip_ambiguous)).alias("kmer")
+    return rows.select("k", kmer, *carry)
 
 
-def tagged_windows(sources: dict[int, DataFrame], ks: Sequence[int],
+def tagged_windows(sequences: DataFrame, ks: Sequence[int], reference: DataFrame | None = None,
                    skip_ambiguous: bool = True) -> DataFrame:
-    """Windows of several sources with a ``side`` column."""
-    tagged = [windows(df, ks, skip_ambiguous).withColumn("side", F.lit(side)) for side, df in sources.items()]
-    out = tagged[0]
-    for df in tagged[1:]:
-        out = out.unionByName(df)
+    """Windows of sided sequences, and of a reference as side 0."""
+    out = windows(sequences, ks, skip_ambiguous)
+    if reference is not None:
+        other = windows(reference.select("id", "seq"), ks, skip_ambiguous)
+        out = out.unionByName(other.withColumn("side", F.lit(REFERENCE)))
     return out
 
 

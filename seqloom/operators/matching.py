@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
@@ -75,3 +75,8 @@ def ungapped_hits(peptides: DataFrame, proteins: DataFrame, matches: DataFrame)
     differ = F.filter(letters, lambda i: F.substring("qseq", i, F.lit(1)) != F.substring("sseq", i, F.lit(1)))
     return (rows.withColumn("mismatch", F.size(differ))
             .withColumn("pident", 100.0 * (F.col("length") - F.col("mismatch")) / F.col("length")))
+
+
+def has_protein(orf: Column) -> Column:
+    """An isoform with a sequence; tested before stop marks are removed."""
+    return (orf != "") & (orf != tx.NOT_AVAILABLE)

@@ -16,15 +16,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute narrow rows before a step that multiplies them.
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table in few files more tasks before a step that multiplies it.
 
-    A table in few files has few input tasks; a round-robin exchange of the
-    unexpanded rows lets all cores take part in the expansion.
+    A large table already has a task per split and is left as it is.
     """
-    spark = df.sparkSession
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(target, spark.sparkContext.defaultParallelism), *keys)
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(2 * wanted)
 
 
 def residues(c: Column) -> Column:
@@ -33,10 +31,11 @@ def residues(c: Column) -> Column:
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_idx, id, source, seq): documents as FASTA records."""
+    """(rec_idx, id, side, seq): documents as FASTA records of two files."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    side = F.when(F.col("source").isin("src0", "src1"), 1).otherwise(2)
     return spread(docs).select(F.col("doc_id").alias("rec_idx"), F.col("doc_id").cast("string").alias("id"),
-                               "source", residues(F.col("text")).alias("seq"))
+                               side.alias("side"), residues(F.col("text")).alias("seq"))
 
 
 def reference_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +46,12 @@ def reference_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_idx, id, source, seq): turns as records; the id is the conversation,
-    so it repeats within a role and its last turn counts."""
+    """(rec_idx, id, side, seq): turns as records of one file per role. The id
+    is the conversation, so it repeats within a role and its last turn counts."""
     turns = load(spark, sf_dir, "conversations")
+    side = F.when(F.col("role") == "user", 1).otherwise(2)
     return spread(turns).select((F.col("conv_id") * 10000 + F.col("turn")).alias("rec_idx"),
-                                F.col("conv_id").cast("string").alias("id"), F.col("role").alias("source"),
+                                F.col("conv_id").cast("string").alias("id"), side.alias("side"),
                                 residues(F.col("text")).alias("seq"))
 
 
@@ -130,3 +130,24 @@ def alignment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("qseq").alias("query_id"), F.concat_ws("_", "role", "sseq").alias("subject_id"),
                        (100.0 * (F.col("length") - F.col("mismatch")) / F.col("length")).alias("pident"),
                        "length", "mismatch", "qseq", "sseq", F.lit(0.001).alias("evalue"), F.lit(30.0).alias("bitscore"))
+
+
+def modified_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, sequence): event types with their properties as modifications."""
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    name = F.upper("event_type")
+    sequence = F.concat(F.lit(" "), F.expr("left(upper(event_type), 1)"), F.lit("["), "props", F.lit("]"),
+                        F.expr("substring(upper(event_type), 2)"), F.lit("[UNIMOD:"), F.col("event_id").cast("string"),
+                        F.lit("]"))
+    return e.select("event_id", F.when(name == "ERROR", F.lit("[only a tag]")).otherwise(sequence).alias("sequence"))
+
+
+def isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(idx, isoform, ORF_seq): turns as isoforms; a fifth lacks a sequence,
+    the others end in none to two stop marks."""
+    turns = load(spark, sf_dir, "conversations")
+    seq = residues(F.col("text"))
+    orf = F.when(F.length(seq) % 5 == 0, F.lit("NA")).otherwise(
+        F.concat(seq, F.expr("repeat('*', cast(turn % 3 as int))")))
+    return turns.select((F.col("conv_id") * 10000 + F.col("turn")).alias("idx"),
+                        F.concat_ws(".", "conv_id", "turn").alias("isoform"), orf.alias("ORF_seq"))
