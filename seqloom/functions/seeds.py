@@ -19,15 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Length classes: a pattern uses the largest one that fits it.
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 
-_STEP = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+_STEP = 1 << 17  # bytes hashed at a time, so that arrays stay in cache
+_BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -36,15 +36,6 @@ def seed_length(m: int) -> int:
     return {12: 10, 16: 12, 32: 20}.get(m, min(m, 32))
 
 
-def length_class(c: Column) -> Column:
-    """Class of a text as an integer column; null for empty text."""
-    size = F.octet_length(c)
-    out = F.when(size >= CLASSES[-1], F.lit(CLASSES[-1]))
-    for m in reversed(CLASSES[:-1]):
-        out = out.when(size >= m, F.lit(m))
-    return out
-
-
 class _Powers:
     """Powers of the hash base and of its inverse, grown on demand per worker."""
 
@@ -62,30 +53,54 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def _window_hashes(data: np.ndarray, s: int, salt: int) -> np.ndarray:
-    """Hash of every ``s``-byte window from one prefix sum."""
-    n = len(data)
-    up, down = _Powers.upto(n)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=prefix[1:])
-    h = (prefix[s:] - prefix[:-s]) * down[: n - s + 1] + np.uint64(salt)
-    h ^= h >> np.uint64(31)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
     h *= _MIX
     h ^= h >> np.uint64(29)
     return h
 
 
-def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each run of ``w`` values, in linear time."""
-    if w == 1:
-        return h
-    n = len(h)
-    blocks = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    blocks[:n] = h
-    blocks = blocks.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _Powers.upto(len(data))[0], out=sums[1:])
+    return sums
+
+
+def _window_hashes(sums: np.ndarray, s: int) -> np.ndarray:
+    """Hash of every ``s``-byte window, from prefix sums."""
+    n = len(sums) - s
+    return _mixed((sums[s:] - sums[:-s]) * _Powers.upto(len(sums))[1][:n])
+
+
+def _sliding_mins(h: np.ndarray, widths: list[int]) -> Iterator[np.ndarray]:
+    """Minimum of each run of ``w`` values for ascending widths.
+
+    Runs of a power of two are doubled; two overlapping ones cover any width.
+    """
+    size, low = 1, h
+    for w in widths:
+        while size * 2 <= w:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        yield low if w == size else np.minimum(low[: len(h) - w + 1], low[w - size :])
+
+
+class SeedSet:
+    """Sorted seeds behind a table of their low bits that rejects most others."""
+
+    def __init__(self, seeds: np.ndarray):
+        self.seeds = np.unique(seeds)
+        bits = min(max(16, int(len(self.seeds) * 16).bit_length()), 26)
+        self.mask = np.int64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self.seeds & self.mask] = True
+
+    def contains(self, seed: np.ndarray) -> np.ndarray:
+        out = self.table[seed & self.mask]
+        maybe = np.flatnonzero(out)
+        at = np.searchsorted(self.seeds, seed[maybe])
+        out[maybe] = self.seeds[np.minimum(at, len(self.seeds) - 1)] == seed[maybe]
+        return out
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,34 +112,42 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _seeds_of_class(data: np.ndarray, offsets: np.ndarray, m: int,
-                    keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, seed) pairs of class ``m``, each once."""
-    s = seed_length(m)
+def _seeds(data: np.ndarray, offsets: np.ndarray, classes: list[int],
+           keep: SeedSet | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per class the (row, seed) pairs, each once."""
     starts, ends, total = offsets[:-1], offsets[1:], int(offsets[-1])
-    rows, seeds = [], []
-    for lo in range(0, total - m + 1, _STEP):
-        piece = data[lo : lo + _STEP + m - 1]
-        if len(piece) < m:
-            break
-        low = _sliding_min(_window_hashes(piece, s, m * 0x5851F42D4C957F2D % (1 << 64)), m - s + 1)
-        fresh = np.ones(len(low), bool)
-        fresh[1:] = low[1:] != low[:-1]
-        first, last = np.searchsorted(starts, [lo, lo + len(low)])
-        fresh[starts[first:last] - lo] = True
-        at = np.flatnonzero(fresh)
-        seed = low[at].view(np.int64)
-        if keep is not None:
-            found = np.searchsorted(keep, seed)
-            hit = keep[np.minimum(found, len(keep) - 1)] == seed
-            at, seed = at[hit], seed[hit]
-        row = np.searchsorted(ends, at + lo, side="right")
-        inside = at + lo + m <= ends[row]
-        rows.append(row[inside])
-        seeds.append(seed[inside])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, seed = np.concatenate(rows), np.concatenate(seeds)
+    found: dict[int, list] = {m: [] for m in classes}
+    same_length: dict[int, list[int]] = {}
+    for m in classes:
+        same_length.setdefault(seed_length(m), []).append(m)
+    for lo in range(0, total, _STEP):
+        sums = _prefix_sums(data[lo : lo + _STEP + classes[-1] - 1])
+        for s, members in same_length.items():
+            members = [m for m in members if m < len(sums)]
+            if not members:
+                continue
+            hashes = _window_hashes(sums, s)
+            for m, low in zip(members, _sliding_mins(hashes, [m - s + 1 for m in members])):
+                low = low[:_STEP]
+                fresh = np.ones(len(low), bool)
+                fresh[1:] = low[1:] != low[:-1]
+                first, last = np.searchsorted(starts, [lo, lo + len(low)])
+                fresh[starts[first:last] - lo] = True
+                at = np.flatnonzero(fresh)
+                seed = _mixed(low[at] + np.uint64(m)).view(np.int64)
+                if keep is not None:
+                    hit = keep.contains(seed)
+                    at, seed = at[hit], seed[hit]
+                at = at + lo
+                row = np.searchsorted(ends, at, side="right")
+                inside = at + m <= ends[row]
+                found[m].append((row[inside], seed[inside]))
+    return {m: _each_once(pairs) for m, pairs in found.items() if pairs}
+
+
+def _each_once(pairs: list) -> tuple[np.ndarray, np.ndarray]:
+    row = np.concatenate([p[0] for p in pairs])
+    seed = np.concatenate([p[1] for p in pairs])
     order = np.lexsort((seed, row))
     row, seed = row[order], seed[order]
     new = np.ones(len(row), bool)
@@ -134,41 +157,43 @@ def _seeds_of_class(data: np.ndarray, offsets: np.ndarray, m: int,
 
 def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
                own_class: bool, keep=None) -> DataFrame:
-    """One row per (row of ``df``, seed) with the ``carry`` columns.
+    """(carry..., m, seed): one row per row of ``df``, class and seed.
 
     ``own_class`` takes the seeds of a row as a pattern, else those of all
-    ``classes`` that fit it as a text. ``keep`` is a broadcast sorted array;
-    other seeds are dropped where they arise.
+    ``classes`` (ascending) that fit it as a text. ``keep`` is a broadcast
+    :class:`SeedSet`; other seeds are dropped where they arise.
     """
     edges = np.array(CLASSES)
 
+    def as_texts(column: pa.Array, wanted: SeedSet | None):
+        data, offsets = _buffers(column)
+        longest = int(np.diff(offsets).max(initial=0))
+        fitting = [m for m in classes if m <= longest]
+        return _seeds(data, offsets, fitting, wanted).items() if fitting else ()
+
+    def as_patterns(column: pa.Array, wanted: SeedSet | None):
+        sizes = np.diff(_buffers(column)[1])
+        own = edges[np.maximum(np.searchsorted(edges, sizes, side="right") - 1, 0)]
+        for m in classes:
+            mine = np.flatnonzero((own == m) & (sizes >= m))
+            if len(mine):
+                row, seed = _seeds(*_buffers(column.take(pa.array(mine))), [m], wanted)[m]
+                yield m, (mine[row], seed)
+
     def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = keep.value if keep is not None else None
         for batch in batches:
-            column = batch.column(0)
-            data, offsets = _buffers(column)
-            sizes = np.diff(offsets)
-            fit = edges[np.maximum(np.searchsorted(edges, sizes, side="right") - 1, 0)]
-            for m in classes:
-                chosen = np.flatnonzero((fit == m) & (sizes >= m) if own_class else sizes >= m)
-                if not len(chosen):
-                    continue
-                if len(chosen) < len(sizes):
-                    part_data, part_offsets = _buffers(column.take(pa.array(chosen)))
-                else:
-                    part_data, part_offsets = data, offsets
-                row, seed = _seeds_of_class(part_data, part_offsets, m, wanted)
+            for m, (row, seed) in (as_patterns if own_class else as_texts)(batch.column(0), wanted):
                 if len(row):
-                    at = pa.array(chosen[row])
+                    at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(i + 1).take(at) for i in range(len(carry))] + [pa.array(seed)],
-                        names=[*carry, "seed"])
-
-    fields = [T.StructField(f"c{i}", df.schema[name].dataType) for i, name in enumerate(carry)]
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(carry, fields)]
-                          + [T.StructField("seed", T.LongType())])
-    narrow = df.select(F.col(text).alias("_text"), *carry)
-    return narrow.mapInArrow(seed_rows, schema)
+                        [batch.column(i + 1).take(at) for i in range(len(carry))]
+                        + [pa.array(np.full(len(row), m, np.int32)), pa.array(seed)],
+                        names=[*carry, "m", "seed"])
+
+    schema = T.StructType([T.StructField(name, df.schema[name].dataType) for name in carry]
+                          + [T.StructField("m", T.IntegerType()), T.StructField("seed", T.LongType())])
+    return df.select(F.col(text).alias("_text"), *carry).mapInArrow(seed_rows, schema)
 
 
 # Workers need not have this package installed: ship the functions themselves.

@@ -16,14 +16,14 @@ NOT_AVAILABLE = "NA"
 NO_MATCH = "NO_MATCH"
 FASTA_WIDTH = 60
 
-# White space at either end, Unicode separators included; trim() alone would
-# only remove the space character.
-_EDGE_SPACE = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
+# White space of any kind; trim() alone would only remove the space character.
+WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(c: Column) -> Column:
     """Remove white space from both ends."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def fold_li(c: Column) -> Column:
@@ -70,33 +70,30 @@ def key_upper(c: Column) -> Column:
     return F.upper(strip(c))
 
 
-def _parse_tokens(c: Column) -> Column:
+def _parse_list(c: Column) -> Column:
     """Array of the tokens in a list literal; null when it does not parse.
 
-    Tuples and one quoted string are literals too. A trailing comma is legal
-    in the literal but not in JSON.
+    A trailing comma is legal in the literal but not in JSON.
     """
-    s = strip(c)
-    body = F.when(s.startswith("(") & s.endswith(")"),
-                  F.concat(F.lit("["), F.substring(s, F.lit(2), F.length(s) - 2), F.lit("]")))
-    body = body.when(s.startswith("["), s).otherwise(F.concat(F.lit("["), s, F.lit("]")))
-    body = F.regexp_replace(body, r",\s*\]$", "]")
+    body = F.regexp_replace(c, r",\s*\]$", "]")
     return F.from_json(body, "array<string>", {"allowSingleQuotes": "true"})
 
 
 def tokens_to_sequence(c: Column) -> Column:
     """Strict: join the cleaned tokens of a list literal; a bad literal fails.
 
-    A quoted string is a sequence of one-letter tokens, so brackets inside it
-    are not a modification and survive.
+    Tuples are literals too. A quoted string is a sequence of one-letter
+    tokens, so brackets inside it are not a modification and survive.
     """
-    tokens = _parse_tokens(c)
     s = strip(c)
-    joined = F.array_join(
-        F.when(s.startswith("[") | s.startswith("("), F.transform(tokens, strip_modifications))
-        .otherwise(tokens), "")
+    inner = F.concat(F.lit("["), F.substring(s, F.lit(2), F.length(s) - 2), F.lit("]"))
+    listed = F.when(s.startswith("("), inner).otherwise(s)
+    tokens = F.array_join(F.transform(_parse_list(listed), strip_modifications), "")
+    quoted = F.array_join(_parse_list(F.concat(F.lit("["), s, F.lit("]"))), "")
     bad = F.raise_error(F.concat(F.lit("not a token list: "), c)).cast("string")
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(tokens.isNull(), bad).otherwise(joined)
+    return (F.when(c.isNull(), F.lit(None).cast("string"))
+            .when(s.startswith("[") | s.startswith("("), F.coalesce(tokens, bad))
+            .otherwise(F.coalesce(quoted, bad)))
 
 
 def prediction_key(c: Column) -> Column:
@@ -106,9 +103,7 @@ def prediction_key(c: Column) -> Column:
     as it stands. Null stays null and therefore matches nothing.
     """
     s = strip(c)
-    tokens = F.from_json(F.regexp_replace(s, r",\s*\]$", "]"), "array<string>",
-                         {"allowSingleQuotes": "true"})
-    joined = F.when(s.startswith("["), F.coalesce(F.array_join(tokens, ""), s)).otherwise(s)
+    joined = F.when(s.startswith("["), F.coalesce(F.array_join(_parse_list(s), ""), s)).otherwise(s)
     return F.upper(strip(strip_modifications(joined)))
 
 

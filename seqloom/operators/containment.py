@@ -7,12 +7,11 @@ by its rarest seed only, and the few candidate pairs are then verified.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions.seeds import length_class, with_seeds
+from seqloom.functions.seeds import CLASSES, SeedSet, with_seeds
 from seqloom.session import materialize
 
 # Sizes up to which a side is sent to all tasks; both are counted first.
@@ -22,60 +21,55 @@ CANDIDATE_BYTES = 64 << 20
 FIRST_TRIES = 64
 
 
-def _classes(patterns: DataFrame, text: str) -> list[int]:
-    # At most one row per class.
-    rows = patterns.select(length_class(F.col(text)).alias("m")).distinct().collect()
-    return sorted(r.m for r in rows if r.m is not None)
-
-
-def _small(df: DataFrame, size: Column) -> DataFrame:
-    """Hint a broadcast when the measured size allows it."""
-    total = df.agg(F.sum(size + 64)).first()[0] or 0
-    return F.broadcast(df) if total <= CANDIDATE_BYTES else df
-
-
 def seed_matches(patterns: DataFrame, pattern: str, pattern_key: str,
-                 texts: DataFrame, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+                 texts: DataFrame, text: str, carry: list[str],
+                 pattern_carry: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Look-up rows of the patterns and all text rows for seeds of patterns.
 
-    Returns ``probes`` (pattern_key, seed, spread): per pattern its rarest
-    seed and the number of texts having it, and ``hits`` (carry..., seed).
-    A pattern one of whose seeds occurs in no text is dropped.
+    Returns ``probes`` (pattern_key, pattern_carry..., size, seed, spread): per
+    pattern its length in bytes, its rarest seed and the number of texts having
+    it, and ``hits`` (carry..., seed). A pattern one of whose seeds occurs in
+    no text is dropped.
     """
     spark = patterns.sparkSession
-    classes = _classes(patterns, pattern)
-    own = materialize(with_seeds(patterns, pattern, [pattern_key], classes, own_class=True))
-    seeds = own.select("seed").distinct()
-    if own.count() <= SEED_FILTER_ROWS:
-        wanted = np.sort(np.array(seeds.toArrow().column("seed"), dtype=np.int64))
-        if len(wanted):
-            keep = spark.sparkContext.broadcast(wanted)
-            hits = with_seeds(texts, text, carry, classes, own_class=False, keep=keep)
-        else:
-            hits = with_seeds(texts, text, carry, [], own_class=False)
+    sized = patterns.withColumn("size", F.octet_length(pattern).cast("bigint"))
+    keys = [pattern_key, *pattern_carry, "size"]
+    own = materialize(with_seeds(sized, pattern, keys, list(CLASSES), own_class=True))
+    head = own.select("m", "seed").limit(SEED_FILTER_ROWS + 1).toArrow()
+    if head.num_rows <= SEED_FILTER_ROWS:
+        classes = sorted(set(head.column("m").to_pylist()))
+        wanted = SeedSet(head.column("seed").to_numpy())
+        keep = spark.sparkContext.broadcast(wanted) if classes else None
+        hits = with_seeds(texts, text, carry, classes, own_class=False, keep=keep)
     else:
-        hits = with_seeds(texts, text, carry, classes, own_class=False).join(seeds, "seed", "left_semi")
+        classes = sorted(r.m for r in own.select("m").distinct().collect())  # at most all classes
+        hits = (with_seeds(texts, text, carry, classes, own_class=False)
+                .join(own.select("seed").distinct(), "seed", "left_semi"))
     hits = materialize(hits.select(*carry, "seed"))
     spread = hits.groupBy("seed").agg(F.count("*").alias("spread"))
     probes = (own.join(spread, "seed", "left")
-              .groupBy(pattern_key)
+              .groupBy(*keys)
               .agg(F.count("*").alias("n"), F.count("spread").alias("found"),
-                   F.min(F.struct("spread", "seed")).alias("rarest"))
-              .filter("n = found")
-              .select(pattern_key, "rarest.seed", "rarest.spread"))
-    return probes, hits
+                   F.min("spread").alias("spread"), F.min_by("seed", "spread").alias("seed"))
+              .filter("n = found").drop("n", "found"))
+    return materialize(probes), hits
 
 
 def _verify(pairs: DataFrame, patterns: DataFrame, pattern: str, pattern_key: str,
             texts: DataFrame, text: str, text_key: str) -> DataFrame:
-    """Keep the candidate pairs where the text really holds the pattern."""
-    known = set(pairs.columns)
+    """Keep the candidate pairs where the text really holds the pattern.
+
+    The candidates are counted first. When they and their patterns are few
+    they go to the texts, which then need no shuffle.
+    """
     pairs = materialize(pairs)
+    total = pairs.agg(F.sum(F.col("size") + 64)).first()[0] or 0
+    few = F.broadcast if total <= CANDIDATE_BYTES else (lambda df: df)
+    known = set(pairs.columns)
     if pattern not in known:
-        bare = patterns.select(pattern_key, pattern)
-        pairs = materialize(bare.join(_small(pairs, F.lit(64)), pattern_key))
+        pairs = patterns.select(pattern_key, pattern).join(few(pairs), pattern_key)
     if text not in known:
-        pairs = texts.select(text_key, text).join(_small(pairs, F.octet_length(pattern)), text_key)
+        pairs = texts.select(text_key, text).join(few(pairs), text_key)
     return pairs.filter(F.contains(text, pattern))
 
 
@@ -107,10 +101,7 @@ def first_container(patterns: DataFrame, pattern: str, pattern_key: str,
     give all pairs and no match is lost.
     """
     columns = list(dict.fromkeys([text_key, *scope, *order]))
-    probes, hits = seed_matches(patterns, pattern, pattern_key, texts, text, columns)
-    if pattern_carry:
-        probes = probes.join(patterns.select(pattern_key, *pattern_carry), pattern_key)
-    probes = materialize(probes)
+    probes, hits = seed_matches(patterns, pattern, pattern_key, texts, text, columns, pattern_carry)
     result_key = [pattern_key, *scope]
 
     def resolve(probe: DataFrame, hit: DataFrame, on: list[str]) -> DataFrame:

@@ -52,10 +52,13 @@ def keyed_sequences(records: DataFrame) -> DataFrame:
     aggregation reduces a repeated id before the shuffle.
     """
     keys = [c for c in ("side", "id") if c in records.columns]
-    return (record_stream(records).groupBy(*keys)
-            .agg(F.max_by("seq", "rec_idx").alias("seq"),
-                 F.min("rec_idx").alias("rec_idx"),
-                 F.count("*").alias("n_records")))
+    # Empty records are skipped inside the aggregation: as a filter their test
+    # would move to the scan and clean every text a second time there.
+    position = F.when(F.col("seq") != "", F.col("rec_idx"))
+    return (records.withColumn("seq", tx.clean_residues(F.col("seq"))).groupBy(*keys)
+            .agg(F.max_by("seq", position).alias("seq"), F.min(position).alias("rec_idx"),
+                 F.count(position).alias("n_records"))
+            .filter(F.col("n_records") > 0))
 
 
 def shared_ids(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -50,16 +50,18 @@ def metric_values(annotated: DataFrame, metrics: list[str], *carry: str) -> Data
             .select("v.metric", "status", *carry, "v.value").filter(F.col("value").isNotNull() & ~F.isnan("value")))
 
 
-def quartiles(values: DataFrame, keys: list[str], direct_values: int = DIRECT_VALUES) -> DataFrame:
-    """Exact quartiles with linear interpolation, whatever the group size.
+def count_values(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., value, n): copies of one value as one row."""
+    return values.groupBy(*keys, "value").agg(F.count("*").alias("n"))
 
-    Values are counted first, so copies of one value are one row. While a
-    group has more distinct values than fit one task, a histogram narrows each
-    wanted rank down to its bucket and the rows below are only counted. A few
-    passes reach any size, and no group is collected.
+
+def quartiles(counted: DataFrame, keys: list[str], direct_values: int = DIRECT_VALUES) -> DataFrame:
+    """Exact quartiles of counted values with linear interpolation.
+
+    While a group has more distinct values than fit one task, a histogram
+    narrows each wanted rank down to its bucket and the rows below are only
+    counted. A few passes reach any size, and no group is collected.
     """
-    counted = values.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    counted = materialize(counted)
     shares = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"))
                        for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
     sizes = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
@@ -108,10 +110,11 @@ def box_stats(values: DataFrame, keys: list[str] = ("metric", "status"),
     A whisker ends at the last value within reach of the box, or at the box.
     """
     keys = list(keys)
-    boxes = quartiles(values, keys, direct_values)
+    counted = materialize(count_values(values, keys))
+    boxes = quartiles(counted, keys, direct_values)
     reach = (F.col("q3") - F.col("q1")) * WHISKER_REACH
     v = F.col("value")
-    ends = (values.join(F.broadcast(boxes), keys)  # one row per group of the report
+    ends = (counted.drop("n").join(F.broadcast(boxes), keys)  # one row per group of the report
             .groupBy(*keys)
             .agg(F.min(F.when(v >= F.col("q1") - reach, v)).alias("low"),
                  F.max(F.when(v <= F.col("q3") + reach, v)).alias("high")))

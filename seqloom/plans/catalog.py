@@ -22,10 +22,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-LANGUAGES = ["de", "en", "es", "fr"]
-DOCUMENT_FILES = [f"docs_{lang}" for lang in LANGUAGES]
-TURN_FILES = ["turns_assistant", "turns_user"]
-
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -126,6 +122,11 @@ def _denovo(spark, sf_dir):
     return tb.turn_words(spark, sf_dir, F.concat(F.lit("turns_"), F.col("role")))
 
 
+def _labels(lists):
+    """Labels of the lists; one per input file."""
+    return sorted(r.label for r in lists.select("label").distinct().collect())
+
+
 @query
 def li_exact_overlap(spark, sf_dir):
     return ls.exact_pairs(_db(spark, sf_dir), _denovo(spark, sf_dir))
@@ -146,17 +147,19 @@ def overlap_summary(spark, sf_dir):
 @query
 def venn_counts(spark, sf_dir):
     lists = _db(spark, sf_dir).unionByName(_denovo(spark, sf_dir))
-    return ls.sort_venn(ls.venn_counts(lists, DOCUMENT_FILES + TURN_FILES))
+    return ls.sort_venn(ls.venn_counts(lists, _labels(lists)))
 
 
 @query
 def shared_norms(spark, sf_dir):
-    return ls.shared_norms(_db(spark, sf_dir), DOCUMENT_FILES)
+    lists = _db(spark, sf_dir)
+    return ls.shared_norms(lists, _labels(lists))
 
 
 @query
 def all_files_overlap(spark, sf_dir):
-    return ls.all_files_overlap(_db(spark, sf_dir), DOCUMENT_FILES)
+    lists = _db(spark, sf_dir)
+    return ls.all_files_overlap(lists, _labels(lists))
 
 
 @query

@@ -21,6 +21,10 @@ def build_session(app: str = "seqloom", master: str | None = None,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Rows multiply behind a shuffle here (windows, seeds), so merged
+        # partitions are kept well below the usual 64 MB.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
         **(conf or {}),

@@ -27,7 +27,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def residues(c: Column) -> Column:
     """Letters of a text as a sequence."""
-    return F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
+    return F.upper(F.regexp_replace(c, "[^A-Za-z]+", ""))
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
