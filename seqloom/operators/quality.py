@@ -15,6 +15,8 @@ WHISKER_REACH = 1.5
 MAX_POINTS = 2000
 POINT_SEED = 42
 
+_POINT_SALTS = 16
+
 # Distinct values a group may have for its quantiles to be read off directly.
 DIRECT_VALUES = 1_000_000
 
@@ -62,43 +64,46 @@ def quartiles(counted: DataFrame, keys: list[str], direct_values: int = DIRECT_V
     narrows each wanted rank down to its bucket and the rows below are only
     counted. A few passes reach any size, and no group is collected.
     """
-    shares = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"))
-                       for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    quarters = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"))
+                         for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
     sizes = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
-    targets = (sizes.select(*keys, "total", F.explode(shares).alias("s"))
-               .select(*keys, "total", "s.name", ((F.col("total") - 1) * F.col("s.q")).alias("rank")))
-    # Three rows per group of the report.
-    band = counted.join(F.broadcast(targets), keys).withColumn("below", F.lit(0).cast("bigint"))
-    group = [*keys, "name"]
+    place = (F.col("total") - 1) * F.col("s.q")
+    wanted = (sizes.select(*keys, "total", F.explode(quarters).alias("s"))
+              .select(*keys, "total", "s.name", (place - F.floor(place)).alias("share"),
+                      F.explode(F.array(F.struct(F.lit("lower").alias("end"), F.floor(place).alias("rank")),
+                                        F.struct(F.lit("upper").alias("end"), F.ceil(place).alias("rank")))).alias("t"))
+              .select(*keys, "total", "name", "share", "t.*"))
+    # Six rows per group of the report.
+    band = counted.join(F.broadcast(wanted), keys).withColumn("below", F.lit(0).cast("bigint"))
+    group = [*keys, "name", "end"]
     widest = F.max("values").alias("widest")
     while (band.groupBy(*group).agg(F.count("*").alias("values")).agg(widest).first().widest or 0) > direct_values:
         band = materialize(_narrow(band, group))
     before = F.sum("n").over(W.partitionBy(*group).orderBy("value").rowsBetween(W.unboundedPreceding, -1))
-    placed = band.withColumn("start", F.col("below") + F.coalesce(before, F.lit(0)))
-    end = F.col("start") + F.col("n")
-    low, high = F.floor("rank"), F.ceil("rank")
-    at = lambda r: F.max(F.when((F.col("start") <= r) & (r < end), F.col("value")))
-    found = placed.groupBy(*group).agg(at(low).alias("lower"), at(high).alias("upper"),
-                                       F.first(F.col("rank") - low).alias("share"), F.first("total").alias("n"))
-    value = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("share")
-    pick = lambda name: F.max(F.when(F.col("name") == name, value)).alias(name)
-    return found.groupBy(*keys).agg(F.first("n").alias("n"), pick("q1"), pick("median"), pick("q3"))
+    start = F.col("below") + F.coalesce(before, F.lit(0))
+    found = (band.withColumn("start", start)
+             .filter((F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("n"))))
+    of = lambda name, end: F.max(F.when((F.col("name") == name) & (F.col("end") == end), F.col("value")))
+    share = lambda name: F.max(F.when(F.col("name") == name, F.col("share")))
+    quartile = lambda name: (
+        of(name, "lower") + (of(name, "upper") - of(name, "lower")) * share(name)).alias(name)
+    return found.groupBy(*keys).agg(F.max("total").alias("n"), *map(quartile, ("q1", "median", "q3")))
 
 
 def _narrow(band: DataFrame, group: list[str], buckets: int = 1024) -> DataFrame:
     """Keep the bucket of each wanted rank and count the rows below it."""
-    # All joined sides have at most ``buckets`` rows per group of the report.
+    # All joined sides have at most ``buckets`` rows per wanted rank.
     span = band.groupBy(*group).agg(F.min("value").alias("least"), F.max("value").alias("most"))
     width = F.col("most") - F.col("least")
-    bucket = F.least(F.floor((F.col("value") - F.col("least")) / width * buckets), F.lit(buckets - 1))
+    bucket = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("least")) / width * buckets),
+                                       F.lit(buckets - 1))).otherwise(F.lit(0))
     split = band.join(F.broadcast(span), group).withColumn("bucket", bucket).drop("least", "most")
     counts = split.groupBy(*group, "bucket").agg(F.sum("n").alias("rows"), F.first("below").alias("below"),
                                                  F.first("rank").alias("rank"))
     before = F.sum("rows").over(W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     start = F.col("below") + F.coalesce(before, F.lit(0))
-    hit = (counts.withColumn("start", start)
-           .filter((F.col("start") <= F.ceil("rank")) & (F.col("start") + F.col("rows") > F.floor("rank"))))
-    hit = (hit.withColumn("below", F.min("start").over(W.partitionBy(*group)))
+    hit = (counts.withColumn("below", start)
+           .filter((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("rows")))
            .select(*group, "bucket", "below"))
     return split.drop("below").join(F.broadcast(hit), [*group, "bucket"]).drop("bucket")
 
@@ -127,7 +132,15 @@ def sampled_points(values: DataFrame, id_col: str, keys: list[str] = ("metric",
                    limit: int = MAX_POINTS, seed: int = POINT_SEED) -> DataFrame:
     """At most ``limit`` points per group, the same ones in every run.
 
-    The rank limit is applied by the map tasks before the shuffle already.
+    Points are taken in hash order. Each group is first thinned in
+    ``_POINT_SALTS`` pieces whose rank limit is low enough for Spark to apply
+    it in the map tasks, before the shuffle.
     """
-    order = W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
-    return (values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("rank"))
+    hashed = values.withColumn("hash", F.xxhash64(F.lit(seed), id_col))
+    salt = F.pmod(F.xxhash64("hash"), F.lit(_POINT_SALTS))
+    piece = F.row_number().over(W.partitionBy(*keys, "salt").orderBy("hash", id_col))
+    whole = F.row_number().over(W.partitionBy(*keys).orderBy("hash", id_col))
+    per_piece = max(1, -(-8 * limit // _POINT_SALTS))
+    thinned = (hashed.withColumn("salt", salt).withColumn("rank", piece)
+               .filter(F.col("rank") <= per_piece).drop("rank", "salt"))
+    return thinned.withColumn("rank", whole).filter(F.col("rank") <= limit).drop("rank", "hash")

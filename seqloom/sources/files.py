@@ -57,7 +57,7 @@ def _read_lines(spark: SparkSession, paths: str | list[str], line_sep: str = "\n
     files = _input_files(spark, paths)
     # Row numbers are taken at the scan, before anything moves rows.
     raw = (spark.read.option("lineSep", line_sep).text(paths)
-           .select("value", _position().alias("rec_idx"), F.col("_metadata.file_path").alias("file")))
+           .select("value", _position().alias("rec_idx"), F.input_file_name().alias("file")))
     if len(files) <= 1:
         return raw
     numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, number bigint")
