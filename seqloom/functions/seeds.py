@@ -86,10 +86,10 @@ def _sliding_mins(h: np.ndarray, widths: list[int]) -> Iterator[np.ndarray]:
 
 
 class SeedSet:
-    """Sorted seeds behind a table of their low bits that rejects most others."""
+    """Seeds behind a table of their low bits that rejects most others."""
 
-    def __init__(self, seeds: np.ndarray):
-        self.seeds = np.unique(seeds)
+    def __init__(self, distinct: np.ndarray):
+        self.seeds = distinct
         bits = min(max(16, int(len(self.seeds) * 16).bit_length()), 26)
         self.mask = np.int64((1 << bits) - 1)
         self.table = np.zeros(1 << bits, bool)
@@ -161,7 +161,7 @@ def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
 
     ``own_class`` takes the seeds of a row as a pattern, else those of all
     ``classes`` (ascending) that fit it as a text. ``keep`` is a broadcast
-    :class:`SeedSet`; other seeds are dropped where they arise.
+    array of sorted distinct seeds; others are dropped where they arise.
     """
     edges = np.array(CLASSES)
 
@@ -181,7 +181,7 @@ def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
                 yield m, (mine[row], seed)
 
     def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = keep.value if keep is not None else None
+        wanted = SeedSet(keep.value) if keep is not None else None
         for batch in batches:
             for m, (row, seed) in (as_patterns if own_class else as_texts)(batch.column(0), wanted):
                 if len(row):

@@ -7,11 +7,12 @@ by its rarest seed only, and the few candidate pairs are then verified.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions.seeds import CLASSES, SeedSet, with_seeds
+from seqloom.functions.seeds import CLASSES, with_seeds
 from seqloom.session import materialize
 
 # Sizes up to which a side is sent to all tasks; both are counted first.
@@ -38,7 +39,7 @@ def seed_matches(patterns: DataFrame, pattern: str, pattern_key: str,
     head = own.select("m", "seed").limit(SEED_FILTER_ROWS + 1).toArrow()
     if head.num_rows <= SEED_FILTER_ROWS:
         classes = sorted(set(head.column("m").to_pylist()))
-        wanted = SeedSet(head.column("seed").to_numpy())
+        wanted = np.unique(head.column("seed").to_numpy())
         keep = spark.sparkContext.broadcast(wanted) if classes else None
         hits = with_seeds(texts, text, carry, classes, own_class=False, keep=keep)
     else:

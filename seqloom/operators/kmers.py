@@ -91,13 +91,16 @@ def tagged_windows(sequences: DataFrame, ks: Sequence[int], reference: DataFrame
     return out
 
 
-def _piles(tagged: DataFrame, label1: str, label2: str, keys: list[str], cells: list) -> DataFrame:
+def _piles(tagged: DataFrame, label1: str, label2: str, keys: list[str], cells: list,
+           reference: bool) -> DataFrame:
+    """Counts per k-mer. Its length tells k, so k is not shuffled."""
     if label1 == label2:
         raise ValueError("the two labels must be different")
     on1, on2 = F.col("side") == FILE1, F.col("side") == FILE2
+    seen = [F.bool_or(F.col("side") == REFERENCE).alias("ref_match")] if reference else []
     return (tagged.groupBy(*keys)
-            .agg(F.count_if(on1).alias("n1"), F.count_if(on2).alias("n2"),
-                 (F.count_if(F.col("side") == REFERENCE) > 0).alias("ref_match"), *cells))
+            .agg(F.count_if(on1).alias("n1"), F.count_if(on2).alias("n2"), *seen, *cells)
+            .withColumn("k", F.length("kmer")))
 
 
 def pile_counts_by_kmer(tagged: DataFrame, label1: str = "file1", label2: str = "file2",
@@ -108,7 +111,7 @@ def pile_counts_by_kmer(tagged: DataFrame, label1: str = "file1", label2: str =
     category in the same aggregation; k-mers only they have are dropped.
     """
     n1, n2 = F.col("n1"), F.col("n2")
-    out = (_piles(tagged, label1, label2, ["k", "kmer"], [])
+    out = (_piles(tagged, label1, label2, ["kmer"], [], reference)
            .filter((n1 > 0) | (n2 > 0))
            .withColumn("pile", tx.pile_label(n1, n2, label1, label2)))
     columns = ["k", "kmer", "pile", n1.alias(f"{label1}_count"), n2.alias(f"{label2}_count")]
@@ -131,13 +134,13 @@ def pile_table(tagged: DataFrame, label1: str = "file1", label2: str = "file2",
              sorted_cell(F.when(side == FILE2, F.col("id"))).alias(f"{label2}_transcripts")]
     if track_ids:
         cells.append(sorted_cell(F.when(side == REFERENCE, F.col("id"))).alias("ref_proteins"))
-    out = _piles(tagged, label1, label2, ["k", "kmer", *extra], cells)
+    out = _piles(tagged, label1, label2, ["kmer", *extra], cells, reference)
     if extra:
         # At most ``parts`` rows per k-mer.
-        per_kmer = W.partitionBy("k", "kmer")
-        out = (out.withColumn("n1", F.sum("n1").over(per_kmer))
-               .withColumn("n2", F.sum("n2").over(per_kmer))
-               .withColumn("ref_match", F.max("ref_match").over(per_kmer)))
+        per_kmer = W.partitionBy("kmer")
+        out = out.withColumn("n1", F.sum("n1").over(per_kmer)).withColumn("n2", F.sum("n2").over(per_kmer))
+        if reference:
+            out = out.withColumn("ref_match", F.max("ref_match").over(per_kmer))
     n1, n2 = F.col("n1"), F.col("n2")
     out = (out.filter((n1 > 0) | (n2 > 0))
            .withColumn("pile", tx.pile_label(n1, n2, label1, label2)))

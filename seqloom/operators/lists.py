@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import text as tx
 from seqloom.operators.cells import ordered_cell
 from seqloom.operators.containment import first_container
+from seqloom.session import materialize
 
 
 def normalized(peptides: DataFrame) -> DataFrame:
@@ -53,8 +54,10 @@ def substring_containers(db: DataFrame, denovo: DataFrame) -> DataFrame:
 
     Database peptides come in the order in which their norm first occurs.
     """
+    # Used three times: as texts, for exact norms and for the originals.
     firsts = (normalized(db).groupBy(F.col("label").alias("db_file"), F.col("norm").alias("db_norm"))
               .agg(F.min("idx").alias("first_idx"), F.min_by("peptide", "idx").alias("db_original")))
+    firsts = materialize(firsts)
     wanted = normalized(denovo).select("norm").distinct()
     found = first_container(wanted, "norm", "norm", firsts.select("db_norm", "db_file", "first_idx"),
                             "db_norm", "db_norm", order=["first_idx"], scope=["db_file"],

@@ -92,7 +92,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     Tokens are the letters of the event type, the first one modified; values
     of 0.5 and less are missing.
     """
-    e = load(spark, sf_dir, "events")
+    e = spread(load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
     letters = F.split(F.upper("event_type"), "")
     tokens = F.concat(F.lit("['"), F.element_at(letters, 1), F.lit("[UNIMOD:4]"),
                       F.concat(F.lit("', '"), F.array_join(F.slice(letters, 2, 100), "', '")), F.lit("']"))
