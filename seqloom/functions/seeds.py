@@ -188,12 +188,75 @@ def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(i + 1).take(at) for i in range(len(carry))]
-                        + [pa.array(np.full(len(row), m, np.int32)), pa.array(seed)],
+                        + [pa.array(np.full(len(row), m, np.int64)), pa.array(seed)],
                         names=[*carry, "m", "seed"])
 
-    schema = T.StructType([T.StructField(name, df.schema[name].dataType) for name in carry]
-                          + [T.StructField("m", T.IntegerType()), T.StructField("seed", T.LongType())])
-    return df.select(F.col(text).alias("_text"), *carry).mapInArrow(seed_rows, schema)
+    return df.select(F.col(text).alias("_text"), *carry).mapInArrow(
+        seed_rows, _with_longs(df, carry, "m", "seed"))
+
+
+def with_end_windows(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
+    """(carry..., m, first, last, gap): the windows at both ends of a pattern.
+
+    ``m`` is the largest power of two that fits, so the two windows, ``gap``
+    bytes apart, cover the whole pattern.
+    """
+    def end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _buffers(batch.column(0))
+            rows, out = [], []
+            for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                if hi > lo:
+                    m = 1 << ((hi - lo).bit_length() - 1)
+                    ends = [_window_hashes(_prefix_sums(data[at : at + m]), m)[0] for at in (lo, hi - m)]
+                    rows.append(i)
+                    out.append((m, *(int(h.view(np.int64)) for h in ends), hi - lo - m))
+            if rows:
+                columns = [pa.array(c, pa.int64()) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i + 1).take(pa.array(rows)) for i in range(len(carry))] + columns,
+                    names=[*carry, "m", "first", "last", "gap"])
+
+    return df.select(F.col(text).alias("_text"), *carry).mapInArrow(
+        end_rows, _with_longs(df, carry, "m", "first", "last", "gap"))
+
+
+def with_windows(df: DataFrame, text: str, carry: list[str], sizes: list[int], keep=None) -> DataFrame:
+    """(carry..., m, at, hash): all windows of the given sizes, in bytes.
+
+    ``keep`` is a broadcast array of sorted distinct hashes, as for seeds.
+    """
+    def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = SeedSet(keep.value) if keep is not None else None
+        for batch in batches:
+            data, offsets = _buffers(batch.column(0))
+            starts, ends = offsets[:-1], offsets[1:]
+            for lo in range(0, int(offsets[-1]), _STEP):
+                for m in sizes:
+                    sums = _prefix_sums(data[lo : lo + _STEP + m - 1])
+                    if len(sums) <= m:
+                        continue
+                    h = _window_hashes(sums, m).view(np.int64)
+                    at = np.arange(lo, lo + len(h))
+                    if wanted is not None:
+                        hit = wanted.contains(h)
+                        at, h = at[hit], h[hit]
+                    row = np.searchsorted(ends, at, side="right")
+                    inside = at + m <= ends[row]
+                    row, at, h = row[inside], at[inside], h[inside]
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(i + 1).take(pa.array(row)) for i in range(len(carry))]
+                            + [pa.array(np.full(len(row), m, np.int64)), pa.array(at - starts[row]), pa.array(h)],
+                            names=[*carry, "m", "at", "hash"])
+
+    return df.select(F.col(text).alias("_text"), *carry).mapInArrow(
+        window_rows, _with_longs(df, carry, "m", "at", "hash"))
+
+
+def _with_longs(df: DataFrame, carry: list[str], *names: str) -> T.StructType:
+    return T.StructType([T.StructField(c, df.schema[c].dataType) for c in carry]
+                        + [T.StructField(n, T.LongType()) for n in names])
 
 
 # Workers need not have this package installed: ship the functions themselves.

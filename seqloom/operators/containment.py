@@ -8,11 +8,11 @@ by its rarest seed only, and the few candidate pairs are then verified.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions.seeds import CLASSES, with_seeds
+from seqloom.functions.seeds import CLASSES, with_end_windows, with_seeds, with_windows
 from seqloom.session import materialize
 
 # Sizes up to which a side is sent to all tasks; both are counted first.
@@ -22,34 +22,37 @@ CANDIDATE_BYTES = 64 << 20
 FIRST_TRIES = 64
 
 
+def _filter_array(spark: SparkSession, hashes: DataFrame):
+    """Broadcast of the distinct values of one column, or None if too many."""
+    head = hashes.limit(SEED_FILTER_ROWS + 1).toArrow()
+    if head.num_rows > SEED_FILTER_ROWS:
+        return None
+    return spark.sparkContext.broadcast(np.unique(head.column(0).to_numpy()))
+
+
 def seed_matches(patterns: DataFrame, pattern: str, pattern_key: str,
-                 texts: DataFrame, text: str, carry: list[str],
-                 pattern_carry: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+                 texts: DataFrame, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """Look-up rows of the patterns and all text rows for seeds of patterns.
 
-    Returns ``probes`` (pattern_key, pattern_carry..., size, seed, spread): per
-    pattern its length in bytes, its rarest seed and the number of texts having
-    it, and ``hits`` (carry..., seed). A pattern one of whose seeds occurs in
-    no text is dropped.
+    Returns ``probes`` (pattern_key, size, seed, spread): per pattern its
+    length in bytes, its rarest seed and the number of texts having it, and
+    ``hits`` (carry..., text_size, seed). A pattern one of whose seeds occurs
+    in no text is dropped.
     """
     spark = patterns.sparkSession
     sized = patterns.withColumn("size", F.octet_length(pattern).cast("bigint"))
-    keys = [pattern_key, *pattern_carry, "size"]
-    own = materialize(with_seeds(sized, pattern, keys, list(CLASSES), own_class=True))
-    head = own.select("m", "seed").limit(SEED_FILTER_ROWS + 1).toArrow()
-    if head.num_rows <= SEED_FILTER_ROWS:
-        classes = sorted(set(head.column("m").to_pylist()))
-        wanted = np.unique(head.column("seed").to_numpy())
-        keep = spark.sparkContext.broadcast(wanted) if classes else None
-        hits = with_seeds(texts, text, carry, classes, own_class=False, keep=keep)
-    else:
-        classes = sorted(r.m for r in own.select("m").distinct().collect())  # at most all classes
-        hits = (with_seeds(texts, text, carry, classes, own_class=False)
-                .join(own.select("seed").distinct(), "seed", "left_semi"))
+    texts = texts.withColumn("text_size", F.octet_length(text).cast("bigint"))
+    carry = [*carry, "text_size"]
+    own = materialize(with_seeds(sized, pattern, [pattern_key, "size"], list(CLASSES), own_class=True))
+    classes = sorted(r.m for r in own.select("m").distinct().collect())  # at most all classes
+    keep = _filter_array(spark, own.select("seed"))
+    hits = with_seeds(texts, text, carry, classes, own_class=False, keep=keep)
+    if keep is None:
+        hits = hits.join(own.select("seed").distinct(), "seed", "left_semi")
     hits = materialize(hits.select(*carry, "seed"))
     spread = hits.groupBy("seed").agg(F.count("*").alias("spread"))
     probes = (own.join(spread, "seed", "left")
-              .groupBy(*keys)
+              .groupBy(pattern_key, "size")
               .agg(F.count("*").alias("n"), F.count("spread").alias("found"),
                    F.min("spread").alias("spread"), F.min_by("seed", "spread").alias("seed"))
               .filter("n = found").drop("n", "found"))
@@ -83,36 +86,36 @@ def containing_pairs(patterns: DataFrame, pattern: str, pattern_key: str,
     """
     columns = list(dict.fromkeys([text_key, *carry]))
     probes, hits = seed_matches(patterns, pattern, pattern_key, texts, text, columns)
-    pairs = probes.join(hits, "seed").drop("seed", "spread")
+    pairs = probes.join(hits, "seed").filter("text_size >= size").drop("seed", "spread", "text_size")
     return (_verify(pairs, patterns, pattern, pattern_key, texts, text, text_key)
             .select(pattern_key, *columns))
 
 
 def first_container(patterns: DataFrame, pattern: str, pattern_key: str,
                     texts: DataFrame, text: str, text_key: str, order: list[str],
-                    scope: list[str] = (), where: Column | None = None,
-                    pattern_carry: list[str] = ()) -> DataFrame:
-    """Per pattern (and ``scope`` of texts) the first text that holds it.
-
-    ``order`` lists text columns, smallest first. ``where`` further restricts
-    the pairs and may use ``order``, ``scope``, keys and ``pattern_carry``.
-
-    A hot seed is tried on its first texts in order; only patterns not found
-    there meet the rest, so a seed shared by a third of all texts does not
-    give all pairs and no match is lost.
+                    scope: list[str] = ()) -> DataFrame:
+    """Per pattern (and ``scope`` of texts) the first longer text that holds it.
+
+    ``order`` lists text columns, smallest first. A hot seed is tried on its
+    first texts in order only. Patterns not found there are looked up by the
+    windows at both their ends, which leaves true matches only, reduced to the
+    first one per pattern content by the map tasks. So a seed shared by a
+    third of all texts never gives all pairs, and no match is lost.
     """
+    scope = list(scope)
     columns = list(dict.fromkeys([text_key, *scope, *order]))
-    probes, hits = seed_matches(patterns, pattern, pattern_key, texts, text, columns, pattern_carry)
-    result_key = [pattern_key, *scope]
+    found = [c for c in columns if c not in scope]
+    result = [pattern_key, *scope, *found]
+    probes, hits = seed_matches(patterns, pattern, pattern_key, texts, text, columns)
+
+    def best(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        first = F.min(F.struct(*dict.fromkeys([*order, text_key]))).alias("best")
+        return pairs.groupBy(*keys).agg(first).select(*keys, *(F.col(f"best.{c}").alias(c) for c in found))
 
     def resolve(probe: DataFrame, hit: DataFrame, on: list[str]) -> DataFrame:
-        pairs = probe.join(hit, on).drop("seed", "spread")
-        if where is not None:
-            pairs = pairs.filter(where)
+        pairs = probe.join(hit, on).filter("text_size > size").drop("seed", "spread", "text_size")
         sure = _verify(pairs, patterns, pattern, pattern_key, texts, text, text_key)
-        found = list(dict.fromkeys([*order, text_key]))
-        return (sure.groupBy(*result_key).agg(F.min(F.struct(*found)).alias("best"))
-                .select(*result_key, *(F.col(f"best.{c}") for c in found)))
+        return best(sure, [pattern_key, *scope]).select(*result)
 
     hot = probes.filter(F.col("spread") > FIRST_TRIES)
     if hot.isEmpty():
@@ -120,7 +123,35 @@ def first_container(patterns: DataFrame, pattern: str, pattern_key: str,
     rank = F.row_number().over(W.partitionBy("seed", *scope).orderBy(*order))
     first = hits.withColumn("rank", rank).filter(F.col("rank") <= FIRST_TRIES).drop("rank")
     early = materialize(resolve(probes, first, ["seed"]))
-    if scope:
-        hot = hot.join(hits.select("seed", *scope).distinct(), "seed")
-    late = hot.join(early.select(*result_key), result_key, "left_anti")
-    return early.unionByName(resolve(late, hits, ["seed", *scope]))
+    # Only seeds with more texts than were tried leave anything open.
+    more = hits.groupBy("seed", *scope).agg(F.count("*").alias("n")).filter(F.col("n") > FIRST_TRIES).drop("n")
+    late = materialize(hot.join(more, "seed").join(early.select(pattern_key, *scope), [pattern_key, *scope], "left_anti"))
+    if late.isEmpty():
+        return early
+
+    spark = patterns.sparkSession
+    open_patterns = patterns.select(*dict.fromkeys([pattern_key, pattern])).join(
+        late.select(pattern_key).distinct(), pattern_key, "left_semi")
+    ends = materialize(with_end_windows(open_patterns, pattern, [pattern_key]))
+    sizes = sorted(r.m for r in ends.select("m").distinct().collect())  # one per power of two
+    wanted = ends.select(F.col("first").alias("hash")).unionByName(ends.select(F.col("last").alias("hash")))
+    keep = _filter_array(spark, wanted)
+    sized = texts.withColumn("text_size", F.octet_length(text).cast("bigint"))
+    windows = with_windows(sized, text, [*columns, "text_size"], sizes, keep)
+    windows = materialize(windows if keep is not None else windows.join(wanted.distinct(), "hash", "left_semi"))
+    starts = (windows.withColumnRenamed("hash", "first")
+              .join(ends.select("m", "first", "gap").distinct(), ["m", "first"])
+              .filter("text_size > m + gap").drop("text_size").withColumn("at", F.col("at") + F.col("gap")))
+    one_text = list(dict.fromkeys([text_key, *scope]))
+    whole = starts.join(windows.select(*one_text, "m", "at", F.col("hash").alias("last")), [*one_text, "m", "at"])
+    content = ["m", "first", "gap", "last"]
+    matched = (late.drop("seed", "spread").join(ends, pattern_key)
+               .join(best(whole, [*content, *scope]), [*content, *scope]).drop(*content))
+    matched = materialize(matched)
+    sure = materialize(_verify(matched, patterns, pattern, pattern_key, texts, text, text_key).select(*result))
+    done = early.unionByName(sure)
+    # Equal hashes of different windows: settle those patterns pair by pair.
+    doubtful = matched.select(pattern_key, *scope).join(sure, [pattern_key, *scope], "left_anti")
+    if doubtful.isEmpty():
+        return done
+    return done.unionByName(resolve(late.join(doubtful, [pattern_key, *scope], "left_semi"), hits, ["seed", *scope]))

@@ -36,13 +36,10 @@ def absorbed_sequences(unique: DataFrame) -> DataFrame:
     Empty sequences are neither absorbed nor absorbers.
     """
     bodies = unique.filter("length > 0")
-    patterns = bodies.select("rec_idx", "seq", F.col("length").alias("pattern_length"))
     texts = bodies.select(F.col("rec_idx").alias("absorber_idx"), F.col("seq").alias("text"),
                           (-F.col("length")).alias("shortness"))
-    return (first_container(patterns, "seq", "rec_idx", texts, "text", "absorber_idx",
-                            order=["shortness", "absorber_idx"],
-                            where=-F.col("shortness") > F.col("pattern_length"),
-                            pattern_carry=["pattern_length"])
+    return (first_container(bodies.select("rec_idx", "seq"), "seq", "rec_idx", texts, "text", "absorber_idx",
+                            order=["shortness", "absorber_idx"])
             .select("rec_idx", "absorber_idx"))
 
 

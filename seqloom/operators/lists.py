@@ -60,8 +60,7 @@ def substring_containers(db: DataFrame, denovo: DataFrame) -> DataFrame:
     firsts = materialize(firsts)
     wanted = normalized(denovo).select("norm").distinct()
     found = first_container(wanted, "norm", "norm", firsts.select("db_norm", "db_file", "first_idx"),
-                            "db_norm", "db_norm", order=["first_idx"], scope=["db_file"],
-                            where=F.col("norm") != F.col("db_norm"))
+                            "db_norm", "db_norm", order=["first_idx"], scope=["db_file"])
     exact = firsts.select(F.col("db_norm").alias("norm"), "db_file")
     return (found.join(exact, ["norm", "db_file"], "left_anti")
             .join(firsts.select("db_file", "db_norm", "db_original"), ["db_file", "db_norm"])

@@ -136,7 +136,7 @@ def sampled_points(values: DataFrame, id_col: str, keys: list[str] = ("metric",
     ``_POINT_SALTS`` pieces whose rank limit is low enough for Spark to apply
     it in the map tasks, before the shuffle.
     """
-    hashed = values.withColumn("hash", F.xxhash64(F.lit(seed), id_col))
+    hashed = values.withColumn("hash", F.md5(F.concat_ws("_", F.lit(str(seed)), F.col(id_col).cast("string"))))
     salt = F.pmod(F.xxhash64("hash"), F.lit(_POINT_SALTS))
     piece = F.row_number().over(W.partitionBy(*keys, "salt").orderBy("hash", id_col))
     whole = F.row_number().over(W.partitionBy(*keys).orderBy("hash", id_col))

@@ -244,4 +244,6 @@ ORACLE: dict[str, str] = {
       round(least(min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)), any_value(q1)), 6) AS whisker_low,
       round(greatest(max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)), any_value(q3)), 6) AS whisker_high
     FROM vals JOIN q USING (metric, status) GROUP BY 1, 2""",
+    "sampled_points": f"""WITH {PREDICTIONS} SELECT event_id, status, metric, value FROM vals
+    QUALIFY row_number() OVER (PARTITION BY metric, status ORDER BY md5('42_' || event_id), event_id) <= 2000""",
 }

@@ -91,7 +91,7 @@ def test_first_container_with_scopes(frame, seed_path, monkeypatch, tries):
     patterns = words(rng, 60, "AB", (1, 14))
     p = frame([(w,) for w in patterns], "p string")
     t = frame(texts, "file string, pos int, t string")
-    got = ct.first_container(p, "p", "p", t, "t", "t", order=["pos"], scope=["file"], where=F.col("p") != F.col("t"))
+    got = ct.first_container(p, "p", "p", t, "t", "t", order=["pos"], scope=["file"])
     want = {}
     for w in patterns:
         for file, pos, text in texts:
@@ -100,6 +100,34 @@ def test_first_container_with_scopes(frame, seed_path, monkeypatch, tries):
     assert {(r.p, r.file): (r.pos, r.t) for r in got.collect()} == want
 
 
+def test_equal_hashes_are_settled(frame, monkeypatch):
+    """Windows that hash alike must not change the result."""
+    monkeypatch.setattr(ct, "FIRST_TRIES", 1)
+    real = ct.with_windows, ct.with_end_windows
+    blur = lambda df, *names: df.withColumns({n: F.pmod(n, F.lit(3)) for n in names})
+    monkeypatch.setattr(ct, "with_windows", lambda d, t, c, s, keep=None: blur(real[0](d, t, c, s), "hash"))
+    monkeypatch.setattr(ct, "with_end_windows", lambda *a: blur(real[1](*a), "first", "last"))
+    rng = random.Random(5)
+    texts = words(rng, 80, "AB", (1, 25))
+    patterns = words(rng, 40, "AB", (1, 12))
+    got = ct.first_container(frame([(w,) for w in patterns], "p string"), "p", "p",
+                             frame(list(enumerate(texts)), "pos int, t string"), "t", "pos", order=["pos"])
+    want = {w: min(holders) for w in patterns if (holders := [i for i, t in enumerate(texts) if w in t and w != t])}
+    assert {r.p: r.pos for r in got.collect()} == want
+
+
+def test_windows_at_both_ends_cover_the_pattern(frame, monkeypatch):
+    monkeypatch.setattr(sd, "_STEP", 64)
+    rng = random.Random(4)
+    text = "".join(rng.choice("ACDé") for _ in range(300))
+    rows = frame([(1, text), (2, ""), (3, "A")], "i int, t string")
+    ends = {r.i: r for r in sd.with_end_windows(rows, "t", ["i"]).collect()}
+    size = len(text.encode())
+    assert set(ends) == {1, 3} and ends[1].m + ends[1].gap == size and ends[1].m * 2 > size
+    where = {r["hash"]: r.at for r in sd.with_windows(rows, "t", ["i"], [ends[1].m]).collect()}
+    assert where[ends[1].first] == 0 and where[ends[1]["last"]] == ends[1].gap
+
+
 def test_no_patterns_and_no_texts(frame):
     none = frame([], "p string")
     some = frame([("AC",)], "p string")
