@@ -20,6 +20,8 @@ SEED_FILTER_ROWS = 2_000_000
 CANDIDATE_BYTES = 64 << 20
 # Texts per seed that are tried before the rest of a hot seed is.
 FIRST_TRIES = 64
+# Texts per seed from which all its matches are found by content instead.
+HOT_TEXTS = 10_000
 
 
 def _filter_array(spark: SparkSession, hashes: DataFrame):
@@ -77,18 +79,61 @@ def _verify(pairs: DataFrame, patterns: DataFrame, pattern: str, pattern_key: st
     return pairs.filter(F.contains(text, pattern))
 
 
+_CONTENT = ["m", "first", "gap", "last"]
+
+
+def _end_window_matches(open_patterns: DataFrame, pattern: str, pattern_key: str, texts: DataFrame, text: str,
+                        text_columns: list[str], one_text: list[str],
+                        longer: bool) -> tuple[DataFrame, DataFrame]:
+    """Matches of patterns through the windows at both their ends.
+
+    Returns ``ends`` (pattern_key, content...) and ``whole`` (text columns,
+    content...), a row for each place where both windows stand at the right
+    distance. The places are found per content, not per pattern, so the work
+    is linear in the texts however many patterns share a passage.
+    """
+    ends = materialize(with_end_windows(open_patterns, pattern, [pattern_key]))
+    sizes = sorted(r.m for r in ends.select("m").distinct().collect())  # one per power of two
+    wanted = ends.select(F.col("first").alias("hash")).unionByName(ends.select(F.col("last").alias("hash")))
+    keep = _filter_array(texts.sparkSession, wanted)
+    sized = texts.withColumn("text_size", F.octet_length(text).cast("bigint"))
+    windows = with_windows(sized, text, [*text_columns, "text_size"], sizes, keep)
+    windows = materialize(windows if keep is not None else windows.join(wanted.distinct(), "hash", "left_semi"))
+    room = F.col("text_size") - F.col("m") - F.col("gap")
+    starts = (windows.withColumnRenamed("hash", "first")
+              .join(ends.select("m", "first", "gap").distinct(), ["m", "first"])
+              .filter(room > 0 if longer else room >= 0).drop("text_size")
+              .withColumn("at", F.col("at") + F.col("gap")))
+    second = windows.select(*one_text, "m", "at", F.col("hash").alias("last"))
+    return ends, starts.join(second, [*one_text, "m", "at"])
+
+
 def containing_pairs(patterns: DataFrame, pattern: str, pattern_key: str,
                      texts: DataFrame, text: str, text_key: str,
                      carry: list[str] = ()) -> DataFrame:
     """All (pattern_key, text_key, carry...) where the text holds the pattern.
 
-    Keys must be unique on their side; a key may be the text itself.
+    Keys must be unique on their side; a key may be the text itself. Patterns
+    whose seeds are all in very many texts go by their end windows, so only
+    true matches of theirs become pairs.
     """
     columns = list(dict.fromkeys([text_key, *carry]))
+    result = [pattern_key, *columns]
     probes, hits = seed_matches(patterns, pattern, pattern_key, texts, text, columns)
-    pairs = probes.join(hits, "seed").filter("text_size >= size").drop("seed", "spread", "text_size")
-    return (_verify(pairs, patterns, pattern, pattern_key, texts, text, text_key)
-            .select(pattern_key, *columns))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verify(pairs, patterns, pattern, pattern_key, texts, text, text_key).select(*result)
+
+    hot = F.col("spread") > HOT_TEXTS
+    pairs = probes.filter(~hot).join(hits, "seed").filter("text_size >= size").select(*result, "size")
+    often = probes.filter(hot).select(pattern_key, "size")
+    if often.isEmpty():
+        return verified(pairs)
+    bodies = patterns.select(*dict.fromkeys([pattern_key, pattern]))
+    ends, whole = _end_window_matches(bodies.join(often, pattern_key, "left_semi"), pattern, pattern_key,
+                                      texts, text, columns, [text_key], longer=False)
+    matched = ends.join(whole.select(*columns, *_CONTENT).distinct(), _CONTENT).join(often, pattern_key)
+    return verified(pairs.unionByName(matched.select(*result, "size")))
 
 
 def first_container(patterns: DataFrame, pattern: str, pattern_key: str,
@@ -105,7 +150,8 @@ def first_container(patterns: DataFrame, pattern: str, pattern_key: str,
     scope = list(scope)
     columns = list(dict.fromkeys([text_key, *scope, *order]))
     found = [c for c in columns if c not in scope]
-    result = [pattern_key, *scope, *found]
+    key = [pattern_key, *scope]
+    result = [*key, *found]
     probes, hits = seed_matches(patterns, pattern, pattern_key, texts, text, columns)
 
     def best(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,7 +161,7 @@ def first_container(patterns: DataFrame, pattern: str, pattern_key: str,
     def resolve(probe: DataFrame, hit: DataFrame, on: list[str]) -> DataFrame:
         pairs = probe.join(hit, on).filter("text_size > size").drop("seed", "spread", "text_size")
         sure = _verify(pairs, patterns, pattern, pattern_key, texts, text, text_key)
-        return best(sure, [pattern_key, *scope]).select(*result)
+        return best(sure, key).select(*result)
 
     hot = probes.filter(F.col("spread") > FIRST_TRIES)
     if hot.isEmpty():
@@ -125,33 +171,20 @@ def first_container(patterns: DataFrame, pattern: str, pattern_key: str,
     early = materialize(resolve(probes, first, ["seed"]))
     # Only seeds with more texts than were tried leave anything open.
     more = hits.groupBy("seed", *scope).agg(F.count("*").alias("n")).filter(F.col("n") > FIRST_TRIES).drop("n")
-    late = materialize(hot.join(more, "seed").join(early.select(pattern_key, *scope), [pattern_key, *scope], "left_anti"))
+    late = materialize(hot.join(more, "seed").join(early.select(*key), key, "left_anti"))
     if late.isEmpty():
         return early
-
-    spark = patterns.sparkSession
-    open_patterns = patterns.select(*dict.fromkeys([pattern_key, pattern])).join(
-        late.select(pattern_key).distinct(), pattern_key, "left_semi")
-    ends = materialize(with_end_windows(open_patterns, pattern, [pattern_key]))
-    sizes = sorted(r.m for r in ends.select("m").distinct().collect())  # one per power of two
-    wanted = ends.select(F.col("first").alias("hash")).unionByName(ends.select(F.col("last").alias("hash")))
-    keep = _filter_array(spark, wanted)
-    sized = texts.withColumn("text_size", F.octet_length(text).cast("bigint"))
-    windows = with_windows(sized, text, [*columns, "text_size"], sizes, keep)
-    windows = materialize(windows if keep is not None else windows.join(wanted.distinct(), "hash", "left_semi"))
-    starts = (windows.withColumnRenamed("hash", "first")
-              .join(ends.select("m", "first", "gap").distinct(), ["m", "first"])
-              .filter("text_size > m + gap").drop("text_size").withColumn("at", F.col("at") + F.col("gap")))
-    one_text = list(dict.fromkeys([text_key, *scope]))
-    whole = starts.join(windows.select(*one_text, "m", "at", F.col("hash").alias("last")), [*one_text, "m", "at"])
-    content = ["m", "first", "gap", "last"]
+    bodies = patterns.select(*dict.fromkeys([pattern_key, pattern]))
+    ends, whole = _end_window_matches(bodies.join(late.select(pattern_key).distinct(), pattern_key, "left_semi"),
+                                      pattern, pattern_key, texts, text, columns,
+                                      list(dict.fromkeys([text_key, *scope])), longer=True)
     matched = (late.drop("seed", "spread").join(ends, pattern_key)
-               .join(best(whole, [*content, *scope]), [*content, *scope]).drop(*content))
+               .join(best(whole, [*_CONTENT, *scope]), [*_CONTENT, *scope]).drop(*_CONTENT))
     matched = materialize(matched)
     sure = materialize(_verify(matched, patterns, pattern, pattern_key, texts, text, text_key).select(*result))
     done = early.unionByName(sure)
     # Equal hashes of different windows: settle those patterns pair by pair.
-    doubtful = matched.select(pattern_key, *scope).join(sure, [pattern_key, *scope], "left_anti")
+    doubtful = matched.select(*key).join(sure, key, "left_anti")
     if doubtful.isEmpty():
         return done
-    return done.unionByName(resolve(late.join(doubtful, [pattern_key, *scope], "left_semi"), hits, ["seed", *scope]))
+    return done.unionByName(resolve(late.join(doubtful, key, "left_semi"), hits, ["seed", *scope]))

@@ -116,7 +116,7 @@ def box_stats(values: DataFrame, keys: list[str] = ("metric", "status"),
     """
     keys = list(keys)
     counted = materialize(count_values(values, keys))
-    boxes = quartiles(counted, keys, direct_values)
+    boxes = materialize(quartiles(counted, keys, direct_values))
     reach = (F.col("q3") - F.col("q1")) * WHISKER_REACH
     v = F.col("value")
     ends = (counted.drop("n").join(F.broadcast(boxes), keys)  # one row per group of the report

@@ -79,6 +79,9 @@ def write_small_tsv(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"more than {max_rows} rows; use write_tsv")
+    if "://" in path:  # not a path of this machine
+        _tsv(df.coalesce(1)).csv(path)
+        return
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     cells = lambda values: "\t".join("" if v is None else str(v) for v in values) + "\n"
     with open(path, "w") as out:

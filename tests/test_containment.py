@@ -72,7 +72,9 @@ def seed_path(request, monkeypatch):
 
 
 @pytest.mark.parametrize("alphabet, sizes", [("AB", (1, 12)), ("ABCD", (1, 40)), ("AéB", (1, 30))])
-def test_all_pairs_equal_nested_loop(frame, seed_path, alphabet, sizes):
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_all_pairs_equal_nested_loop(frame, seed_path, monkeypatch, alphabet, sizes, hot):
+    monkeypatch.setattr(ct, "HOT_TEXTS", hot)
     rng = random.Random(str(alphabet))
     texts = words(rng, 120, alphabet, (1, 120))
     patterns = words(rng, 60, alphabet, sizes) + [t[3:3 + rng.randint(1, 90)] for t in texts[:60] if len(t) > 4]
