@@ -16,6 +16,7 @@ from seqloom.operators import matching as mt
 from seqloom.operators import ordinals as od
 from seqloom.operators import quality as ql
 from seqloom.operators.cells import parts_for
+from seqloom.session import materialize
 from seqloom.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,7 +180,7 @@ def list_to_fasta(spark, sf_dir):
 
 def _matches(spark, sf_dir):
     peptides = tb.flipped_items(spark, sf_dir)
-    proteins = mt.protein_index(tb.document_records(spark, sf_dir))
+    proteins = materialize(mt.protein_index(tb.document_records(spark, sf_dir)))  # read for seeds and to verify
     return peptides, proteins, mt.protein_matches(peptides, proteins)
 
 

@@ -25,6 +25,9 @@ def build_session(app: str = "seqloom", master: str | None = None,
         # partitions are kept well below the usual 64 MB.
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        # Keys are mostly distinct within a task: a small first-level map in
+        # front of the aggregation map would miss nearly always.
+        "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
         **(conf or {}),
