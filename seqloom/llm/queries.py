@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import sharding
+from seqloom.llm import packing, sharding, token_counts, token_files
+from seqloom.llm.encoding import vocabulary
+from seqloom.llm.storage import shared_path, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,3 +28,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_sampled_splitters(spark, sf_dir):
     return sharding.document_shards(documents(spark, sf_dir))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    histogram = store(token_counts.length_histogram(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")), "lengths")
+    return token_counts.limit_totals(histogram)
+
+
+@query
+def op10_token_files(spark, sf_dir):
+    return token_files.token_file_digest(documents(spark, sf_dir), shared_path(spark, "tokens"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op2_pattern_packing(spark, sf_dir):
+    return packing.document_packing(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
