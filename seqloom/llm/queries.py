@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import packing, sharding, token_counts, token_files
+from seqloom.llm import fingerprints, packing, sharding, token_counts, token_files
 from seqloom.llm.encoding import vocabulary
 from seqloom.llm.storage import shared_path, store
 
@@ -44,3 +44,8 @@ def op10_token_files(spark, sf_dir):
 @query
 def op2_pattern_packing(spark, sf_dir):
     return packing.document_packing(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op7_closed_syncmers(spark, sf_dir):
+    return fingerprints.document_fingerprints(documents(spark, sf_dir))
