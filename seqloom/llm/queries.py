@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import fingerprints, packing, sharding, token_counts, token_files
+from seqloom.llm import fingerprints, packing, quality_rules, sharding, token_counts, token_files
 from seqloom.llm.encoding import vocabulary
 from seqloom.llm.storage import shared_path, store
 
@@ -49,3 +49,8 @@ def op2_pattern_packing(spark, sf_dir):
 @query
 def op7_closed_syncmers(spark, sf_dir):
     return fingerprints.document_fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op4_weak_supervision(spark, sf_dir):
+    return quality_rules.document_quality(documents(spark, sf_dir))
