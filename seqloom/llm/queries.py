@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import fingerprints, packing, quality_rules, sharding, token_counts, token_files
+from seqloom.llm import fingerprints, near_dedup, packing, quality_rules, sharding, token_counts, token_files
 from seqloom.llm.encoding import vocabulary
 from seqloom.llm.storage import shared_path, store
 
@@ -54,3 +54,8 @@ def op7_closed_syncmers(spark, sf_dir):
 @query
 def op4_weak_supervision(spark, sf_dir):
     return quality_rules.document_quality(documents(spark, sf_dir))
+
+
+@query
+def op5_tensored_minhash(spark, sf_dir):
+    return near_dedup.duplicate_classes(documents(spark, sf_dir))
