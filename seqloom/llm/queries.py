@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import fingerprints, near_dedup, packing, quality_rules, sharding, token_counts, token_files, toxicity
+from seqloom.llm import fingerprints, mixing, near_dedup, packing, quality_rules, sharding, token_counts, token_files, toxicity
 from seqloom.llm.encoding import vocabulary
 from seqloom.llm.storage import shared_path, store
 
@@ -64,3 +64,8 @@ def op5_tensored_minhash(spark, sf_dir):
 @query
 def op8_counterfactual_toxicity(spark, sf_dir):
     return toxicity.document_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op6_hierarchical_mixing(spark, sf_dir):
+    return mixing.mixed_documents(documents(spark, sf_dir))
