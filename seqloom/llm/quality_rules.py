@@ -96,9 +96,13 @@ def base_failed() -> Column:
 
 
 def with_votes(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``__q_votes``: a letter for each rule: g, b, or - for an abstention. No words, no votes."""
+    """Add ``__q_votes``: a letter for each rule: g, b, or - for an abstention. No words, no votes.
+
+    A filter that also looks at the partition number beside it is not pushed
+    below the counts, where each would be computed many times over.
+    """
     vote = lambda r: F.when(F.col("__q_words") == 0, "-").when(F.expr(r.bad), "b").when(F.expr(r.good), "g").otherwise("-")
-    return df.withColumn("__q_votes", F.concat(*[vote(r) for r in rules]))
+    return df.withColumns({"__q_votes": F.concat(*[vote(r) for r in rules]), "__q_part": F.spark_partition_id()})
 
 
 @dataclass(frozen=True)
@@ -183,5 +187,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents kept, with all their columns. The votes of all are fitted first."""
     voted = with_votes(with_counts(docs))
     probability = posterior(fit_votes(voted.select("__q_votes")))
-    kept = voted.where(~base_failed() & (probability >= KEEP_FROM))
+    kept = voted.where(~base_failed() & (probability >= KEEP_FROM) & (F.col("__q_part") >= 0))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
