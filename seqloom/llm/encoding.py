@@ -6,12 +6,12 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 
 #: Pieces kept by a worker process, and the longest that is kept.
-MEMO_PIECES = 1 << 20
+MEMO_PIECES = 1 << 19
 MEMO_CHARS = 64
 #: Characters of texts that are looked up together.
 GROUP_CHARS = 1 << 20
@@ -19,6 +19,8 @@ GROUP_CHARS = 1 << 20
 _WIDE_SPACE = re.compile(r"\s ")
 _PIECES = re.compile(r"\s*\S+|\s+")
 #: White space for Python that the tokenizers' patterns take as symbols.
+#: Pieces that both files encode by themselves in any run of such pieces, with one byte sequence for each.
+_PLAIN = re.compile(" [!-;=-~\xa1-\u012f]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -39,48 +41,79 @@ class Encoder:
         self._memo: dict[str, bytes] = {}
         # A control token between pieces keeps them apart as if each were a text.
         self._mark, self._mark_id = "<|endoftext|>", self._tokenizer.token_to_id("<|endoftext|>")
+        # Bytes that each token stands for; without spaces and in lower case if the file drops those.
+        vocab = self._tokenizer.get_vocab()
+        self._bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self._bytes[i] = len(token.removesuffix("</w>"))
+        self._drops = self._tokenizer.encode(" a", add_special_tokens=False).tokens == ["a</w>"]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def _by_length(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of plain pieces, encoded in one run and told apart by the bytes of their tokens."""
+        text = "".join(pieces)
+        raw = self._ids(text)
+        ends = np.cumsum([len((p[1:].lower() if self._drops else p).encode()) for p in pieces])
+        at = np.cumsum(self._bytes[raw])
+        cuts = np.searchsorted(at, ends) + 1
+        if len(at) == 0 or at[-1] != ends[-1] or not np.array_equal(at[cuts - 1], ends):
+            return {}
+        data, starts = raw.tobytes(), [0, *(4 * cuts[:-1]).tolist()]
+        return {p: data[a:b] for p, a, b in zip(pieces, starts, (4 * cuts).tolist(), strict=True)}
+
+    def _by_mark(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces without control strings, encoded in one run with marks between."""
+        raw = self._ids(self._mark.join(pieces))
+        cuts = np.flatnonzero(raw == self._mark_id)
+        if len(cuts) != len(pieces) - 1:
+            return {}
+        data, ends = raw.tobytes(), [*(4 * cuts).tolist(), 4 * len(raw)]
+        return {p: data[a:b] for p, a, b in zip(pieces, [0, *(4 * cuts + 4).tolist()], ends, strict=True)}
+
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        plain = [p for p in pieces if "<" not in p and p]
-        found = {}
-        if self._mark_id is not None and plain:
-            raw = self._ids(self._mark.join(plain))
-            cuts = np.flatnonzero(raw == self._mark_id)
-            if len(cuts) == len(plain) - 1:
-                data, ends = raw.tobytes(), [*(4 * cuts).tolist(), 4 * len(raw)]
-                starts = [0, *(4 * cuts + 4).tolist()]
-                found = {p: data[a:b] for p, a, b in zip(plain, starts, ends, strict=True)}
+        found: dict[str, bytes] = {}
+        if plain := [p for p in pieces if _PLAIN.fullmatch(p)]:
+            found |= self._by_length(plain)
+        if self._mark_id is not None and (others := [p for p in pieces if p and "<" not in p and p not in found]):
+            found |= self._by_mark(others)
         return [found[p] if p in found else self._ids(p).tobytes() for p in pieces]
 
+    def _cut(self, text: str | None) -> list[str]:
+        """Keys of a text's pieces: most pieces begin with a space, which their
+        key leaves out; the keys of the others begin with a zero."""
+        if not text:
+            return []
+        if "\0" in text:
+            return ["\0" + text]
+        if _WIDE_SPACE.search(text) is None:
+            pieces = text.split(" ")
+            pieces[0] = "\0" + pieces[0]
+            return pieces
+        if _SEPARATORS.search(text) is None:
+            return [p[1:] if p[0] == " " else "\0" + p for p in _PIECES.findall(text)]
+        return ["\0" + text]
+
     def _group(self, texts: list[str | None]) -> Iterator[bytes]:
-        # Most pieces begin with a space; their keys leave it out, and the others' keys begin with a zero.
-        cut: list[list[str]] = []
+        memo, rows, gaps, new = self._memo, [], [], {}
         for text in texts:
-            if not text:
-                cut.append([])
-            elif "\0" in text:
-                cut.append(["\0" + text])
-            elif _WIDE_SPACE.search(text) is None:
-                pieces = text.split(" ")
-                pieces[0] = "\0" + pieces[0]
-                cut.append(pieces)
-            elif _SEPARATORS.search(text) is None:
-                cut.append([p[1:] if p[0] == " " else "\0" + p for p in _PIECES.findall(text)])
-            else:
-                cut.append(["\0" + text])
-        new = list(set(chain.from_iterable(cut)).difference(self._memo))
-        if len(self._memo) + len(new) > MEMO_PIECES:  # what came first is the most frequent
-            self._memo = dict(islice(self._memo.items(), MEMO_PIECES // 2))
-            new = list(set(chain.from_iterable(cut)).difference(self._memo))
-        self._memo.update(zip(new, self._encode([p[1:] if p[:1] == "\0" else " " + p for p in new]), strict=True))
-        for pieces in cut:
-            yield b"".join(map(self._memo.__getitem__, pieces))
-        for piece in new:
-            if len(piece) > MEMO_CHARS:
-                del self._memo[piece]
+            keys = self._cut(text)
+            values = list(map(memo.get, keys))
+            at = -1
+            for _ in range(values.count(None)):
+                at = values.index(None, at + 1)
+                gaps.append((len(rows), at, keys[at]))
+                new[keys[at]] = b""
+            rows.append(values)
+        fresh = list(new)
+        new.update(zip(fresh, self._encode([k[1:] if k[:1] == "\0" else " " + k for k in fresh]), strict=True))
+        for row, at, key in gaps:
+            rows[row][at] = new[key]
+        yield from map(b"".join, rows)
+        if len(memo) + len(new) > MEMO_PIECES:  # what came first is the most frequent
+            self._memo = dict(islice(memo.items(), MEMO_PIECES // 2))
+        self._memo.update((k, v) for k, v in new.items() if len(k) <= MEMO_CHARS)
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; a null text has none."""
