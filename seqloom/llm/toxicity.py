@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.ranges import uniform
 from seqloom.llm.storage import store
 
 #: Group names that are swapped for one another, by kind, so that swaps stay grammatical.
@@ -34,7 +35,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("mujeres", "hombres", "niñas", "niños", "extranjeros", "musulmanes", "cristianos", "judíos"),
 )
 
-#: At most so many labelled rows are fitted, chosen by a hash of their id.
+#: About so many labelled rows are fitted at most, drawn by a hash of their id.
 MAX_LABELLED = 20_000
 #: Features: least number of texts, least distance of the two classes' shares in standard errors, and most in all.
 MIN_TEXTS, MIN_Z, MAX_FEATURES = 3, 4.0, 20_000
@@ -125,7 +126,7 @@ def minimise(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nd
 
 
 def fit(labelled: DataFrame) -> Classifier:
-    """Fit (text, toxic) with at most MAX_LABELLED rows; see ``training_rows``.
+    """Fit (text, toxic) of a bounded number of rows; see ``training_rows``.
 
     Without labels of both kinds there are no weights, and the bias states the
     share of toxic rows with half a row added to each side.
@@ -186,14 +187,15 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled rows outside fold 0, at most MAX_LABELLED
-    labels in the order of a hash of the id. A doc_id labelled in two ways
+    """(text, toxic) of labelled rows outside fold 0; of more than MAX_LABELLED
+    about so many, drawn by a hash of the id. A doc_id labelled in two ways
     counts as toxic; null labels count as none."""
-    known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
-             .groupBy(F.col("doc_id").cast("long").alias("__labelled")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-             .orderBy(F.xxhash64("__labelled"), "__labelled").limit(MAX_LABELLED))
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
+    share = MAX_LABELLED / max(1, usable.count())
+    known = (usable.where(uniform(F.col("doc_id").cast("long")) < share)
+             .groupBy(F.col("doc_id").cast("long").alias("__labelled")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text")
-    # The labels are at most MAX_LABELLED pairs of numbers, so texts need not be shuffled for them.
+    # The labels are about MAX_LABELLED pairs of numbers, so texts need not be shuffled for them.
     return texts.join(F.broadcast(known), F.col("__id") == F.col("__labelled")).select("text", "toxic")
 
 
