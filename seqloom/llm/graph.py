@@ -11,16 +11,25 @@ from seqloom.llm.storage import store
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b); the label is the least node reachable.
 
-    Every round takes the least label among the neighbours and then the label's
-    own label, so long chains shorten quickly. A hub's neighbours are reduced
-    by each task before the shuffle. No edges give no rows.
+    Every round, each node points at the least of itself and its neighbours,
+    pointers are followed once more, and the graph is contracted to the nodes
+    pointed at, so its edges shrink quickly. A hub's neighbours are reduced by
+    each task before the shuffle. No edges give no rows.
     """
-    both = store(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    left = store(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        seen = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = store(seen.join(own, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        if not labels.where("label <> old").limit(1).count():
-            return labels.select("node", "label")
+        up = left.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
+        # What a node points at has neighbours itself, so it is in the table.
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("label"))
+        step = store(up.join(further, "up").select("node", "label"), "step")
+        if labels is None:
+            labels = step
+        else:
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("moved"))
+            labels = store(labels.join(moved, "label", "left").select("node", F.coalesce("moved", "label").alias("label")), "labels")
+        a, b = (step.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        left = store(left.join(a, "a").select("la", "b").distinct().join(b, "b").where("la <> lb")
+                     .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            return labels
