@@ -70,13 +70,22 @@ def key_upper(c: Column) -> Column:
     return F.upper(strip(c))
 
 
-def _parse_list(c: Column) -> Column:
-    """Array of the tokens in a list literal; null when it does not parse.
+_QUOTED = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+
+
+def _list_of(item: str) -> str:
+    return rf"(?s)\A\[\s*(?:{item}(?:\s*,\s*{item})*+\s*,?)?\s*\]\z"
+
+
+def _parse_list(c: Column, item: str = _QUOTED) -> Column:
+    """Array of the tokens in a list literal; null when the text is anything
+    but a list of such items from end to end.
 
     A trailing comma is legal in the literal but not in JSON.
     """
     body = F.regexp_replace(c, r",\s*\]$", "]")
-    return F.from_json(body, "array<string>", {"allowSingleQuotes": "true"})
+    return F.when(c.rlike(_list_of(item)), F.from_json(body, "array<string>", {"allowSingleQuotes": "true"}))
 
 
 def tokens_to_sequence(c: Column) -> Column:
@@ -103,7 +112,8 @@ def prediction_key(c: Column) -> Column:
     as it stands. Null stays null and therefore matches nothing.
     """
     s = strip(c)
-    joined = F.when(s.startswith("["), F.coalesce(F.array_join(_parse_list(s), ""), s)).otherwise(s)
+    parsed = _parse_list(s, f"(?:{_QUOTED}|{_NUMBER})")
+    joined = F.when(s.startswith("["), F.coalesce(F.array_join(parsed, ""), s)).otherwise(s)
     return F.upper(strip(strip_modifications(joined)))
 
 

@@ -15,7 +15,9 @@ WHISKER_REACH = 1.5
 MAX_POINTS = 2000
 POINT_SEED = 42
 
-_POINT_SALTS = 16
+# Hexadecimal digits of a point's hash that are counted: 65,536 prefixes per group.
+_PREFIX_DIGITS = 4
+_INFINITY = float("inf")
 
 # Distinct values a group may have for its quantiles to be read off directly.
 DIRECT_VALUES = 1_000_000
@@ -77,8 +79,11 @@ def quartiles(counted: DataFrame, keys: list[str], direct_values: int = DIRECT_V
     band = counted.join(F.broadcast(wanted), keys).withColumn("below", F.lit(0).cast("bigint"))
     group = [*keys, "name", "end"]
     widest = F.max("values").alias("widest")
-    while (band.groupBy(*group).agg(F.count("*").alias("values")).agg(widest).first().widest or 0) > direct_values:
+    left = lambda: band.groupBy(*group).agg(F.count("*").alias("values")).agg(widest).first().widest or 0
+    wide, last = left(), None
+    while wide > direct_values and wide != last:
         band = materialize(_narrow(band, group))
+        wide, last = left(), wide
     before = F.sum("n").over(W.partitionBy(*group).orderBy("value").rowsBetween(W.unboundedPreceding, -1))
     start = F.col("below") + F.coalesce(before, F.lit(0))
     found = (band.withColumn("start", start)
@@ -93,10 +98,13 @@ def quartiles(counted: DataFrame, keys: list[str], direct_values: int = DIRECT_V
 def _narrow(band: DataFrame, group: list[str], buckets: int = 1024) -> DataFrame:
     """Keep the bucket of each wanted rank and count the rows below it."""
     # All joined sides have at most ``buckets`` rows per wanted rank.
-    span = band.groupBy(*group).agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    width = F.col("most") - F.col("least")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("least")) / width * buckets),
-                                       F.lit(buckets - 1))).otherwise(F.lit(0))
+    finite = F.when(F.abs("value") < _INFINITY, F.col("value"))
+    span = band.groupBy(*group).agg(F.min(finite).alias("least"), F.max(finite).alias("most"))
+    # Halves, so that a span of the largest doubles does not overflow; the infinities have buckets of their own.
+    width = F.col("most") / 2 - F.col("least") / 2
+    place = F.floor((F.col("value") / 2 - F.col("least") / 2) / width * buckets)
+    bucket = (F.when(F.col("value") == -_INFINITY, F.lit(-1)).when(F.col("value") == _INFINITY, F.lit(buckets))
+              .when(width > 0, F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0)))
     split = band.join(F.broadcast(span), group).withColumn("bucket", bucket).drop("least", "most")
     counts = split.groupBy(*group, "bucket").agg(F.sum("n").alias("rows"), F.first("below").alias("below"),
                                                  F.first("rank").alias("rank"))
@@ -132,15 +140,16 @@ def sampled_points(values: DataFrame, id_col: str, keys: list[str] = ("metric",
                    limit: int = MAX_POINTS, seed: int = POINT_SEED) -> DataFrame:
     """At most ``limit`` points per group, the same ones in every run.
 
-    Points are taken in hash order. Each group is first thinned in
-    ``_POINT_SALTS`` pieces whose rank limit is low enough for Spark to apply
-    it in the map tasks, before the shuffle.
+    Points are taken in hash order. Counts by hash prefix tell up to which
+    prefix a group reaches the limit; only the points up to there are ranked.
     """
     hashed = values.withColumn("hash", F.md5(F.concat_ws("_", F.lit(str(seed)), F.col(id_col).cast("string"))))
-    salt = F.pmod(F.xxhash64("hash"), F.lit(_POINT_SALTS))
-    piece = F.row_number().over(W.partitionBy(*keys, "salt").orderBy("hash", id_col))
+    hashed = hashed.withColumn("prefix", F.substring("hash", 1, _PREFIX_DIGITS))
+    counts = hashed.groupBy(*keys, "prefix").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*keys).orderBy("prefix").rowsBetween(W.unboundedPreceding, -1))
+    # One row per group of the report.
+    cut = (counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < limit)
+           .groupBy(*keys).agg(F.max("prefix").alias("cut")))
+    first = hashed.join(F.broadcast(cut), list(keys)).filter(F.col("prefix") <= F.col("cut"))
     whole = F.row_number().over(W.partitionBy(*keys).orderBy("hash", id_col))
-    per_piece = max(1, -(-8 * limit // _POINT_SALTS))
-    thinned = (hashed.withColumn("salt", salt).withColumn("rank", piece)
-               .filter(F.col("rank") <= per_piece).drop("rank", "salt"))
-    return thinned.withColumn("rank", whole).filter(F.col("rank") <= limit).drop("rank", "hash")
+    return first.withColumn("rank", whole).filter(F.col("rank") <= limit).select(values.columns)

@@ -95,7 +95,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spread(load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
     letters = F.split(F.upper("event_type"), "")
     tokens = F.concat(F.lit("['"), F.element_at(letters, 1), F.lit("[UNIMOD:4]"),
-                      F.concat(F.lit("', '"), F.array_join(F.slice(letters, 2, 100), "', '")), F.lit("']"))
+                      F.concat(F.lit("', '"), F.array_join(F.slice(letters, F.lit(2), F.size(letters)), "', '")), F.lit("']"))
     value = F.when(F.col("value") > 0.5, F.col("value"))
     return e.select("event_id", "user_id", tokens.alias("instanovoplus_predictions"),
                     value.alias("instanovoplus_prediction_log_probability"),

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import quality as ql
 
@@ -48,5 +49,24 @@ def test_points_are_limited_and_stable(frame):
     again = ql.sampled_points(values.repartition(7), "id", limit=100).collect()
     assert sorted(first) == sorted(again)
     assert sum(r.status == "MATCH" for r in first) == 100 and sum(r.status == "NO_MATCH" for r in first) == 50
-    plan = ql.sampled_points(values, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("limit", [1, 2, 5, 100])
+def test_points_equal_the_plain_ranking(spark, frame, limit):
+    rows = [(f"m{i % 30}", "MATCH", i // 3, float(i)) for i in range(3000)]
+    values = frame(rows, "metric string, status string, id bigint, value double")
+    hashed = values.withColumn("h", F.md5(F.concat_ws("_", F.lit("42"), F.col("id").cast("string")))).collect()
+    groups = {}
+    for r in hashed:
+        groups.setdefault(r.metric, []).append((r.h, r.id))
+    expected = sorted((m, i) for m, g in groups.items() for _, i in sorted(g)[:limit])
+    assert sorted((r.metric, r.id) for r in ql.sampled_points(values, "id", limit=limit).collect()) == expected
+
+
+def test_quartiles_end_with_infinities_and_huge_spans(frame):
+    inf = float("inf")
+    rows = [("m", v) for v in [-inf, inf, inf, -1.7e308, 1.7e308, *map(float, range(30))]]
+    counted = ql.count_values(frame(rows, "metric string, value double"), ["metric"])
+    r = ql.quartiles(counted, ["metric"], direct_values=5).first()
+    q1, median, q3 = np.percentile([v for _, v in rows], [25, 50, 75])
+    assert (r.n, r.q1, r.median, r.q3) == (len(rows), q1, median, q3)

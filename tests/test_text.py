@@ -28,9 +28,16 @@ def test_strict_tokens_fail_on_other_text(spark):
         one(spark, "not a list", tx.tokens_to_sequence)
 
 
+@pytest.mark.parametrize("value", ["['G'] junk", "[null, 'A']", "['A', 5]", "['A' 'B'", "[5]"])
+def test_strict_tokens_fail_on_other_items(spark, value):
+    with pytest.raises(Exception, match="not a token list"):
+        one(spark, value, tx.tokens_to_sequence)
+
+
 @pytest.mark.parametrize("value, key", [
     ("['G', 'S[UNIMOD:21]', 'R']", "GSR"), ("gs[UNIMOD:21]r", "GSR"), ("[bad", "[BAD"), ("[bad] x", "X"),
-    ("GSR", "GSR"), (None, None)])
+    ("GSR", "GSR"), (None, None), ("[42.01]PEPTIDE", "PEPTIDE"), ("[42]PEPTIDE", "PEPTIDE"), ("['G'] x", "X"),
+    ("['G','S']R", "R"), ("['G', 5]", "G5")])
 def test_lenient_key(spark, value, key):
     assert one(spark, value, tx.prediction_key) == key
 
