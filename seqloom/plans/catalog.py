@@ -38,7 +38,7 @@ def _document_windows(spark, sf_dir, ks, reference=False, skip_ambiguous=True):
 
 
 def _turn_windows(spark, sf_dir, ks, reference=False):
-    sequences = km.keyed_sequences(tb.turn_records(spark, sf_dir))
+    sequences = km.keyed_sequences(tb.turn_records(spark, sf_dir, own_ids=True))
     ref = km.record_stream(tb.reference_records(spark, sf_dir)) if reference else None
     return km.tagged_windows(sequences, ks, ref)
 

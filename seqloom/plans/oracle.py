@@ -13,6 +13,8 @@ DOCS = f"""docs AS (SELECT doc_id AS rec_idx, CAST(doc_id AS VARCHAR) AS id,
 TURNS = f"""turns AS (SELECT conv_id * 10000 + turn AS rec_idx, CAST(conv_id AS VARCHAR) AS id,
   CASE WHEN role = 'user' THEN 1 ELSE 2 END AS side, {LETTERS.format('text')} AS seq FROM conversations)"""
 
+OWN_TURNS = TURNS.replace("CAST(conv_id AS VARCHAR) AS id", "conv_id || '.' || turn AS id")
+
 ITEMS = f"""items AS (SELECT item_id AS rec_idx, CAST(item_id AS VARCHAR) AS id, {LETTERS.format('text')} AS seq
   FROM benchmark)"""
 
@@ -53,7 +55,7 @@ _ANNOTATED = """annotated AS (SELECT c.*, r.kmer IS NOT NULL AS ref_match, coale
 
 
 def _reference(table: str, counted: str) -> str:
-    source = DOCS if table == "docs" else TURNS
+    source = DOCS if table == "docs" else OWN_TURNS
     return "WITH " + ",\n".join([source, ITEMS, _keyed(table), _windows("win", "keyed", "side", 9),
                                  _windows("rwin", "items", "0", 9), counted, _REF, _ANNOTATED])
 
@@ -153,11 +155,11 @@ ORACLE: dict[str, str] = {
     "kmer_category_count_table_k9": _reference("turns", _plain_counted("win", "short", "long")) + " " + _table_rows,
     "kmer_pile_summary": _pile_summary([8, 9, 10, 11], False),
     "kmer_pile_summary_keep_ambiguous": _pile_summary([9], True),
-    "kmer_piles_k9": "WITH " + ",\n".join([TURNS, _keyed("turns"), _windows("win", "keyed", "side", 9),
+    "kmer_piles_k9": "WITH " + ",\n".join([OWN_TURNS, _keyed("turns"), _windows("win", "keyed", "side", 9),
                                           _counted("win", "short", "long")])
     + """ SELECT kmer, pile, t1 AS short_transcripts, t2 AS long_transcripts, n1 AS short_count, n2 AS long_count
     FROM counted""",
-    "kmer_postings_k9": "WITH " + ",\n".join([TURNS, _keyed("turns"), _windows("win", "keyed", "side", 9)])
+    "kmer_postings_k9": "WITH " + ",\n".join([OWN_TURNS, _keyed("turns"), _windows("win", "keyed", "side", 9)])
     + " SELECT kmer, side, id FROM win",
     "kmer_ref_annotate_k9": _reference("turns", _plain_counted("win", "short", "long"))
     + """ SELECT kmer, pile, n1 AS short_count, n2 AS long_count, ref_match, category FROM annotated""",

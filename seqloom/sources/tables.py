@@ -45,13 +45,15 @@ def reference_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                         residues(F.col("text")).alias("seq"))
 
 
-def turn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_records(spark: SparkSession, sf_dir: str, own_ids: bool = False) -> DataFrame:
     """(rec_idx, id, side, seq): turns as records of one file per role. The id
-    is the conversation, so it repeats within a role and its last turn counts."""
+    is the conversation, so it repeats within a role and its last turn counts;
+    with ``own_ids`` every turn has an id of its own."""
+    ident = F.concat_ws(".", "conv_id", "turn") if own_ids else F.col("conv_id").cast("string")
     turns = load(spark, sf_dir, "conversations")
     side = F.when(F.col("role") == "user", 1).otherwise(2)
     return spread(turns).select((F.col("conv_id") * 10000 + F.col("turn")).alias("rec_idx"),
-                                F.col("conv_id").cast("string").alias("id"), side.alias("side"),
+                                ident.alias("id"), side.alias("side"),
                                 residues(F.col("text")).alias("seq"))
 
 
