@@ -45,10 +45,16 @@ def _position() -> Column:
 
 def _input_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files behind the paths, in the order given, by name inside a folder."""
-    files: list[str] = []
-    for path in paths:
-        files += [f for f in sorted(spark.read.text(path).inputFiles()) if f not in files]
-    return files
+    return list(dict.fromkeys(f for path in paths for f in sorted(spark.read.text(path).inputFiles())))
+
+
+def _by_file(rows: DataFrame, files: list[str], position: str) -> DataFrame:
+    """Put the file's number in front of a position, so that it is unique over all files."""
+    if len(files) <= 1:
+        return rows
+    numbers = rows.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "file string, number bigint")
+    return (rows.join(F.broadcast(numbers), "file")  # one row per input file
+            .withColumn(position, F.col("number") * _FILE_SHIFT + F.col(position)).drop("number"))
 
 
 def _read_lines(spark: SparkSession, paths: str | list[str], line_sep: str = "\n") -> DataFrame:
@@ -58,24 +64,15 @@ def _read_lines(spark: SparkSession, paths: str | list[str], line_sep: str = "\n
     # Row numbers are taken at the scan, before anything moves rows.
     raw = (spark.read.option("lineSep", line_sep).text(paths)
            .select("value", _position().alias("rec_idx"), F.input_file_name().alias("file")))
-    if len(files) <= 1:
-        return raw
-    numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, number bigint")
-    return (raw.join(F.broadcast(numbers), "file")  # one row per input file
-            .withColumn("rec_idx", F.col("number") * _FILE_SHIFT + F.col("rec_idx")).drop("number"))
+    return _by_file(raw, files, "rec_idx")
 
 
-def _drop_preambles(spark: SparkSession, raw: DataFrame, paths: list[str]) -> DataFrame:
+def _drop_preambles(raw: DataFrame) -> DataFrame:
     """Remove the text in front of the first header of a file."""
-    marked = {}
-    for file in _input_files(spark, paths):  # reads the head of each file only
-        head = spark.read.text(file).head(1)
-        marked[file] = not head or head[0].value.startswith(">")
-    loose = [file for file, ok in marked.items() if not ok]
-    if not loose:
-        return raw
-    first = raw.filter(F.col("file").isin(loose)).groupBy("file").agg(F.min("rec_idx").alias("rec_idx"))
-    return raw.join(F.broadcast(first), ["file", "rec_idx"], "left_anti")
+    first = F.min(F.struct("rec_idx", F.col("value").startswith(">").alias("marked"))).alias("first")
+    # One row per input file.
+    loose = raw.groupBy("file").agg(first).filter(~F.col("first.marked")).select("file", F.col("first.rec_idx").alias("rec_idx"))
+    return raw.join(F.broadcast(loose), ["file", "rec_idx"], "left_anti")
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], unnamed: bool = True,
@@ -88,7 +85,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str], unnamed: bool = True
     lines are dropped unless ``inner_spaces``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = _drop_preambles(spark, _read_lines(spark, paths, "\n>"), paths)
+    raw = _drop_preambles(_read_lines(spark, paths, "\n>"))
     # Only the first record of a file still has its mark.
     body = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^>", "")
     lines = F.split(body, "\n")
@@ -160,6 +157,12 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFr
             .option("multiLine", False).option("enforceSchema", False).csv(path))
 
 
+def _read_ordered_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """A table with ``idx``, the position of a row over all files of the path."""
+    table = read_table(spark, path, sep).select("*", _position().alias("idx"), F.input_file_name().alias("file"))
+    return _by_file(table, _input_files(spark, [path]), "idx").drop("file")
+
+
 def read_modified_peptides(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated search result with a ``sequence`` column."""
     return require_columns(read_table(spark, path, "\t"), ["sequence"], path)
@@ -177,8 +180,8 @@ def read_predictions(spark: SparkSession, path: str, metrics: bool = False) -> D
 
 def read_peptide_reference(spark: SparkSession, path: str) -> DataFrame:
     """(idx, peptide, n_proteins) of a match table."""
-    table = require_columns(read_table(spark, path), ["peptide", "n_proteins"], path)
-    return table.select(_position().alias("idx"), "peptide", F.col("n_proteins").cast("int").alias("n_proteins"))
+    table = require_columns(_read_ordered_table(spark, path), ["peptide", "n_proteins"], path)
+    return table.select("idx", "peptide", F.col("n_proteins").cast("int").alias("n_proteins"))
 
 
 def read_isoforms(spark: SparkSession, path: str) -> DataFrame:
@@ -186,9 +189,9 @@ def read_isoforms(spark: SparkSession, path: str) -> DataFrame:
 
     A missing column reads as empty text.
     """
-    table = read_table(spark, path, "\t")
+    table = _read_ordered_table(spark, path, "\t")
     cell = lambda c: F.coalesce(F.col(c), F.lit("")) if c in table.columns else F.lit("")
-    return table.select(_position().alias("idx"), tx.strip(cell("isoform")).alias("isoform"),
+    return table.select("idx", tx.strip(cell("isoform")).alias("isoform"),
                         tx.strip(cell("ORF_seq")).alias("ORF_seq"))
 
 

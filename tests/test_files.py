@@ -173,3 +173,20 @@ def test_extraction_flows(spark, tmp_path):
     text = put(tmp_path, "l.txt", "ABCDEFGH\nABCDEFG\nABCDEFGH\nAAAAAAAAA\n")
     flows.filter_by_length(spark, text, str(tmp_path / "l"))
     assert lines(tmp_path / "l", header=False) == ["AAAAAAAAA", "ABCDEFGH"]
+
+
+def test_positions_are_unique_over_the_files_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "match.tsv"
+    folder.mkdir()
+    for n in range(4):
+        (folder / f"part-{n}.tsv").write_text("peptide\tn_proteins\n" + "".join(f"P{n}{i}\t{i}\n" for i in range(3)))
+    rows = sorted((r.idx, r.peptide) for r in src.read_peptide_reference(spark, str(folder)).repartition(5).collect())
+    assert len({i for i, _ in rows}) == 12 and [p for _, p in rows] == [f"P{n}{i}" for n in range(4) for i in range(3)]
+
+
+def test_preambles_of_several_files(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("noise\n>x\nAA\n>y\nBB\n")
+    (tmp_path / "b.fa").write_text(">z\nCC\n")
+    (tmp_path / "c.fa").write_text("noise\nmore\n>w\nDD\n")
+    rows = src.read_fasta(spark, [str(tmp_path / n) for n in ("c.fa", "a.fa", "b.fa")]).orderBy("rec_idx").collect()
+    assert [(r.id, r.seq) for r in rows] == [("w", "DD"), ("x", "AA"), ("y", "BB"), ("z", "CC")]
