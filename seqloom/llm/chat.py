@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.encoding import encoder
 from seqloom.llm.ranges import null_first, range_of, splitters
-from seqloom.llm.storage import store
+from seqloom.llm.storage import store, text_batches
 
 #: Characters after which a segment ends, and the turns of a path that order conversations.
 SEGMENT_CHARS, KEY_TURNS = 1 << 18, 8
@@ -143,6 +143,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str, segment_chars
     where a range or segment begins inside a tree, the turns above are written
     once more. A conversation is never cut. No conversations, no segments.
     """
+    text_batches(conversations.sparkSession)
     paths = store(conversation_paths(conversations), "paths")
     keys = ["path", "id"]
     total = paths.agg(F.sum("w")).first()[0] or 0
@@ -198,4 +199,5 @@ def read_conversations(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
                                                  names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+    text_batches(segments.sparkSession)
     return segments.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

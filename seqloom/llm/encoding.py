@@ -11,7 +11,7 @@ from itertools import islice
 import numpy as np
 
 #: Pieces kept by a worker process, and the longest that is kept.
-MEMO_PIECES = 1 << 19
+MEMO_PIECES = 3 << 17
 MEMO_CHARS = 64
 #: Characters of texts that are looked up together.
 GROUP_CHARS = 1 << 20

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.graph import components
-from seqloom.llm.storage import store
+from seqloom.llm.storage import store, text_batches
 
 SHINGLE_WORDS = 5
 HALVES, ROWS = 16, 4
@@ -258,6 +258,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     linked with nothing, like rows without an id, which are kept. Rows that
     repeat an id get a row each. An empty table gives none.
     """
+    text_batches(docs.sparkSession)
     signed = store(signatures(docs), "signatures")
     nodes = store(signed.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct("doc_id", "n_shingles", "halves")).alias("s")).select(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.encoding import encoder
 from seqloom.llm.ranges import running_sums
-from seqloom.llm.storage import store
+from seqloom.llm.storage import store, text_batches
 
 #: Classes of lengths in the least-squares problem, and the most documents in a pattern.
 CLASSES, PATTERN_DOCS = 128, 3
@@ -53,6 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE_SCHEMA)
 
 

@@ -26,3 +26,18 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows that a worker process gets at a time.
+BATCH_BYTES = 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of bounded size.
+
+    Spark's default counts rows, and ten thousand long texts are hundreds of
+    megabytes in a worker and again in its JVM.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.encoding import encoder
 from seqloom.llm.ranges import running_sums
+from seqloom.llm.storage import text_batches
 
 
 def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -23,6 +24,7 @@ def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
             found = [len(ids) // 4 for ids in enc.encode_all(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["length"])
 
+    text_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(lengths, "length long").groupBy("length").agg(F.count("*").alias("n_docs"))
 
 

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.encoding import encoder
-from seqloom.llm.ranges import MIN_LONG, null_first, range_of, running_sums, splitters
-from seqloom.llm.storage import store
+from seqloom.llm.ranges import MIN_LONG, null_first, range_of, running_sums, splitters, uniform
+from seqloom.llm.storage import store, text_batches
 
 #: Compressed bytes after which a block is closed.
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each range of ids, and the most ranges.
 RANGE_BYTES, MAX_RANGES = 16 << 20, 1 << 16
-#: The dictionary is trained on this many documents of at most so many bytes, chosen by hash.
+#: The dictionary is trained on about this many documents, those of at most so many bytes among them; drawn by a hash.
 DICT_DOCS, DICT_DOC_BYTES, DICT_BYTES = 1000, 16 << 10, 64 << 10
 LEVEL = 3
 
@@ -43,8 +43,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     documents to train on, their plain bytes serve as the dictionary."""
     import zstandard
 
-    rows = (docs.where(F.octet_length("text") <= DICT_DOC_BYTES)
-            .select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(DICT_DOCS).collect())
+    short = docs.where(F.octet_length("text") <= DICT_DOC_BYTES)
+    share = DICT_DOCS / max(1, docs.select(F.count("*")).first()[0])
+    rows = short.where(uniform(F.col("doc_id"), F.col("text")) < share).select("text").collect()
     enc = encoder(tokenizer)
     samples = [_frame_bytes(ids + _end(end_id))[1] for ids in enc.encode_all(r["text"] for r in rows)]
     try:
@@ -78,6 +79,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     splitters; each range is sorted and streamed, so a task holds one block.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train_dictionary(docs, tokenizer, end_id)
     sha = hashlib.sha256(dictionary).hexdigest()
@@ -140,6 +142,7 @@ def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
 def read_token_files(spark: SparkSession, path: str, doc_id: int | None = None, with_ids: bool = True) -> DataFrame:
     """Documents of token files, or the one wanted: only blocks whose range of
     ids holds it are read, and in them only its own frame is decompressed."""
+    text_batches(spark)
     sha, dictionary = _dictionary(spark, path)
     blocks = spark.read.parquet(f"{path}/blocks")
     if doc_id is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.ranges import uniform
-from seqloom.llm.storage import store
+from seqloom.llm.storage import store, text_batches
 
 #: Group names that are swapped for one another, by kind, so that swaps stay grammatical.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -45,7 +45,7 @@ PREFIX = 5
 L2, COUNTERFACTUAL, SWAPS = 1e-3, 1.0, 4
 STEPS, RATE = 600, 0.1
 #: Words whose weight a worker keeps.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 17
 
 _WORD = re.compile(r"\w+")
 
@@ -131,6 +131,7 @@ def fit(labelled: DataFrame) -> Classifier:
     Without labels of both kinds there are no weights, and the bias states the
     share of toxic rows with half a row added to each side.
     """
+    text_batches(labelled.sparkSession)
     labelled = store(labelled, "labelled")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +210,7 @@ def with_score(docs: DataFrame, model: Classifier, out: str = "score") -> DataFr
             found = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
+    text_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` double"
     return docs.mapInArrow(score, schema)
 
