@@ -187,12 +187,13 @@ def annotate(piles: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def pile_summary(piles: DataFrame, label1: str, label2: str) -> DataFrame:
-    """Rows per pile with percentage, all three piles present, per k."""
+    """Rows per pile with percentage, all three piles present, and their total, per k."""
     n = lambda name: F.count_if(F.col("pile") == name)
     names = ["shared", f"only_{label1}", f"only_{label2}"]
     counted = piles.groupBy("k").agg(F.count("*").alias("total"),
                                      *(n(name).alias(f"n{i}") for i, name in enumerate(names)))
-    rows = F.array(*(F.struct(F.lit(name).alias("pile"), F.col(f"n{i}").alias("n")) for i, name in enumerate(names)))
+    named = [*((name, F.col(f"n{i}")) for i, name in enumerate(names)), ("TOTAL", F.col("total"))]
+    rows = F.array(*(F.struct(F.lit(name).alias("pile"), n.alias("n")) for name, n in named))
     return (counted.select("k", "total", F.explode(rows).alias("r"))
             .select("k", "r.pile", "r.n", tx.percent(F.col("r.n"), F.col("total")).alias("pct")))
 

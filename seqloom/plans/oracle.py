@@ -81,11 +81,11 @@ def _pile_summary(ks: list[int], ambiguous: bool) -> str:
     parts += [_windows(f"w{k}", "keyed", "side", k, ambiguous) for k in ks]
     parts.append("win AS (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in ks) + ")")
     parts.append(_plain_counted("win", "file1", "file2"))
-    parts.append("piles AS (SELECT unnest(['shared', 'only_file1', 'only_file2']) AS pile)")
+    parts.append("piles AS (SELECT unnest(['shared', 'only_file1', 'only_file2', 'TOTAL']) AS pile)")
     parts.append("totals AS (SELECT k, count(*) AS total FROM counted GROUP BY k)")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT k, pile, n, {_PCT} FROM (SELECT t.k, p.pile, t.total,
-  (SELECT count(*) FROM counted c WHERE c.k = t.k AND c.pile = p.pile) AS n FROM totals t, piles p)"""
+  (SELECT count(*) FROM counted c WHERE c.k = t.k AND (c.pile = p.pile OR p.pile = 'TOTAL')) AS n FROM totals t, piles p)"""
 
 
 WORDS = "unnest(regexp_extract_all({0}, '[A-Za-z]{{8,}}')) AS w, generate_subscripts(regexp_extract_all({0}, '[A-Za-z]{{8,}}'), 1) AS p"

@@ -73,7 +73,7 @@ def test_summaries(sequences, reference):
     table = {r.kmer_type: r["count"] for r in km.category_count_table(counts).collect()}
     assert table["shared_in_reference"] == 2 and table["only_long_novel"] is None
     piles = {r.pile: (r.n, round(r.pct, 1)) for r in km.pile_summary(counts, "short", "long").collect()}
-    assert piles == {"shared": (2, 66.7), "only_short": (1, 33.3), "only_long": (0, 0.0)}
+    assert piles == {"shared": (2, 66.7), "only_short": (1, 33.3), "only_long": (0, 0.0), "TOTAL": (3, 100.0)}
     other = km.pile_counts_by_kmer(km.tagged_windows(sequences, [3], reference), "x", "y", reference=True)
     got = {r.category: r.n for r in km.category_summary(other).collect()}
     assert got["only_short|in_reference"] == 0 and got["TOTAL"] == 3
