@@ -1,6 +1,7 @@
 """Column expressions for cleaning and normalizing sequence text.
 
-All of them are built-in expressions that stay inside code generation.
+All of them are built-in expressions; those over arrays (``transform``,
+``filter``) are evaluated row by row, the others inside generated code.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 # Patterns that must equal the formats read and written.
 BRACKETED = r"\[.*?\]"
-AMBIGUOUS = "XBZUO*"
 AMBIGUOUS_CLASS = "[XBZUO*]"
 NOT_AVAILABLE = "NA"
 NO_MATCH = "NO_MATCH"
@@ -127,11 +127,6 @@ def percent(part: Column, total: Column) -> Column:
     return F.when(total > 0, 100.0 * part / total).otherwise(F.lit(0.0))
 
 
-def tag(value: str) -> Column:
-    """A constant column."""
-    return F.lit(value)
-
-
 def wrap(c: Column, width: int = FASTA_WIDTH) -> Column:
     """Break text into lines of ``width`` letters."""
     return F.regexp_replace(c, "(.{%d})(?=.)" % width, "$1\n")
@@ -145,11 +140,6 @@ def fasta_record(name: Column, seq: Column, width: int | None = None) -> Column:
     return F.when(F.length(seq) == 0, header).otherwise(F.concat(header, F.lit("\n"), wrap(seq, width)))
 
 
-def is_unambiguous(kmer: Column) -> Column:
-    """True when no ambiguous residue code occurs."""
-    return ~kmer.rlike(AMBIGUOUS_CLASS)
-
-
 def category(pile: Column, in_reference: Column) -> Column:
     """Pile and reference state in one label."""
     return F.concat_ws("|", pile, F.when(in_reference, F.lit("in_reference")).otherwise(F.lit("novel")))

@@ -25,7 +25,7 @@ def filter_hits(hits: DataFrame, tool: str, min_pident: float = MIN_IDENTITY,
                 max_mismatch: int = MAX_MISMATCH) -> DataFrame:
     """Full-length hits above the thresholds that differ by L/I only."""
     full, close, li_only = _steps(min_pident, max_mismatch)
-    return (hits.filter(full & close & li_only).withColumn("tool", tx.tag(tool))
+    return (hits.filter(full & close & li_only).withColumn("tool", F.lit(tool))
             .select("tool", "query_id", "subject_id", "pident", "mismatch", "qseq", "sseq", "evalue"))
 
 
@@ -44,5 +44,5 @@ def summarize_hits(hits: DataFrame, tool: str, parts: int = 1) -> DataFrame:
     totals = distinct.groupBy("qseq").agg(F.count("*").alias("n_proteins"))
     split, extra = with_part(distinct, "subject_id", parts)
     cells = split.groupBy("qseq", *extra).agg(sorted_cell(F.col("subject_id")).alias("protein_ids"))
-    return totals.join(cells, "qseq").select(tx.tag(tool).alias("tool"), F.col("qseq").alias("peptide"), *extra,
+    return totals.join(cells, "qseq").select(F.lit(tool).alias("tool"), F.col("qseq").alias("peptide"), *extra,
                                              "n_proteins", "protein_ids")
