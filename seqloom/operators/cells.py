@@ -1,10 +1,10 @@
 """Joined cells: many ids in one text field, as the tabular formats want them.
 
-A cell holds its whole group, so its size must be bounded. Ids are spread over
-``parts`` by hash; with one part (up to ``IDS_PER_CELL`` ids in the input) a
-row is exactly one cell, with more the rows carry a ``part`` number and the
-cells of a key together hold all its ids. The long form, one row per id, is
-always available from the operators and needs no parts.
+A cell holds its whole group. Queries and flows give one row per key whatever
+the size of the input. Callers may ask for ``parts``, over which ids are spread
+by hash: rows then carry a ``part`` number and the cells of a key together hold
+all its ids. The long form, one row per id, is always available from the
+operators and needs no parts.
 """
 
 from __future__ import annotations

@@ -176,6 +176,9 @@ def annotate(piles: DataFrame, index: DataFrame) -> DataFrame:
     The index decides whether ids are added. Spark chooses the join by size.
     """
     tracked = "ref_proteins" in index.columns
+    if "part" in index.columns:  # one row per k-mer again, so that no pile is doubled
+        ids = F.flatten(F.collect_list(F.split("ref_proteins", ";")))
+        index = index.groupBy("kmer").agg(F.array_join(F.array_sort(ids), ";").alias("ref_proteins"))
     joined = piles.join(index.withColumn("ref_match", F.lit(True)), "kmer", "left")
     match = F.coalesce(F.col("ref_match"), F.lit(False))
     out = joined.withColumn("ref_match", match)
@@ -198,12 +201,17 @@ def pile_summary(piles: DataFrame, label1: str, label2: str) -> DataFrame:
             .select("k", "r.pile", "r.n", tx.percent(F.col("r.n"), F.col("total")).alias("pct")))
 
 
+def _per_kmer(annotated: DataFrame) -> DataFrame:
+    """One row per k-mer, also of a table whose cells are in parts."""
+    return annotated.dropDuplicates(["kmer"]) if "part" in annotated.columns else annotated
+
+
 def category_summary(annotated: DataFrame) -> DataFrame:
     """The six categories in their fixed order, then total and novel rows.
 
     Categories of other labels are in the total only.
     """
-    agg = annotated.agg(F.count("*").alias("total"),
+    agg = _per_kmer(annotated).agg(F.count("*").alias("total"),
                         F.count_if(~F.col("ref_match")).alias("novel"),
                         *(F.count_if(F.col("category") == c).alias(f"n{i}") for i, c in enumerate(CATEGORY_ORDER)))
     named = [(c, F.col(f"n{i}")) for i, c in enumerate(CATEGORY_ORDER)]
@@ -215,9 +223,9 @@ def category_summary(annotated: DataFrame) -> DataFrame:
 
 
 def category_count_table(annotated: DataFrame) -> DataFrame:
-    """Rows per category file; null stands for a category without a file."""
+    """K-mers per category file; null stands for a category without a file."""
     safe = F.translate("category", "|", "_")
-    agg = annotated.agg(*(F.count_if(safe == c).alias(f"n{i}") for i, c in enumerate(COUNT_TABLE_ORDER)))
+    agg = _per_kmer(annotated).agg(*(F.count_if(safe == c).alias(f"n{i}") for i, c in enumerate(COUNT_TABLE_ORDER)))
     rows = F.array(*(F.struct(F.lit(c).alias("kmer_type"), F.nullif(F.col(f"n{i}"), F.lit(0)).alias("count"))
                      for i, c in enumerate(COUNT_TABLE_ORDER)))
     return agg.select(F.explode(rows).alias("r")).select("r.kmer_type", "r.count")

@@ -15,7 +15,6 @@ from seqloom.operators import lists as ls
 from seqloom.operators import matching as mt
 from seqloom.operators import ordinals as od
 from seqloom.operators import quality as ql
-from seqloom.operators.cells import parts_for
 from seqloom.session import materialize
 from seqloom.sources import tables as tb
 
@@ -43,10 +42,6 @@ def _turn_windows(spark, sf_dir, ks, reference=False):
     return km.tagged_windows(sequences, ks, ref)
 
 
-def _turn_parts(spark, sf_dir):
-    return parts_for(tb.load(spark, sf_dir, "conversations").count())
-
-
 @query
 def kmer_category_counts_k9(spark, sf_dir):
     tagged = _document_windows(spark, sf_dir, [9], reference=True)
@@ -73,7 +68,7 @@ def kmer_pile_summary_keep_ambiguous(spark, sf_dir):
 
 @query
 def kmer_piles_k9(spark, sf_dir):
-    table = km.pile_table(_turn_windows(spark, sf_dir, [9]), "short", "long", parts=_turn_parts(spark, sf_dir))
+    table = km.pile_table(_turn_windows(spark, sf_dir, [9]), "short", "long")
     return km.sort_piles(table, "short", "long").drop("k")
 
 
@@ -92,8 +87,7 @@ def kmer_ref_annotate_k9(spark, sf_dir):
 @query
 def kmer_ref_proteins_k9(spark, sf_dir):
     tagged = _turn_windows(spark, sf_dir, [9], reference=True)
-    return km.pile_table(tagged, "short", "long", reference=True, track_ids=True,
-                         parts=_turn_parts(spark, sf_dir)).drop("k")
+    return km.pile_table(tagged, "short", "long", reference=True, track_ids=True).drop("k")
 
 
 @query
@@ -187,8 +181,7 @@ def _matches(spark, sf_dir):
 @query
 def exact_li_match(spark, sf_dir):
     peptides, _, matches = _matches(spark, sf_dir)
-    parts = parts_for(tb.load(spark, sf_dir, "documents").count())
-    return mt.match_table(peptides, matches, parts)
+    return mt.match_table(peptides, matches)
 
 
 @query

@@ -16,7 +16,6 @@ from seqloom.operators import lists as ls
 from seqloom.operators import matching as mt
 from seqloom.operators import ordinals as od
 from seqloom.operators import quality as ql
-from seqloom.operators.cells import parts_for
 from seqloom.operators.dedup import Dedup
 from seqloom.session import materialize
 from seqloom.sinks import files as sinks
@@ -45,12 +44,11 @@ def assign_piles(spark: SparkSession, file1: str, file2: str, outdir: str, label
     if common:
         log.warning("%d ids appear in both files and cannot be told apart in the output", common)
     tagged = km.tagged_windows(sequences, list(ks), skip_ambiguous=not keep_ambiguous)
-    piles = materialize(km.pile_table(tagged, label1, label2, parts=parts_for(sequences.count())))
+    piles = materialize(km.pile_table(tagged, label1, label2))
     for k in ks:
         table = km.sort_piles(piles.filter(F.col("k") == k).drop("k"), label1, label2)
         sinks.write_tsv(table, f"{outdir}/kmers_k{k}.tsv")
-    per_kmer = piles if "part" not in piles.columns else piles.dropDuplicates(["k", "kmer"])
-    return km.pile_summary(per_kmer, label1, label2)
+    return km.pile_summary(piles, label1, label2)
 
 
 def annotate_piles(spark: SparkSession, inputs: Sequence[str], reference: str, outdir: str,
@@ -63,11 +61,10 @@ def annotate_piles(spark: SparkSession, inputs: Sequence[str], reference: str, o
     """
     ks = {path: src.k_of(path) for path in inputs}
     records = km.record_stream(src.read_fasta(spark, reference))
-    parts = parts_for(records.count()) if track_ids else 1
     windows = km.windows(records, sorted(set(ks.values())), not keep_ambiguous)
     summaries = {}
     for path, k in sorted(ks.items(), key=lambda item: item[1]):
-        index = km.reference_index(windows.filter(F.col("k") == k), track_ids, parts)
+        index = km.reference_index(windows.filter(F.col("k") == k), track_ids)
         annotated = materialize(km.annotate(src.read_piles(spark, path), index))
         stem = src.label_of(path)
         sinks.write_tsv(annotated, f"{outdir}/{stem}_annotated.tsv")
@@ -125,7 +122,7 @@ def match_exact(spark: SparkSession, peptides: str, fasta: str, out: str) -> Dat
     wanted = src.read_peptides(spark, peptides)
     proteins = materialize(mt.protein_index(src.read_fasta(spark, fasta)))
     matches = materialize(mt.protein_matches(wanted, proteins))
-    table = mt.match_table(wanted, matches, parts_for(proteins.count()))
+    table = mt.match_table(wanted, matches)
     sinks.write_tsv(table.orderBy("idx").drop("idx"), out)
     return mt.matched_fraction(wanted, matches)
 
@@ -135,8 +132,7 @@ def parse_hits(spark: SparkSession, tool: str, hits_tsv: str, out: str, min_pide
     """Summary of the accepted alignment hits; returns the filter funnel."""
     hits = src.read_hits(spark, hits_tsv)
     kept = ht.filter_hits(hits, tool, min_pident, max_mismatch)
-    parts = parts_for(kept.select("subject_id").distinct().count())
-    sinks.write_tsv(ht.summarize_hits(kept, tool, parts).orderBy("peptide"), out)
+    sinks.write_tsv(ht.summarize_hits(kept, tool).orderBy("peptide"), out)
     return ht.hit_funnel(hits, min_pident, max_mismatch)
 
 

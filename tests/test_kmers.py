@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.operators import cells
 from seqloom.operators import kmers as km
 from seqloom.operators.cells import parts_for
+from seqloom.plans.catalog import QUERIES
 
 SHORT = [(0, "t1", "*macde*"), (1, "t2", "MAC"), (2, "t2", "ACD"), (3, "t3", "**"), (4, "t2", "*")]
 LONG = [(0, "u1", "CDEXF"), (1, "u2", "ACD"), (2, "u3", "AC")]
@@ -120,3 +122,25 @@ def test_piles_partition_the_union(sequences):
     everything = km.windows(sequences, [2]).select("kmer").distinct()
     assert counts.count() == everything.count()
     assert counts.filter((F.col("file1_count") == 0) & (F.col("file2_count") == 0)).count() == 0
+
+
+def test_queries_have_one_schema_at_every_size(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    keys = {"kmer_piles_k9": "kmer", "kmer_ref_proteins_k9": "kmer", "exact_li_match": "idx"}
+    tables = {name: QUERIES[name](spark, sf_dir) for name in keys}
+    monkeypatch.setattr(cells, "IDS_PER_CELL", 20)
+    for name, key in keys.items():
+        small = QUERIES[name](spark, sf_dir)
+        assert small.schema == tables[name].schema and "part" not in small.columns
+        assert small.count() == small.select(key).distinct().count() == tables[name].count()
+
+
+def test_categories_count_kmers_not_parts(sequences, reference):
+    tagged = km.tagged_windows(sequences, [3])
+    index = km.reference_index(km.windows(reference, [3]), track_ids=True)
+    whole, split = (km.annotate(km.pile_table(tagged, "short", "long", parts=n), index) for n in (1, 3))
+    assert split.count() > whole.count()
+    parted = km.reference_index(km.windows(reference, [3]), track_ids=True, parts=3)
+    assert sorted(km.annotate(whole.select("kmer", "pile"), parted).collect()) == sorted(km.annotate(whole.select("kmer", "pile"), index).collect())
+    for f in (km.category_summary, km.category_count_table):
+        assert sorted(map(str, f(split).collect())) == sorted(map(str, f(whole).collect()))
