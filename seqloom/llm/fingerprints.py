@@ -6,7 +6,9 @@ if the least hash among the inner runs of S units stands at the first or the
 last place (ties count). The choice looks at those K units alone, so equal
 passages give equal anchors wherever they stand and edits disturb only the
 anchors over them; of any K - S + 1 neighbouring positions at least one is
-chosen. A text of fewer than K units has one anchor: all its units.
+chosen. A text of fewer than K units has one anchor: all its units. A text of
+so few more that no position is chosen has one as well: the first K units over
+the least inner hash.
 """
 
 from __future__ import annotations
@@ -52,6 +54,9 @@ def with_anchors(df: DataFrame, text: str, out: str, positions: bool = False) ->
     at_edge = lambda low, i: (F.get(F.col(hashes), i) == low) | (F.get(F.col(hashes), i + (inner - 1)) == low)
     where = f"__{out}_at"
     df = df.withColumn(where, F.filter(F.transform(current, lambda low, i: F.when(at_edge(low, i), i)), lambda i: i.isNotNull()))
+    # A text of fewer than K - S + 1 positions may have none chosen.
+    first_least = F.array_position(current, F.array_min(current)).cast("int") - 1
+    df = df.withColumn(where, F.when(F.size(where) > 0, F.col(where)).otherwise(F.array(first_least)))
     # Every second inner hash covers the K units.
     anchor = lambda i: F.hash(*[F.get(F.col(hashes), i + j) for j in range(0, inner, S)], F.get(F.col(hashes), i + (inner - 1)))
     value = (lambda i: F.struct(i.alias("position"), anchor(i).alias("hash"))) if positions else anchor
@@ -63,7 +68,7 @@ def with_anchors(df: DataFrame, text: str, out: str, positions: bool = False) ->
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the anchors that two texts have in common, 0 to 1; two texts without any are alike."""
+    """Share of the anchors that two texts have in common, 0 to 1; two texts without any have no units and are alike."""
     both = F.size(F.array_union(a, b))
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 

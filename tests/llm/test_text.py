@@ -167,3 +167,16 @@ def test_passages_match_by_position(spark):
     right = spark.createDataFrame([("b", shared + " and an end"), ("c", "nothing in common at all with the other text of this test")], "id string, text string")
     found = fingerprints.matches(*[fingerprints.with_anchors(x, "text", "anchors", positions=True) for x in (left, right)]).collect()
     assert len(found) > 10 and {(r["right_id"], r["left_position"] - r["right_position"]) for r in found} == {("b", 3)}
+
+
+def test_short_texts_have_anchors(spark):
+    texts = [(n, i, " ".join(f"{n:x}.{i:x}.{j:x}" for j in range(n))) for n in range(1, 16) for i in range(12)]
+    df = spark.createDataFrame([*texts, (0, 0, ""), (0, 1, " \n")], "n int, i int, text string")
+    df = fingerprints.with_anchors(fingerprints.with_anchors(df, "text", "a"), "text", "p", positions=True)
+    got = df.select("n", "a", "p").collect()
+    assert all((len(r["a"]) > 0) == (r["n"] > 0) and [x["hash"] for x in r["p"]] == r["a"] for r in got)
+    assert all(0 <= x["position"] <= max(0, r["n"] - fingerprints.K) for r in got for x in r["p"])
+    pairs = df.where("n in (0, 9)").select("n", "i", "a")
+    pairs = pairs.alias("l").crossJoin(pairs.alias("r").select(F.col("n").alias("m"), F.col("i").alias("j"), F.col("a").alias("b")))
+    for r in pairs.select("n", "i", "m", "j", fingerprints.likeness("a", "b").alias("like")).collect():
+        assert r["like"] == (1.0 if r["n"] == r["m"] == 0 or (r["n"], r["i"]) == (r["m"], r["j"]) else 0.0)
