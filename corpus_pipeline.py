@@ -13,6 +13,8 @@ from seqloom.llm import mixing, near_dedup, packing, quality_rules, toxicity
 from seqloom.llm.encoding import vocabulary
 from seqloom.llm.storage import store
 
+#: Texts that share this many hundredths of their five-word shingles are near copies.
+NEAR_PERCENT = 80
 #: Share of the tokens that the mixture keeps. A document is taken once at most, as copies were just removed.
 MIX_SHARE, MIX_EPOCHS = 0.9, 1
 
@@ -29,7 +31,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ of as many from collection B, each half-key hashing ``ROWS`` minhashes. So
 HALVES^2 tables of 2 * ROWS minhashes each need only 2 * HALVES * ROWS
 minhashes. Two sets of similarity s share a table unless they share no half-key
 of A or none of B; at s = 0.85 that is missed with 2 * (1 - 0.85^4)^16 = 1.5e-5.
+A lower threshold takes more half-keys: at 0.8, 22 of them miss 1.9e-5.
 
 Half-keys that occur once are dropped before pairs are formed. The members of a
 table bucket are compared with the bucket's most connected member; where a
@@ -15,6 +16,7 @@ blocks. All comparisons are exact, on full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,17 +29,33 @@ from seqloom.llm.storage import store, text_batches
 
 SHINGLE_WORDS = 5
 HALVES, ROWS = 16, 4
-#: A link is an intersection of at least this many hundredths of the union.
+#: A link is an intersection of at least this many hundredths of the union, if nothing else is asked for.
 PERCENT = 85
+#: The most pairs at the threshold that may share no table.
+MISSED = 2e-5
 #: Documents and shingles in a block of a family that is compared as a whole.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 
-_random = np.random.default_rng(20240229)
-_TIMES = _random.integers(0, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _random.integers(0, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def halves_for(percent: int) -> int:
+    """Half-keys of each collection, ``HALVES`` or as many more as a threshold needs."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be 1 to 100, got {percent}")
+    halves = HALVES
+    while 2 * (1 - (percent / 100) ** ROWS) ** halves > MISSED:
+        halves += 1
+    return halves
+
+
+@cache
+def _minhashes(halves: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(20240229)
+    times, plus = (random.integers(0, 1 << 63, 2 * halves * ROWS, dtype=np.uint64) for _ in range(2))
+    return times * np.uint64(2) + np.uint64(1), plus
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -60,13 +78,14 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.unique(_mix(folded + np.uint64(min(len(words), SHINGLE_WORDS))))
 
 
-def half_keys(shingles: np.ndarray) -> np.ndarray:
+def half_keys(shingles: np.ndarray, halves: int = HALVES) -> np.ndarray:
     """The half-keys of A, then those of B."""
-    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, dtype=np.uint64)
+    times, plus = _minhashes(halves)
+    least = np.full(len(times), np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 1024):
-            least = np.minimum(least, (_TIMES[:, None] * shingles[None, at : at + 1024] + _PLUS[:, None]).min(axis=1))
-        rows = least.reshape(2 * HALVES, ROWS)
+            least = np.minimum(least, (times[:, None] * shingles[None, at : at + 1024] + plus[:, None]).min(axis=1))
+        rows = least.reshape(2 * halves, ROWS)
         key = rows[:, 0].copy()
         for j in range(1, ROWS):
             key = key * _FOLD + _mix(rows[:, j])
@@ -79,7 +98,7 @@ def set_id(shingles: np.ndarray) -> int:
         return int(_mix(np.array([_mix(shingles ^ _FOLD).sum() + np.uint64(len(shingles))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, halves: int = HALVES) -> DataFrame:
     """(doc_id, n_shingles, node, halves). Without words or without an id, node is null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +110,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 named = len(shingles) > 0 and doc is not None
                 nodes.append(set_id(shingles) if named else None)
                 if named:
-                    keys.append(half_keys(shingles))
-                ends.append(ends[-1] + 2 * HALVES * named)
+                    keys.append(half_keys(shingles, halves))
+                ends.append(ends[-1] + 2 * halves * named)
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
@@ -103,14 +122,14 @@ def signatures(docs: DataFrame) -> DataFrame:
         sign, "doc_id long, n_shingles long, node long, halves array<long>")
 
 
-def table_buckets(nodes: DataFrame) -> DataFrame:
+def table_buckets(nodes: DataFrame, n_halves: int = HALVES) -> DataFrame:
     """(bucket, hub, node) of all tables with more than one member; buckets with the same members once."""
     halves = store(nodes.select("node", F.posexplode("halves").alias("slot", "half")), "halves")
     shared = halves.groupBy("slot", "half").agg(F.count("*").alias("n")).where("n > 1")
     kept = halves.join(shared, ["slot", "half"]).groupBy("node").agg(
-        F.collect_list(F.struct("slot", "half")).alias("h"), F.sum("n").alias("score"))  # at most 2 * HALVES
-    sides = kept.select("node", "score", F.filter("h", lambda x: x["slot"] < HALVES).alias("a"),
-                        F.filter("h", lambda x: x["slot"] >= HALVES).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+        F.collect_list(F.struct("slot", "half")).alias("h"), F.sum("n").alias("score"))  # at most 2 * n_halves
+    sides = kept.select("node", "score", F.filter("h", lambda x: x["slot"] < n_halves).alias("a"),
+                        F.filter("h", lambda x: x["slot"] >= n_halves).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
     tables = store(sides.select("node", "score", F.explode("a").alias("a"), "b").select("node", "score", "a", F.explode("b").alias("b"))
                    .select(F.xxhash64("a.slot", "a.half", "b.slot", "b.half").alias("bucket"), "node", "score"), "tables")
     buckets = tables.groupBy("bucket").agg(
@@ -136,11 +155,11 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("node", "text").mapInArrow(cut, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
-    return 100 * common >= PERCENT * (a + b - common)
+def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | bool:
+    return 100 * common >= percent * (a + b - common)
 
 
-def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The edges (a, b) whose full sets are linked."""
     pairs = edges.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -152,13 +171,13 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (sa, sb))
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                keep.append(bool(linked(int((y[at] == x).sum()), len(x), len(y))))
+                keep.append(bool(linked(int((y[at] == x).sum()), len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> Iterator[tuple[int, int]]:
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Linked pairs (i, j) between two lists of sets, or inside one, by exact counts of common shingles."""
     sets = left + (right or [])
     flat = np.concatenate(sets)
@@ -179,20 +198,20 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> Itera
         common += present[:n] @ (present[n:] if right is not None else present).T
     a = np.array([len(s) for s in left])[:, None]
     b = np.array([len(s) for s in (right if right is not None else left)])[None, :]
-    for i, j in np.argwhere(linked(np.rint(common).astype(np.int64), a, b)):
+    for i, j in np.argwhere(linked(np.rint(common).astype(np.int64), a, b, percent)):
         if right is not None or i < j:
             yield int(i), int(j)
 
 
-def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def family_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links inside families (family, node, label, n), all against all in blocks.
 
-    Linked sets differ in size by less than a factor of 1 / 0.85, so blocks are
+    Linked sets differ in size by a factor of 100 / percent at most, so blocks are
     cut by size class and only the same and the next class meet. Of the links
     found in a block, those that join two labels are returned, enough to
     connect what is connected.
     """
-    sized = members.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int"))
+    sized = members.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / min(percent, 99)))).cast("int"))
     cells = sized.groupBy("family", "size_class").agg(F.count("*").alias("docs"), F.sum("n").alias("hashes")).select(
         "family", "size_class", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("hashes") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     after = cells.select("family", (F.col("size_class") - 1).alias("size_class"), F.col("blocks").alias("above"))
@@ -223,7 +242,7 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
                 return x
 
             a, b = parts[0], parts[-1]
-            for i, j in block_links(sets_[0], None if same else sets_[1]):
+            for i, j in block_links(sets_[0], None if same else sets_[1], percent):
                 x, y = top(a.label.iloc[i]), top(b.label.iloc[j])
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -233,13 +252,13 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("family", "c1", "b1", "c2", "b2").applyInPandas(compare, "a long, b long")
 
 
-def link_labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def link_labels(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of all nodes with links."""
-    buckets = store(table_buckets(nodes), "buckets")
+    buckets = store(table_buckets(nodes, halves_for(percent)), "buckets")
     edges = store(buckets.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     near = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     sets = store(candidate_sets(docs, nodes.select("node", "rep").join(near, "node")), "sets")
-    links = store(verified(edges, sets), "links")
+    links = store(verified(edges, sets, percent), "links")
     labels = components(links)
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     undecided = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
@@ -247,11 +266,11 @@ def link_labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     families = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     members = (rest.select("node", "label").distinct().join(families.select("node", F.col("label").alias("family")), "node")
                .join(nodes.select("node", F.col("n_shingles").alias("n")), "node"))
-    more = store(family_links(store(members, "members"), sets), "links")
+    more = store(family_links(store(members, "members"), sets, percent), "links")
     return components(links.union(more))
 
 
-def duplicate_classes(docs: DataFrame) -> DataFrame:
+def duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents.
 
     Equal sets are one node. Null or wordless texts have no shingles and are
@@ -259,11 +278,11 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     repeat an id get a row each. An empty table gives none.
     """
     text_batches(docs.sparkSession)
-    signed = store(signatures(docs), "signatures")
+    signed = store(signatures(docs, halves_for(percent)), "signatures")
     nodes = store(signed.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct("doc_id", "n_shingles", "halves")).alias("s")).select(
             "node", F.col("s.doc_id").alias("rep"), "s.n_shingles", "s.halves"), "nodes")
-    labels = store(link_labels(docs, nodes), "labels")
+    labels = store(link_labels(docs, nodes, percent), "labels")
     least = nodes.select("node", "rep").join(labels, "node").groupBy("label").agg(F.min("rep").alias("least"))
     named = nodes.select("node", "rep").join(labels, "node", "left").join(least, "label", "left").select(
         "node", F.coalesce("least", "rep").alias("component_id"))
@@ -273,11 +292,11 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each class, with all its columns: the one with the least
     id. Rows that repeat an id and a text stay once; rows without an id are
     linked with nothing, but equal texts among them stay once too."""
-    gone = duplicate_classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
+    gone = duplicate_classes(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
     marked = docs.withColumns({"__gone_id": F.col("doc_id").cast("long"), "__gone_text": F.xxhash64("text")})
     left = marked.join(gone, "__gone_id", "left_anti").dropDuplicates(["__gone_id", "__gone_text"])
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -68,6 +68,22 @@ def test_one_of_each_group_stays(docs, no_docs):
     assert near_dedup.keep_one(no_docs).count() == 0 and near_dedup.duplicate_classes(no_docs).count() == 0
 
 
+def test_pipeline_links_from_80_percent(spark):
+    from fractions import Fraction
+
+    words = [f"w{i}" for i in range(504)]
+    # 500 shingles; n new words at the end leave 500 - n of them, and 500 + n in the union.
+    texts = {i: " ".join(words[: 504 - n] + [f"e{i}.{j}" for j in range(n)]) for i, n in enumerate([0, 55, 56, 50])}
+    like = lambda x, y: Fraction(len(x & y), len(x | y))
+    found = [like(shingles(texts[0]), shingles(t)) for t in texts.values()]
+    assert [x >= Fraction(4, 5) for x in found] == [True, True, False, True] and max(found[1:]) < Fraction(85, 100)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == [0, 2]
+    assert near_dedup.keep_one(docs).count() == 4
+    assert near_dedup.halves_for(85) == near_dedup.HALVES and 2 * (1 - 0.8**4) ** near_dedup.halves_for(80) < 2e-5
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
