@@ -25,8 +25,8 @@ from seqloom.llm.encoding import encoder
 from seqloom.llm.ranges import null_first, range_of, splitters
 from seqloom.llm.storage import store, text_batches
 
-#: Characters after which a segment ends, and the turns of a path that order conversations.
-SEGMENT_CHARS, KEY_TURNS = 1 << 18, 8
+#: Characters after which a segment ends, and the turns of a path that cut ranges; inside a range all turns order it.
+SEGMENT_CHARS, KEY_TURNS = 1 << 18, 32
 #: Characters of each range of paths, and the most ranges.
 RANGE_CHARS, MAX_RANGES = 2 << 20, 1 << 14
 
@@ -122,33 +122,32 @@ class _Segment:
 
 
 def conversation_paths(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns in order, path). Rows of a conversation are ordered by
-    turn, role and text, nulls first; null roles and texts are empty; rows
-    without a conv_id are one conversation."""
+    """(conv_id, turns in order, path, key). Rows of a conversation are ordered
+    by turn, role and text, nulls first; null roles and texts are empty; rows
+    without a conv_id are one conversation. The path has a hash of every turn;
+    the key has four digits of each of the first, and cuts ranges."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    chain = F.aggregate(
-        F.slice("turns", 1, KEY_TURNS), F.struct(F.lit(0).cast("long").alias("h"), F.lit("").alias("path")),
-        lambda acc, t: F.struct(F.xxhash64(acc["h"], t["role"], t["text"]).alias("h"),
-                                F.concat(acc["path"], F.lpad(F.hex(F.xxhash64(acc["h"], t["role"], t["text"])), 16, "0")).alias("path")))
+    path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
+    key = F.array_join(F.transform(F.slice("path", 1, KEY_TURNS), lambda h: F.lpad(F.hex(h.bitwiseAND(0xFFFF)), 4, "0")), "")
     size = F.aggregate("turns", F.lit(16).cast("long"), lambda acc, t: acc + F.length(t["text"]) + 16)
-    return grouped.select("conv_id", "turns", chain["path"].alias("path"), size.alias("w"), null_first("conv_id").alias("id"))
+    return grouped.withColumn("path", path).select("conv_id", "turns", "path", key.alias("key"), size.alias("w"), null_first("conv_id").alias("id"))
 
 
 def format_conversations(conversations: DataFrame, tokenizer: str, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """Segments of the prefix trees of all conversations.
 
-    Paths are range-partitioned by sampled splitters over (path, conv_id), so a
+    Paths are range-partitioned by sampled splitters over (key, conv_id), so a
     tree that holds a third of all conversations is spread over many tasks;
     where a range or segment begins inside a tree, the turns above are written
     once more. A conversation is never cut. No conversations, no segments.
     """
     text_batches(conversations.sparkSession)
     paths = store(conversation_paths(conversations), "paths")
-    keys = ["path", "id"]
+    keys = ["key", "id"]
     total = paths.agg(F.sum("w")).first()[0] or 0
     bounds = splitters(paths, keys, "w", min(MAX_RANGES, max(1, total // RANGE_CHARS)))
-    ranged = paths.select(range_of(paths, keys, bounds).alias("range"), *keys, "conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    ranged = paths.select(range_of(paths, keys, bounds).alias("range"), "path", "id", "conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -164,7 +163,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str, segment_chars
         if segment.convs:
             yield segment.batch(current, number)
 
-    return ranged.repartition("range").sortWithinPartitions("range", *keys).mapInArrow(build, SEGMENT_SCHEMA)
+    return ranged.repartition("range").sortWithinPartitions("range", "path", "id").mapInArrow(build, SEGMENT_SCHEMA)
 
 
 def read_conversations(segments: DataFrame) -> DataFrame:

@@ -148,6 +148,15 @@ def test_conversations_survive(spark, monkeypatch, chars, ranges):
             assert s["position_ids"][a:b] == list(range(len(chain) - (b - a), len(chain)))
 
 
+def test_shared_turns_stand_once_at_any_depth(spark):
+    long = [f"t{i}" for i in range(60)]
+    said = {1: [*long[:9], "x"], 2: [*long[:8], "z"], 3: [*long[:9], "y"], 4: [*long, "p"], 5: [*long[:50], "q"], 6: [*long, "r"]}
+    rows = [(c, k, "user", t) for c, turns in said.items() for k, t in enumerate(turns)]
+    segments = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), BYTES)
+    nodes = len({tuple(turns[: k + 1]) for turns in said.values() for k in range(len(turns))})
+    assert [len(r["node_parent"]) for r in segments.collect()] == [nodes]
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_conversations(chat.format_conversations(empty, BYTES)).count() == 0
