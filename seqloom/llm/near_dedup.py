@@ -99,7 +99,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, halves: int = HALVES) -> DataFrame:
-    """(doc_id, n_shingles, node, halves). Without words or without an id, node is null."""
+    """(doc_id, text_hash, n_shingles, node, halves). Without words or without an id, node is null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,12 +114,12 @@ def signatures(docs: DataFrame, halves: int = HALVES) -> DataFrame:
                 ends.append(ends[-1] + 2 * halves * named)
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n_shingles", "node", "halves"])
+                names=["doc_id", "text_hash", "n_shingles", "node", "halves"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, node long, halves array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        sign, "doc_id long, text_hash long, n_shingles long, node long, halves array<long>")
 
 
 def table_buckets(nodes: DataFrame, n_halves: int = HALVES) -> DataFrame:
@@ -271,7 +271,12 @@ def link_labels(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Da
 
 
 def duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of documents.
+    """(doc_id, n_shingles, component_id, kept) for every row of documents."""
+    return text_classes(docs, percent).drop("text_hash")
+
+
+def text_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) for every row of documents.
 
     Equal sets are one node. Null or wordless texts have no shingles and are
     linked with nothing, like rows without an id, which are kept. Rows that
@@ -288,15 +293,17 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "node", F.coalesce("least", "rep").alias("component_id"))
     out = signed.drop("halves").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each class, with all its columns: the one with the least
     id. Rows that repeat an id and a text stay once; rows without an id are
-    linked with nothing, but equal texts among them stay once too."""
-    gone = duplicate_classes(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
+    linked with nothing, but equal texts among them stay once too. Of rows
+    that share an id, those go whose own text is a copy."""
+    gone = text_classes(docs, percent).where(~F.col("kept")).select(
+        F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct()
     marked = docs.withColumns({"__gone_id": F.col("doc_id").cast("long"), "__gone_text": F.xxhash64("text")})
-    left = marked.join(gone, "__gone_id", "left_anti").dropDuplicates(["__gone_id", "__gone_text"])
+    left = marked.join(gone, ["__gone_id", "__gone_text"], "left_anti").dropDuplicates(["__gone_id", "__gone_text"])
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -68,6 +68,12 @@ def test_one_of_each_group_stays(docs, no_docs):
     assert near_dedup.keep_one(no_docs).count() == 0 and near_dedup.duplicate_classes(no_docs).count() == 0
 
 
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    copied, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(3, copied), (7, copied + " "), (7, other), (8, other)], "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in near_dedup.keep_one(docs).collect()) == [(3, copied), (7, other)]
+
+
 def test_pipeline_links_from_80_percent(spark):
     from fractions import Fraction
 
