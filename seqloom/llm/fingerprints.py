@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, in column expressions alone.
 
-A text is read as units: runs of up to eight characters without white space,
-so words and, in long unbroken runs, blocks. K consecutive units are an anchor
+A text is read as units: runs of up to 32 characters without white space, so
+words, and single characters in longer runs and in scripts written without
+spaces, whose characters also end a run. K consecutive units are an anchor
 if the least hash among the inner runs of S units stands at the first or the
 last place (ties count). The choice looks at those K units alone, so equal
 passages give equal anchors wherever they stand and edits disturb only the
@@ -21,7 +22,12 @@ from pyspark.sql import functions as F
 from seqloom.llm.ranges import MIN_LONG, null_first, range_of, splitters
 from seqloom.llm.storage import store
 
-UNIT = r"[^\x20\x09-\x0D]{1,8}"
+# White space, and all but the blocks of scripts written without spaces (Thai, Lao, Tibetan, Myanmar,
+# Khmer, Chinese, Japanese, full-width forms); what is most frequent is tried first.
+_SPACE = r"\x20\x09-\x0D"
+_WORD = (r"[\x21-\x{0DFF}\x{10A0}-\x{177F}\x{1800}-\x{2E7F}\x{A000}-\x{A9DF}\x{AA00}-\x{AA5F}\x{AA80}-\x{F8FF}\x{FB00}-\x{FE2F}"
+         r"\x{FE50}-\x{FEFF}\x{FFF0}-\x{1FFFF}\x{40000}-\x{10FFFF}\x00-\x08\x0E-\x1F]")
+UNIT = rf"(?<!{_WORD}){_WORD}{{1,32}}+(?!{_WORD})|[^{_SPACE}]"
 K, S = 8, 2
 #: Bytes of text of each range of documents, and the most ranges.
 RANGE_BYTES, MAX_RANGES = 4 << 20, 1 << 16

@@ -180,3 +180,18 @@ def test_short_texts_have_anchors(spark):
     pairs = pairs.alias("l").crossJoin(pairs.alias("r").select(F.col("n").alias("m"), F.col("i").alias("j"), F.col("a").alias("b")))
     for r in pairs.select("n", "i", "m", "j", fingerprints.likeness("a", "b").alias("like")).collect():
         assert r["like"] == (1.0 if r["n"] == r["m"] == 0 or (r["n"], r["i"]) == (r["m"], r["j"]) else 0.0)
+
+
+@pytest.mark.parametrize("script", ["".join(chr(0x4E00 + i * 37) for i in range(300)), "".join(chr(0x0E01 + i * i % 46) for i in range(300)),
+                                    "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(5))])
+def test_unbroken_passages_match_at_any_offset(spark, script):
+    rows = [("a", script), ("b", "q" * 3 + script), ("c", script[:100] + "q" + script[100:]), ("d", script[40:200])]
+    rows += [("e", script[:100]), ("f", script[100:])]
+    df = fingerprints.with_anchors(spark.createDataFrame(rows, "id string, text string"), "text", "anchors", positions=True)
+    got = {r["id"]: [(x["position"], x["hash"]) for x in r["anchors"]] for r in df.collect()}
+    hashes = {i: {h for _, h in found} for i, found in got.items()}
+    assert len(got["a"]) > 40
+    assert all(h in hashes["b"] for h in hashes["a"])
+    assert all(h in hashes["c"] for p, h in got["a"] if p + fingerprints.K <= 100 or p >= 100)
+    for name, low, high in (("d", 40, 200), ("e", 0, 100), ("f", 100, len(script))):
+        assert {h for p, h in got["a"] if p >= low and p + fingerprints.K <= high} == hashes[name]
