@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, fingerprints, mixing, near_dedup, packing, quality_rules, sharding, token_counts, token_files, toxicity
+from seqloom.llm import (
+    chat,
+    fingerprints,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    sharding,
+    token_counts,
+    token_files,
+    toxicity,
+    vector_codes,
+)
 from seqloom.llm.encoding import vocabulary
 from seqloom.llm.storage import shared_path, store
 
@@ -78,3 +90,8 @@ def op3_prefix_tree_chat(spark, sf_dir):
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
     segments = store(chat.format_conversations(conversations, vocabulary("byte_bpe_50k.json")), "segments")
     return chat.read_conversations(segments)
+
+
+@query
+def op12_walsh_hadamard_codes(spark, sf_dir):
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
