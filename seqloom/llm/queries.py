@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import (
     chat,
+    conversation_repair,
     fingerprints,
     mixing,
     near_dedup,
@@ -95,3 +96,8 @@ def op3_prefix_tree_chat(spark, sf_dir):
 @query
 def op12_walsh_hadamard_codes(spark, sf_dir):
     return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_target_alignment(spark, sf_dir):
+    return conversation_repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
