@@ -68,27 +68,26 @@ SEGMENT_SCHEMA = (
 class _Segment:
     """A prefix tree that grows in depth-first order."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.parts, self.chars, self.tokens = tokenizer, [], 0, 0
+    def __init__(self):
+        self.parts, self.chars, self.tokens = [], 0, 0
         self.ids, self.positions = [], []
         self.nodes: dict[str, list] = {n: [] for n in (
             "node_parent", "node_start", "node_end", "node_position", "loss_start", "loss_end", "token_start", "token_end", "attention")}
         self.stack: list[tuple[tuple[str, str], int]] = []
         self.convs, self.leaves = [], []
 
-    def add(self, conv_id: int | None, turns: list[tuple[str, str]]) -> None:
+    def add(self, conv_id: int | None, turns: list[tuple[str, str]], forms: dict[tuple[str, str], tuple[str, int, int, bytes]]) -> None:
+        """Add a conversation; ``forms`` has every turn as written, where its text begins and ends, and its ids."""
         shared = 0
         while shared < min(len(turns), len(self.stack)) and self.stack[shared][0] == turns[shared]:
             shared += 1
         del self.stack[shared:]
         for turn in turns[shared:]:
-            self._push(turn)
+            self._push(turn, *forms[turn])
         self.convs.append(conv_id), self.leaves.append(self.stack[-1][1])
 
-    def _push(self, turn: tuple[str, str]) -> None:
+    def _push(self, turn: tuple[str, str], written: str, begin: int, end: int, raw: bytes) -> None:
         n, parent = self.nodes, self.stack[-1][1] if self.stack else -1
-        written, begin, end = format_turn(*turn)
-        raw = self.tokenizer.encode(written)
         count = len(raw) // 4
         before = n["node_position"][parent] + n["node_end"][parent] - n["node_start"][parent] if parent >= 0 else 0
         token_before = self._token_position(parent)
@@ -151,15 +150,20 @@ def format_conversations(conversations: DataFrame, tokenizer: str, segment_chars
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        current, number, segment = None, 0, _Segment(enc)
+        current, number, segment = None, 0, _Segment()
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("range", "conv_id", "roles", "texts"))
-            for r, conv, roles, texts in zip(*columns, strict=True):
+            ranges, convs, roles, texts = (batch.column(c).to_pylist() for c in ("range", "conv_id", "roles", "texts"))
+            turns = [list(zip(a, b, strict=True)) for a, b in zip(roles, texts, strict=True)]
+            distinct = list(dict.fromkeys(turn for each in turns for turn in each))
+            written = [format_turn(*turn) for turn in distinct]
+            ids = enc.encode_all(w for w, _, _ in written)
+            forms = {turn: (*w, raw) for turn, w, raw in zip(distinct, written, ids, strict=True)}
+            for r, conv, each in zip(ranges, convs, turns, strict=True):
                 if segment.convs and (r != current or segment.chars >= segment_chars):
                     yield segment.batch(current, number)
-                    number, segment = (number + 1 if r == current else 0), _Segment(enc)
+                    number, segment = (number + 1 if r == current else 0), _Segment()
                 current = r
-                segment.add(conv, list(zip(roles, texts, strict=True)))
+                segment.add(conv, each, forms)
         if segment.convs:
             yield segment.batch(current, number)
 
