@@ -10,20 +10,24 @@ from itertools import islice
 
 import numpy as np
 
-#: Pieces kept by a worker process, and the longest that is kept.
-MEMO_PIECES = 3 << 17
+#: Bytes of remembered pieces in a worker process, what one takes beside its characters and ids, and the longest kept.
+MEMO_BYTES, MEMO_ENTRY = 64 << 20, 200
 MEMO_CHARS = 64
 #: Characters of texts that are looked up together.
 GROUP_CHARS = 1 << 20
 
 _WIDE_SPACE = re.compile(r"\s ")
 _PIECES = re.compile(r"\s*\S+|\s+")
-#: White space for Python that the tokenizers' patterns take as symbols.
 #: Pieces that both files encode by themselves in any run of such pieces, with one byte sequence for each.
 _PLAIN = re.compile(" [!-;=-~\xa1-\u012f]+")
+#: White space for Python that the tokenizers' patterns take as symbols.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def _footprint(entry: tuple[str, bytes]) -> int:
+    return MEMO_ENTRY + len(entry[0]) + len(entry[1])
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
@@ -39,6 +43,7 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {}
+        self._held = 0
         # A control token between pieces keeps them apart as if each were a text.
         self._mark, self._mark_id = "<|endoftext|>", self._tokenizer.token_to_id("<|endoftext|>")
         # Bytes that each token stands for; without spaces and in lower case if the file drops those.
@@ -111,9 +116,14 @@ class Encoder:
         for row, at, key in gaps:
             rows[row][at] = new[key]
         yield from map(b"".join, rows)
-        if len(memo) + len(new) > MEMO_PIECES:  # what came first is the most frequent
-            self._memo = dict(islice(memo.items(), MEMO_PIECES // 2))
-        self._memo.update((k, v) for k, v in new.items() if len(k) <= MEMO_CHARS)
+        kept = {k: v for k, v in new.items() if len(k) <= MEMO_CHARS}
+        size = sum(map(_footprint, kept.items()))
+        if self._held + size > MEMO_BYTES:  # what came first is the most frequent
+            self._memo = dict(islice(memo.items(), len(memo) // 2))
+            self._held = sum(map(_footprint, self._memo.items()))
+        if self._held + size <= MEMO_BYTES:
+            self._memo.update(kept)
+            self._held += size
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; a null text has none."""
@@ -130,7 +140,7 @@ class Encoder:
         return next(self._group([text]))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     return Encoder(path)

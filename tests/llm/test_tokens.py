@@ -25,14 +25,14 @@ def plain(path, text):
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_pieces_encode_as_the_whole_text(path):
     rng, encoder, tokenizer = random.Random(3), Encoder(path), Tokenizer.from_file(path)
-    letters = [*"ab Σ's \n\t\x1c\0 ́é<|>1½漢ςAİſ\xa0\xad", "<|endoftext|>", "<|startoftext|>", "  ", " \n", "'ll", "</w>", "</s>"]
+    letters = [*"ab Σ's \n\t\x1c\0 ́é<|>1½漢ςAİſ\xa0\xad", "<|endoftext|>", "<|startoftext|>", "  ", " \n", "'ll", "</w>", "</s>", " word", " été,", " Zoë.", " ĲĻ!"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
     for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_memo_overflow_changes_nothing(monkeypatch):
-    monkeypatch.setattr("seqloom.llm.encoding.MEMO_PIECES", 8)
+    monkeypatch.setattr("seqloom.llm.encoding.MEMO_BYTES", 2000)
     encoder = Encoder(BYTES)
     texts = [f"word{i} and word{i % 7} again" for i in range(40)] * 2
     got = [encoder.encode(t) for t in texts]
