@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqloom.llm import (
     chat,
     conversation_repair,
+    cutting_stock,
     fingerprints,
     mixing,
     near_dedup,
@@ -93,6 +94,11 @@ def op3_prefix_tree_chat(spark, sf_dir):
     return chat.read_conversations(segments)
 
 
+@query
+def op11_column_generation(spark, sf_dir):
+    return cutting_stock.document_packing(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 @query
 def op12_walsh_hadamard_codes(spark, sf_dir):
     return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
