@@ -130,7 +130,9 @@ def li_exact_overlap(spark, sf_dir):
 @query
 def li_substring_first_match(spark, sf_dir):
     denovo = _denovo(spark, sf_dir)
-    return ls.substring_pairs(denovo, ls.substring_containers(_db(spark, sf_dir), denovo))
+    pairs = ls.substring_pairs(denovo, ls.substring_containers(_db(spark, sf_dir), denovo))
+    place = [F.get("idx", F.lit(i)).alias(name) for i, name in enumerate(("conv_id", "turn", "pos"))]
+    return pairs.select("db_file", "denovo_file", *place, "denovo_original", "db_containing_peptide")
 
 
 @query
@@ -166,7 +168,7 @@ def length_filter_distinct(spark, sf_dir):
 @query
 def list_to_fasta(spark, sf_dir):
     words = tb.document_words(spark, sf_dir).select("idx", "peptide")
-    named = od.with_peptide_ids(words, "tool", ["idx"], F.shiftright("idx", 26))
+    named = od.with_peptide_ids(words, "tool", ["idx"])
     return named.select("ordinal", tx.fasta_record(F.col("id"), F.col("peptide")).alias("record"))
 
 
@@ -262,7 +264,7 @@ def prediction_key(spark, sf_dir):
 @query
 def qc_to_fasta(spark, sf_dir):
     kept = tb.isoforms(spark, sf_dir).filter(mt.has_protein(F.col("ORF_seq")))
-    return kept.select("idx", tx.fasta_record(F.col("isoform"), tx.strip_trailing_stops(F.col("ORF_seq"))).alias("record"))
+    return kept.select("conv_id", "turn", tx.fasta_record(F.col("isoform"), tx.strip_trailing_stops(F.col("ORF_seq"))).alias("record"))
 
 
 @query

@@ -23,9 +23,6 @@ from seqloom.sources import files as src
 
 log = logging.getLogger("seqloom")
 
-# Positions of lines are numbered per piece of this many bytes (2^26).
-_CHUNK_BITS = 26
-
 
 def assign_piles(spark: SparkSession, file1: str, file2: str, outdir: str, label1: str = "file1",
                  label2: str = "file2", ks: Sequence[int] = (9,), keep_ambiguous: bool = False) -> DataFrame:
@@ -139,7 +136,7 @@ def parse_hits(spark: SparkSession, tool: str, hits_tsv: str, out: str, min_pide
 def list_to_fasta(spark: SparkSession, peptides: str, tool: str, out: str) -> None:
     """FASTA of a peptide list with numbered names."""
     lines = src.read_peptides(spark, peptides)
-    named = od.with_peptide_ids(lines, tool, ["idx"], F.shiftright("idx", _CHUNK_BITS))
+    named = od.with_peptide_ids(lines, tool, ["idx"])
     sinks.write_fasta(named.withColumnRenamed("peptide", "seq"), out, order=["ordinal"])
 
 

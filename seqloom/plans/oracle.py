@@ -10,7 +10,7 @@ LETTERS = "upper(regexp_replace({}, '[^A-Za-z]', '', 'g'))"
 DOCS = f"""docs AS (SELECT doc_id AS rec_idx, CAST(doc_id AS VARCHAR) AS id,
   CASE WHEN source IN ('src0', 'src1') THEN 1 ELSE 2 END AS side, {LETTERS.format('text')} AS seq FROM documents)"""
 
-TURNS = f"""turns AS (SELECT conv_id * 10000 + turn AS rec_idx, CAST(conv_id AS VARCHAR) AS id,
+TURNS = f"""turns AS (SELECT [conv_id, turn] AS rec_idx, CAST(conv_id AS VARCHAR) AS id,
   CASE WHEN role = 'user' THEN 1 ELSE 2 END AS side, {LETTERS.format('text')} AS seq FROM conversations)"""
 
 OWN_TURNS = TURNS.replace("CAST(conv_id AS VARCHAR) AS id", "conv_id || '.' || turn AS id")
@@ -88,12 +88,12 @@ SELECT k, pile, n, {_PCT} FROM (SELECT t.k, p.pile, t.total,
   (SELECT count(*) FROM counted c WHERE c.k = t.k AND (c.pile = p.pile OR p.pile = 'TOTAL')) AS n FROM totals t, piles p)"""
 
 
-WORDS = "unnest(regexp_extract_all({0}, '[A-Za-z]{{8,}}')) AS w, generate_subscripts(regexp_extract_all({0}, '[A-Za-z]{{8,}}'), 1) AS p"
+WORDS = "unnest(regexp_extract_all({0}, '[A-Za-z]+')) AS w, generate_subscripts(regexp_extract_all({0}, '[A-Za-z]+'), 1) AS p"
 DB = f"""db AS (SELECT label, idx, peptide, replace(peptide, 'I', 'L') AS norm FROM (
-  SELECT 'docs_' || lang AS label, doc_id * 1000000 + p - 1 AS idx, upper(w) AS peptide
+  SELECT 'docs_' || lang AS label, [doc_id, p - 1] AS idx, upper(w) AS peptide
   FROM (SELECT lang, doc_id, {WORDS.format('text')} FROM documents)))"""
 DENOVO = f"""dn AS (SELECT label, idx, peptide, replace(peptide, 'I', 'L') AS norm FROM (
-  SELECT 'turns_' || role AS label, (conv_id * 10000 + turn) * 1000000 + p - 1 AS idx,
+  SELECT 'turns_' || role AS label, [conv_id, turn, p - 1] AS idx,
   translate(upper(w), 'IL', 'LI') AS peptide
   FROM (SELECT role, conv_id, turn, {WORDS.format('text')} FROM conversations)))"""
 FIRSTS = """firsts AS (SELECT label AS db_file, norm, min(idx) AS first_idx, arg_min(peptide, idx) AS original
@@ -123,16 +123,16 @@ _MATCH = "WITH " + ",\n".join([DOCS, PROTEINS, PEPTIDES, MATCHED])
 MODIFIED = """modified AS (SELECT event_id, CASE WHEN upper(event_type) = 'ERROR' THEN '[only a tag]' ELSE
   ' ' || left(upper(event_type), 1) || '[' || props || ']' || substr(upper(event_type), 2) || '[UNIMOD:' || event_id || ']' END
   AS sequence FROM events)"""
-ISOFORMS = f"""isoforms AS (SELECT conv_id * 10000 + turn AS idx, conv_id || '.' || turn AS isoform,
+ISOFORMS = f"""isoforms AS (SELECT conv_id, turn, conv_id || '.' || turn AS isoform,
   CASE WHEN length(seq) % 5 = 0 THEN 'NA' ELSE seq || repeat('*', turn % 3) END AS orf
   FROM (SELECT *, {LETTERS.format('text')} AS seq FROM conversations))"""
 
 HITS = """words AS (SELECT DISTINCT upper(role) AS role, upper(w) AS qseq FROM
-  (SELECT role, unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM conversations)),
+  (SELECT role, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations)),
 varied AS (SELECT *, CASE (length(qseq) + ascii(qseq)) % 4 WHEN 0 THEN qseq WHEN 1 THEN replace(qseq, 'I', 'L')
   WHEN 2 THEN replace(qseq, 'A', 'T') ELSE left(qseq, length(qseq) - 1) END AS sseq FROM words),
 aligned AS (SELECT *, length(sseq) AS length,
-  CASE WHEN length(sseq) = length(qseq) THEN hamming(qseq, sseq) ELSE 0 END AS mismatch FROM varied),
+  CASE WHEN length(sseq) = length(qseq) THEN hamming(qseq, sseq) ELSE 0 END AS mismatch FROM varied WHERE sseq <> ''),
 hits AS (SELECT qseq AS query_id, role || '_' || sseq AS subject_id, CAST(100 AS DOUBLE) * (length - mismatch) / length AS pident,
   length, mismatch, qseq, sseq, CAST(0.001 AS DOUBLE) AS evalue FROM aligned)"""
 FULL = "length = length(qseq)"
@@ -179,7 +179,7 @@ ORACLE: dict[str, str] = {
     "li_exact_overlap": f"""WITH {DB}, {DENOVO} SELECT db.label AS db_file, dn.label AS denovo_file,
       db.peptide AS db_original, dn.peptide AS denovo_original, norm AS il_normalized, count(*) AS n_pairs
     FROM db JOIN dn USING (norm) GROUP BY 1, 2, 3, 4, 5""",
-    "li_substring_first_match": f"""WITH {DB}, {DENOVO}, {CONTAINERS} SELECT c.db_file, d.label AS denovo_file, d.idx,
+    "li_substring_first_match": f"""WITH {DB}, {DENOVO}, {CONTAINERS} SELECT c.db_file, d.label AS denovo_file, d.idx[1] AS conv_id, d.idx[2] AS turn, d.idx[3] AS pos,
       d.peptide AS denovo_original, c.original AS db_containing_peptide FROM dn d JOIN containers c USING (norm)""",
     "overlap_summary": f"""WITH {DB}, {DENOVO}, {CONTAINERS},
     files AS (SELECT db_file, denovo_file FROM (SELECT DISTINCT label AS db_file FROM db), (SELECT DISTINCT label AS denovo_file FROM dn)),
@@ -225,7 +225,7 @@ ORACLE: dict[str, str] = {
     "token_list_to_sequence": "SELECT event_id, upper(event_type) AS peptide FROM events",
     "prediction_key": f"""WITH {MODIFIED} SELECT event_id, upper(event_type) AS key FROM events
     UNION ALL SELECT -event_id, upper(trim(regexp_replace(sequence, '\\[.*?\\]', '', 'g'))) FROM modified""",
-    "qc_to_fasta": f"""WITH {ISOFORMS} SELECT idx, '>' || isoform || chr(10) || rtrim(orf, '*') AS record FROM isoforms
+    "qc_to_fasta": f"""WITH {ISOFORMS} SELECT conv_id, turn, '>' || isoform || chr(10) || rtrim(orf, '*') AS record FROM isoforms
     WHERE orf <> '' AND orf <> 'NA'""",
     "qc_counts": f"""WITH {ISOFORMS} SELECT count(*) FILTER (WHERE orf <> '' AND orf <> 'NA') AS written,
       count(*) FILTER (WHERE orf = '' OR orf = 'NA') AS skipped FROM isoforms""",

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Words of a text as peptides; the length filter of the list flow applies.
-WORD = "[A-Za-z]{8,}"
+# Words of a text as peptides, short ones as well.
+WORD = "[A-Za-z]+"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +48,11 @@ def reference_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_records(spark: SparkSession, sf_dir: str, own_ids: bool = False) -> DataFrame:
     """(rec_idx, id, side, seq): turns as records of one file per role. The id
     is the conversation, so it repeats within a role and its last turn counts;
-    with ``own_ids`` every turn has an id of its own."""
+    with ``own_ids`` every turn has an id of its own. Positions are [conv_id, turn]."""
     ident = F.concat_ws(".", "conv_id", "turn") if own_ids else F.col("conv_id").cast("string")
     turns = load(spark, sf_dir, "conversations")
     side = F.when(F.col("role") == "user", 1).otherwise(2)
-    return spread(turns).select((F.col("conv_id") * 10000 + F.col("turn")).alias("rec_idx"),
+    return spread(turns).select(F.array("conv_id", "turn").alias("rec_idx"),
                                 ident.alias("id"), side.alias("side"),
                                 residues(F.col("text")).alias("seq"))
 
@@ -64,17 +64,17 @@ def flipped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.translate(residues(F.col("text")), "IL", "LI").alias("peptide"))
 
 
-def _words(rows: DataFrame, label: Column, row: Column, text: str) -> DataFrame:
+def _words(rows: DataFrame, label: Column, row: list[str], text: str) -> DataFrame:
+    """(label, idx, peptide). ``idx`` is [row's key..., number of the word], which no two words share."""
     words = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(WORD), 0))
-    return (rows.select(label.alias("label"), row.alias("row"), words)
-            .select("label", (F.col("row") * 1_000_000 + F.col("pos")).alias("idx"),
-                    F.upper("col").alias("peptide")))
+    return (rows.select(label.alias("label"), *row, words)
+            .select("label", F.array(*row, F.col("pos").cast("bigint")).alias("idx"), F.upper("col").alias("peptide")))
 
 
 def document_words(spark: SparkSession, sf_dir: str, label: Column | None = None) -> DataFrame:
     """(label, idx, peptide): words of all documents, as one list or several."""
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    return _words(docs, F.lit("documents") if label is None else label, F.col("doc_id"), "text")
+    return _words(docs, F.lit("documents") if label is None else label, ["doc_id"], "text")
 
 
 def turn_words(spark: SparkSession, sf_dir: str, label: Column | None = None) -> DataFrame:
@@ -83,8 +83,7 @@ def turn_words(spark: SparkSession, sf_dir: str, label: Column | None = None) ->
     The exchange makes raw equality useless, so only the L/I rule finds them.
     """
     turns = spread(load(spark, sf_dir, "conversations"))
-    words = _words(turns, F.lit("conversations") if label is None else label,
-                   F.col("conv_id") * 10000 + F.col("turn"), "text")
+    words = _words(turns, F.lit("conversations") if label is None else label, ["conv_id", "turn"], "text")
     return words.withColumn("peptide", F.translate("peptide", "IL", "LI"))
 
 
@@ -118,14 +117,15 @@ def prediction_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment rows: each distinct word of the turns against a variation of
-    itself (same, I to L, A to T, last letter lost), chosen by its length."""
+    itself (same, I to L, A to T, last letter lost), chosen by its length. A
+    single letter that would be lost gives no row."""
     turns = spread(load(spark, sf_dir, "conversations"))
     word = F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("w")
     words = turns.select(F.upper(F.col("role")).alias("role"), word).select("role", F.upper("w").alias("qseq")).distinct()
     kind = (F.length("qseq") + F.ascii("qseq")) % 4
     sseq = (F.when(kind == 0, F.col("qseq")).when(kind == 1, F.translate("qseq", "I", "L"))
             .when(kind == 2, F.translate("qseq", "A", "T")).otherwise(F.expr("left(qseq, length(qseq) - 1)")))
-    rows = words.withColumn("sseq", sseq).withColumn("length", F.length("sseq"))
+    rows = words.withColumn("sseq", sseq).where("sseq != ''").withColumn("length", F.length("sseq"))
     at = F.sequence(F.lit(1), F.col("length"))
     differ = F.size(F.filter(at, lambda i: F.substring("qseq", i, F.lit(1)) != F.substring("sseq", i, F.lit(1))))
     rows = rows.withColumn("mismatch", F.when(F.length("qseq") == F.col("length"), differ).otherwise(0))
@@ -145,11 +145,10 @@ def modified_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, isoform, ORF_seq): turns as isoforms; a fifth lacks a sequence,
-    the others end in none to two stop marks."""
+    """(conv_id, turn, isoform, ORF_seq): turns as isoforms; a fifth lacks a
+    sequence, the others end in none to two stop marks."""
     turns = load(spark, sf_dir, "conversations")
     seq = residues(F.col("text"))
     orf = F.when(F.length(seq) % 5 == 0, F.lit("NA")).otherwise(
         F.concat(seq, F.expr("repeat('*', cast(turn % 3 as int))")))
-    return turns.select((F.col("conv_id") * 10000 + F.col("turn")).alias("idx"),
-                        F.concat_ws(".", "conv_id", "turn").alias("isoform"), orf.alias("ORF_seq"))
+    return turns.select("conv_id", "turn", F.concat_ws(".", "conv_id", "turn").alias("isoform"), orf.alias("ORF_seq"))

@@ -74,7 +74,7 @@ def test_length_filter(frame):
 
 def test_ordinals(frame):
     rows = [(i * 7, f"p{i}") for i in range(200)]
-    named = od.with_peptide_ids(frame(rows, "idx bigint, peptide string"), "t", ["idx"], F.shiftright("idx", 6))
+    named = od.with_peptide_ids(frame(rows, "idx bigint, peptide string"), "t", ["idx"])
     got = [(r.ordinal, r.id, r.peptide) for r in named.orderBy("ordinal").collect()]
     assert got == [(i + 1, f"t_peptide_{i + 1}", f"p{i}") for i in range(200)]
 
