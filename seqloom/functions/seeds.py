@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.functions.bloom import BloomFilters
+
 # Length classes: a pattern uses the largest one that fits it.
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 
@@ -85,24 +87,6 @@ def _sliding_mins(h: np.ndarray, widths: list[int]) -> Iterator[np.ndarray]:
         yield low if w == size else np.minimum(low[: len(h) - w + 1], low[w - size :])
 
 
-class SeedSet:
-    """Seeds behind a table of their low bits that rejects most others."""
-
-    def __init__(self, distinct: np.ndarray):
-        self.seeds = distinct
-        bits = min(max(16, int(len(self.seeds) * 16).bit_length()), 26)
-        self.mask = np.int64((1 << bits) - 1)
-        self.table = np.zeros(1 << bits, bool)
-        self.table[self.seeds & self.mask] = True
-
-    def contains(self, seed: np.ndarray) -> np.ndarray:
-        out = self.table[seed & self.mask]
-        maybe = np.flatnonzero(out)
-        at = np.searchsorted(self.seeds, seed[maybe])
-        out[maybe] = self.seeds[np.minimum(at, len(self.seeds) - 1)] == seed[maybe]
-        return out
-
-
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string column."""
     column = column.cast(pa.large_binary())
@@ -113,7 +97,7 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(data: np.ndarray, offsets: np.ndarray, classes: list[int],
-           keep: SeedSet | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+           keep: BloomFilters | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Per class the (row, seed) pairs, each once."""
     starts, ends, total = offsets[:-1], offsets[1:], int(offsets[-1])
     found: dict[int, list] = {m: [] for m in classes}
@@ -136,7 +120,7 @@ def _seeds(data: np.ndarray, offsets: np.ndarray, classes: list[int],
                 at = np.flatnonzero(fresh)
                 seed = _mixed(low[at] + np.uint64(m)).view(np.int64)
                 if keep is not None:
-                    hit = keep.contains(seed)
+                    hit = keep.contains(m, seed)
                     at, seed = at[hit], seed[hit]
                 at = at + lo
                 row = np.searchsorted(ends, at, side="right")
@@ -160,18 +144,18 @@ def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
     """(carry..., m, seed): one row per row of ``df``, class and seed.
 
     ``own_class`` takes the seeds of a row as a pattern, else those of all
-    ``classes`` (ascending) that fit it as a text. ``keep`` is a broadcast
-    array of sorted distinct seeds; others are dropped where they arise.
+    ``classes`` (ascending) that fit it as a text. ``keep`` is a broadcast of
+    the filters' tables; seeds outside them are dropped where they arise.
     """
     edges = np.array(CLASSES)
 
-    def as_texts(column: pa.Array, wanted: SeedSet | None):
+    def as_texts(column: pa.Array, wanted: BloomFilters | None):
         data, offsets = _buffers(column)
         longest = int(np.diff(offsets).max(initial=0))
         fitting = [m for m in classes if m <= longest]
         return _seeds(data, offsets, fitting, wanted).items() if fitting else ()
 
-    def as_patterns(column: pa.Array, wanted: SeedSet | None):
+    def as_patterns(column: pa.Array, wanted: BloomFilters | None):
         sizes = np.diff(_buffers(column)[1])
         own = edges[np.maximum(np.searchsorted(edges, sizes, side="right") - 1, 0)]
         for m in classes:
@@ -181,7 +165,7 @@ def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
                 yield m, (mine[row], seed)
 
     def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = SeedSet(keep.value) if keep is not None else None
+        wanted = BloomFilters(keep.value) if keep is not None else None
         for batch in batches:
             for m, (row, seed) in (as_patterns if own_class else as_texts)(batch.column(0), wanted):
                 if len(row):
@@ -224,10 +208,10 @@ def with_end_windows(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
 def with_windows(df: DataFrame, text: str, carry: list[str], sizes: list[int], keep=None) -> DataFrame:
     """(carry..., m, at, hash): all windows of the given sizes, in bytes.
 
-    ``keep`` is a broadcast array of sorted distinct hashes, as for seeds.
+    ``keep`` is a broadcast of the filters' tables, as for seeds.
     """
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = SeedSet(keep.value) if keep is not None else None
+        wanted = BloomFilters(keep.value) if keep is not None else None
         for batch in batches:
             data, offsets = _buffers(batch.column(0))
             starts, ends = offsets[:-1], offsets[1:]
@@ -239,7 +223,7 @@ def with_windows(df: DataFrame, text: str, carry: list[str], sizes: list[int], k
                     h = _window_hashes(sums, m).view(np.int64)
                     at = np.arange(lo, lo + len(h))
                     if wanted is not None:
-                        hit = wanted.contains(h)
+                        hit = wanted.contains(m, h)
                         at, h = at[hit], h[hit]
                     row = np.searchsorted(ends, at, side="right")
                     inside = at + m <= ends[row]

@@ -7,29 +7,20 @@ by its rarest seed only, and the few candidate pairs are then verified.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.functions.bloom import build_filters
 from seqloom.functions.seeds import CLASSES, with_end_windows, with_seeds, with_windows
 from seqloom.session import materialize
 
-# Sizes up to which a side is sent to all tasks; both are counted first.
-SEED_FILTER_ROWS = 2_000_000
+# Size up to which candidates are sent to all tasks; they are counted first.
 CANDIDATE_BYTES = 64 << 20
 # Texts per seed that are tried before the rest of a hot seed is.
 FIRST_TRIES = 64
-# Texts per seed from which all its matches are found by content instead.
-HOT_TEXTS = 10_000
-
-
-def _filter_array(spark: SparkSession, hashes: DataFrame):
-    """Broadcast of the distinct values of one column, or None if too many."""
-    head = hashes.limit(SEED_FILTER_ROWS + 1).toArrow()
-    if head.num_rows > SEED_FILTER_ROWS:
-        return None
-    return spark.sparkContext.broadcast(np.unique(head.column(0).to_numpy()))
+# Pairs of a pattern and a text that one seed may propose; beyond it matches are found by content.
+PAIRS_PER_SEED = 1_000_000
 
 
 def seed_matches(patterns: DataFrame, pattern: str, pattern_key: str,
@@ -39,7 +30,9 @@ def seed_matches(patterns: DataFrame, pattern: str, pattern_key: str,
     Returns ``probes`` (pattern_key, size, seed, spread): per pattern its
     length in bytes, its rarest seed and the number of texts having it, and
     ``hits`` (carry..., text_size, seed). A pattern one of whose seeds occurs
-    in no text is dropped.
+    in no text is dropped. Texts give rows only for seeds that pass the
+    patterns' filters, so what they write follows from the patterns; the few
+    that pass by chance meet no probe.
     """
     spark = patterns.sparkSession
     sized = patterns.withColumn("size", F.octet_length(pattern).cast("bigint"))
@@ -47,11 +40,8 @@ def seed_matches(patterns: DataFrame, pattern: str, pattern_key: str,
     carry = [*carry, "text_size"]
     own = materialize(with_seeds(sized, pattern, [pattern_key, "size"], list(CLASSES), own_class=True))
     classes = sorted(r.m for r in own.select("m").distinct().collect())  # at most all classes
-    keep = _filter_array(spark, own.select("seed"))
-    hits = with_seeds(texts, text, carry, classes, own_class=False, keep=keep)
-    if keep is None:
-        hits = hits.join(own.select("seed").distinct(), "seed", "left_semi")
-    hits = materialize(hits.select(*carry, "seed"))
+    keep = spark.sparkContext.broadcast(build_filters(own).tables)
+    hits = materialize(with_seeds(texts, text, carry, classes, own_class=False, keep=keep).select(*carry, "seed"))
     spread = hits.groupBy("seed").agg(F.count("*").alias("spread"))
     probes = (own.join(spread, "seed", "left")
               .groupBy(pattern_key, "size")
@@ -94,11 +84,10 @@ def _end_window_matches(open_patterns: DataFrame, pattern: str, pattern_key: str
     """
     ends = materialize(with_end_windows(open_patterns, pattern, [pattern_key]))
     sizes = sorted(r.m for r in ends.select("m").distinct().collect())  # one per power of two
-    wanted = ends.select(F.col("first").alias("hash")).unionByName(ends.select(F.col("last").alias("hash")))
-    keep = _filter_array(texts.sparkSession, wanted)
+    wanted = ends.select("m", F.explode(F.array("first", "last")).alias("hash"))
+    keep = texts.sparkSession.sparkContext.broadcast(build_filters(wanted, "hash").tables)
     sized = texts.withColumn("text_size", F.octet_length(text).cast("bigint"))
-    windows = with_windows(sized, text, [*text_columns, "text_size"], sizes, keep)
-    windows = materialize(windows if keep is not None else windows.join(wanted.distinct(), "hash", "left_semi"))
+    windows = materialize(with_windows(sized, text, [*text_columns, "text_size"], sizes, keep))
     room = F.col("text_size") - F.col("m") - F.col("gap")
     starts = (windows.withColumnRenamed("hash", "first")
               .join(ends.select("m", "first", "gap").distinct(), ["m", "first"])
@@ -113,9 +102,9 @@ def containing_pairs(patterns: DataFrame, pattern: str, pattern_key: str,
                      carry: list[str] = ()) -> DataFrame:
     """All (pattern_key, text_key, carry...) where the text holds the pattern.
 
-    Keys must be unique on their side; a key may be the text itself. Patterns
-    whose seeds are all in very many texts go by their end windows, so only
-    true matches of theirs become pairs.
+    Keys must be unique on their side; a key may be the text itself. Where
+    many patterns share a seed of many texts they go by their end windows, so
+    only true matches of theirs become pairs.
     """
     columns = list(dict.fromkeys([text_key, *carry]))
     result = [pattern_key, *columns]
@@ -124,7 +113,9 @@ def containing_pairs(patterns: DataFrame, pattern: str, pattern_key: str,
     def verified(pairs: DataFrame) -> DataFrame:
         return _verify(pairs, patterns, pattern, pattern_key, texts, text, text_key).select(*result)
 
-    hot = F.col("spread") > HOT_TEXTS
+    sharing = probes.groupBy("seed").agg(F.count("*").alias("sharing"))
+    probes = materialize(probes.join(sharing, "seed"))
+    hot = F.col("spread") * F.col("sharing") > PAIRS_PER_SEED
     pairs = probes.filter(~hot).join(hits, "seed").filter("text_size >= size").select(*result, "size")
     often = probes.filter(hot).select(pattern_key, "size")
     if often.isEmpty():

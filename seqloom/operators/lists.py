@@ -53,15 +53,19 @@ def substring_containers(db: DataFrame, denovo: DataFrame) -> DataFrame:
     de novo norm that has no exact match in that file.
 
     Database peptides come in the order in which their norm first occurs.
+    Norms with an exact match in every file are taken out before the search,
+    the others where they have one.
     """
     # Used three times: as texts, for exact norms and for the originals.
     firsts = (normalized(db).groupBy(F.col("label").alias("db_file"), F.col("norm").alias("db_norm"))
               .agg(F.min("idx").alias("first_idx"), F.min_by("peptide", "idx").alias("db_original")))
     firsts = materialize(firsts)
-    wanted = normalized(denovo).select("norm").distinct()
+    exact = firsts.select(F.col("db_norm").alias("norm"), "db_file")
+    n_files = firsts.select(F.count_distinct("db_file")).first()[0]
+    everywhere = exact.groupBy("norm").agg(F.count("*").alias("n")).filter(F.col("n") == n_files)
+    wanted = materialize(normalized(denovo).select("norm").distinct().join(everywhere, "norm", "left_anti"))
     found = first_container(wanted, "norm", "norm", firsts.select("db_norm", "db_file", "first_idx"),
                             "db_norm", "db_norm", order=["first_idx"], scope=["db_file"])
-    exact = firsts.select(F.col("db_norm").alias("norm"), "db_file")
     return (found.join(exact, ["norm", "db_file"], "left_anti")
             .join(firsts.select("db_file", "db_norm", "db_original"), ["db_file", "db_norm"])
             .select("norm", "db_file", "db_original"))

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions import bloom as bl
 from seqloom.functions import seeds as sd
 from seqloom.operators import containment as ct
 from seqloom.operators import dedup as dd
@@ -51,12 +52,28 @@ def test_longer_classes_have_fewer_seeds():
     assert sizes == sorted(sizes, reverse=True) and sum(sizes) < 0.8 * len(text)
 
 
-def test_seed_set():
+def test_filters_hold_their_hashes_and_few_others(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    seeds = rng.integers(-2**63, 2**63 - 1, 5000)
-    others = rng.integers(-2**63, 2**63 - 1, 5000)
-    known = sd.SeedSet(np.unique(seeds))
-    assert known.contains(seeds).all() and not known.contains(others).any()
+    seeds = {m: rng.integers(-2**63, 2**63 - 1, n) for m, n in ((8, 20_000), (32, 300))}
+    rows = spark.createDataFrame([(m, int(s)) for m, each in seeds.items() for s in each], "m bigint, seed bigint").repartition(3)
+    others = rng.integers(-2**63, 2**63 - 1, 20_000)
+    for most, passing in ((64 << 20, 0.02), (8192, 0.9)):  # where room is short the large class gives way
+        monkeypatch.setattr(bl, "FILTER_BYTES", most)
+        known = bl.build_filters(rows)
+        assert all(known.contains(m, s).all() for m, s in seeds.items()) and not known.contains(64, others).any()
+        assert known.contains(8, others).mean() < passing and known.contains(32, others).mean() < 0.02
+        assert sum(len(t) for t in known.tables.values()) <= max(most, 2 * 4096)
+    assert not bl.build_filters(rows.where("false")).tables
+
+
+def test_texts_write_few_rows_for_few_patterns(frame, monkeypatch):
+    """With room for about 1,000 seeds a class, a text of 200,000 letters gives a row for every 200 of them at most."""
+    monkeypatch.setattr(bl, "FILTER_BYTES", 18 * 4096)
+    rng = random.Random(9)
+    text = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(200_000))
+    patterns = [text[at : at + rng.randint(9, 60)] for at in rng.sample(range(199_000), 60)]
+    probes, hits = ct.seed_matches(frame([(w,) for w in patterns], "p string"), "p", "p", frame([(1, text)], "tid bigint, t string"), "t", ["tid"])
+    assert probes.count() == len(set(patterns)) and hits.count() <= len(text) / 200
 
 
 def words(rng, n, alphabet, sizes):
@@ -66,15 +83,15 @@ def words(rng, n, alphabet, sizes):
 @pytest.fixture(params=["filter", "shuffle"])
 def seed_path(request, monkeypatch):
     if request.param == "shuffle":
-        monkeypatch.setattr(ct, "SEED_FILTER_ROWS", 3)
+        monkeypatch.setattr(bl, "FILTER_BYTES", 1)
         monkeypatch.setattr(ct, "CANDIDATE_BYTES", 0)
     return request.param
 
 
 @pytest.mark.parametrize("alphabet, sizes", [("AB", (1, 12)), ("ABCD", (1, 40)), ("AéB", (1, 30))])
-@pytest.mark.parametrize("hot", [2, 10_000])
+@pytest.mark.parametrize("hot", [2, 1_000_000])
 def test_all_pairs_equal_nested_loop(frame, seed_path, monkeypatch, alphabet, sizes, hot):
-    monkeypatch.setattr(ct, "HOT_TEXTS", hot)
+    monkeypatch.setattr(ct, "PAIRS_PER_SEED", hot)
     rng = random.Random(str(alphabet))
     texts = words(rng, 120, alphabet, (1, 120))
     patterns = words(rng, 60, alphabet, sizes) + [t[3:3 + rng.randint(1, 90)] for t in texts[:60] if len(t) > 4]
