@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
-from seqloom.operators.cells import sorted_cell, with_part
 
 # Default thresholds.
 MIN_IDENTITY = 90.0
@@ -38,11 +37,11 @@ def hit_funnel(hits: DataFrame, min_pident: float = MIN_IDENTITY,
                     F.count_if(full & close & li_only).alias("after_li"))
 
 
-def summarize_hits(hits: DataFrame, tool: str, parts: int = 1) -> DataFrame:
-    """Distinct subjects per aligned query text: count and sorted ids."""
-    distinct = hits.select("qseq", "subject_id").distinct()
-    totals = distinct.groupBy("qseq").agg(F.count("*").alias("n_proteins"))
-    split, extra = with_part(distinct, "subject_id", parts)
-    cells = split.groupBy("qseq", *extra).agg(sorted_cell(F.col("subject_id")).alias("protein_ids"))
-    return totals.join(cells, "qseq").select(F.lit(tool).alias("tool"), F.col("qseq").alias("peptide"), *extra,
-                                             "n_proteins", "protein_ids")
+def hit_subjects(hits: DataFrame) -> DataFrame:
+    """(peptide, protein_id): every subject of an aligned query text, once."""
+    return hits.select(F.col("qseq").alias("peptide"), F.col("subject_id").alias("protein_id")).distinct()
+
+
+def subject_counts(subjects: DataFrame, tool: str) -> DataFrame:
+    """(tool, peptide, n_proteins): distinct subjects per query text."""
+    return subjects.groupBy("peptide").agg(F.count("*").alias("n_proteins")).select(F.lit(tool).alias("tool"), "peptide", "n_proteins")

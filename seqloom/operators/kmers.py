@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
 from seqloom.functions import windows as win
-from seqloom.operators.cells import sorted_cell, with_part
 
 # Category order of the summary and of the count table.
 CATEGORY_ORDER = [
@@ -91,15 +89,14 @@ def tagged_windows(sequences: DataFrame, ks: Sequence[int], reference: DataFrame
     return out
 
 
-def _piles(tagged: DataFrame, label1: str, label2: str, keys: list[str], cells: list,
-           reference: bool) -> DataFrame:
+def _piles(tagged: DataFrame, label1: str, label2: str, reference: bool) -> DataFrame:
     """Counts per k-mer. Its length tells k, so k is not shuffled."""
     if label1 == label2:
         raise ValueError("the two labels must be different")
     on1, on2 = F.col("side") == FILE1, F.col("side") == FILE2
     seen = [F.bool_or(F.col("side") == REFERENCE).alias("ref_match")] if reference else []
-    return (tagged.groupBy(*keys)
-            .agg(F.count_if(on1).alias("n1"), F.count_if(on2).alias("n2"), *seen, *cells)
+    return (tagged.groupBy("kmer")
+            .agg(F.count_if(on1).alias("n1"), F.count_if(on2).alias("n2"), *seen)
             .withColumn("k", F.length("kmer")))
 
 
@@ -111,7 +108,7 @@ def pile_counts_by_kmer(tagged: DataFrame, label1: str = "file1", label2: str =
     category in the same aggregation; k-mers only they have are dropped.
     """
     n1, n2 = F.col("n1"), F.col("n2")
-    out = (_piles(tagged, label1, label2, ["kmer"], [], reference)
+    out = (_piles(tagged, label1, label2, reference)
            .filter((n1 > 0) | (n2 > 0))
            .withColumn("pile", tx.pile_label(n1, n2, label1, label2)))
     columns = ["k", "kmer", "pile", n1.alias(f"{label1}_count"), n2.alias(f"{label2}_count")]
@@ -120,73 +117,40 @@ def pile_counts_by_kmer(tagged: DataFrame, label1: str = "file1", label2: str =
     return out.select(*columns)
 
 
-def pile_table(tagged: DataFrame, label1: str = "file1", label2: str = "file2",
-               reference: bool = False, track_ids: bool = False, parts: int = 1) -> DataFrame:
-    """The pile table with the ids of both sources in joined cells.
+def pile_postings(tagged: DataFrame) -> DataFrame:
+    """(kmer, cell, value): every id of a k-mer, once; cell 0 and 1 are the two
+    sources, 2 is the reference. The long form of the joined id cells."""
+    cell = F.when(F.col("side") == REFERENCE, 2).otherwise(F.col("side") - 1)
+    return tagged.select("kmer", cell.cast("int").alias("cell"), F.col("id").alias("value"))
 
-    ``reference`` adds ``ref_match`` and ``category``, ``track_ids`` also the
-    ids of the reference. ``parts`` bounds the cells (see ``cells``); counts
-    always cover the whole k-mer.
-    """
-    tagged, extra = with_part(tagged, "id", parts)
-    side = F.col("side")
-    cells = [sorted_cell(F.when(side == FILE1, F.col("id"))).alias(f"{label1}_transcripts"),
-             sorted_cell(F.when(side == FILE2, F.col("id"))).alias(f"{label2}_transcripts")]
-    if track_ids:
-        cells.append(sorted_cell(F.when(side == REFERENCE, F.col("id"))).alias("ref_proteins"))
-    out = _piles(tagged, label1, label2, ["kmer", *extra], cells, reference)
-    if extra:
-        # At most ``parts`` rows per k-mer.
-        per_kmer = W.partitionBy("kmer")
-        out = out.withColumn("n1", F.sum("n1").over(per_kmer)).withColumn("n2", F.sum("n2").over(per_kmer))
-        if reference:
-            out = out.withColumn("ref_match", F.max("ref_match").over(per_kmer))
-    n1, n2 = F.col("n1"), F.col("n2")
-    out = (out.filter((n1 > 0) | (n2 > 0))
-           .withColumn("pile", tx.pile_label(n1, n2, label1, label2)))
-    columns = ["k", "kmer", *extra, "pile", f"{label1}_transcripts", f"{label2}_transcripts",
-               n1.alias(f"{label1}_count"), n2.alias(f"{label2}_count")]
-    if reference:
-        columns.append("ref_match")
-        if track_ids:
-            columns.append("ref_proteins")
-        columns.append(tx.category(F.col("pile"), F.col("ref_match")).alias("category"))
-    return out.select(*columns)
+
+def reference_postings(piles: DataFrame, reference: DataFrame) -> DataFrame:
+    """(kmer, pile, ref_protein): each id of the reference that has a k-mer of the piles, once."""
+    held = reference.select("kmer", F.col("id").alias("ref_protein")).distinct()
+    return piles.select("kmer", "pile").join(held, "kmer").select("kmer", "pile", "ref_protein")
+
+
+def pile_rank(pile: Column, label1: str) -> Column:
+    """Shared first, then the first source, then the second."""
+    return F.when(pile == "shared", 0).when(pile == f"only_{label1}", 1).otherwise(2)
 
 
 def sort_piles(piles: DataFrame, label1: str, label2: str) -> DataFrame:
     """Shared first, then the first source, then the second; k-mers ascending."""
-    rank = (F.when(F.col("pile") == "shared", 0)
-            .when(F.col("pile") == f"only_{label1}", 1).otherwise(2))
-    keys = [c for c in ("k",) if c in piles.columns] + [rank, F.col("kmer")]
+    keys = [c for c in ("k",) if c in piles.columns] + [pile_rank(F.col("pile"), label1), F.col("kmer")]
     return piles.orderBy(*keys)
 
 
-def reference_index(reference: DataFrame, track_ids: bool = False, parts: int = 1) -> DataFrame:
-    """Distinct k-mers of a reference, with their ids when tracked."""
-    if not track_ids:
-        return reference.select("kmer").distinct()
-    reference, extra = with_part(reference, "id", parts)
-    return reference.groupBy("kmer", *extra).agg(sorted_cell(F.col("id")).alias("ref_proteins"))
+def reference_index(reference: DataFrame) -> DataFrame:
+    """Distinct k-mers of a reference."""
+    return reference.select("kmer").distinct()
 
 
 def annotate(piles: DataFrame, index: DataFrame) -> DataFrame:
-    """Add reference state and category to an existing pile table.
-
-    The index decides whether ids are added. Spark chooses the join by size.
-    """
-    tracked = "ref_proteins" in index.columns
-    if "part" in index.columns:  # one row per k-mer again, so that no pile is doubled
-        ids = F.flatten(F.collect_list(F.split("ref_proteins", ";")))
-        index = index.groupBy("kmer").agg(F.array_join(F.array_sort(ids), ";").alias("ref_proteins"))
+    """Add reference state and category to an existing pile table. Spark chooses the join by size."""
     joined = piles.join(index.withColumn("ref_match", F.lit(True)), "kmer", "left")
-    match = F.coalesce(F.col("ref_match"), F.lit(False))
-    out = joined.withColumn("ref_match", match)
-    columns = [*piles.columns, "ref_match"]
-    if tracked:
-        out = out.withColumn("ref_proteins", F.coalesce("ref_proteins", F.lit("")))
-        columns.append("ref_proteins")
-    return out.select(*columns, tx.category(F.col("pile"), F.col("ref_match")).alias("category"))
+    out = joined.withColumn("ref_match", F.coalesce(F.col("ref_match"), F.lit(False)))
+    return out.select(*piles.columns, "ref_match", tx.category(F.col("pile"), F.col("ref_match")).alias("category"))
 
 
 def pile_summary(piles: DataFrame, label1: str, label2: str) -> DataFrame:
@@ -201,17 +165,12 @@ def pile_summary(piles: DataFrame, label1: str, label2: str) -> DataFrame:
             .select("k", "r.pile", "r.n", tx.percent(F.col("r.n"), F.col("total")).alias("pct")))
 
 
-def _per_kmer(annotated: DataFrame) -> DataFrame:
-    """One row per k-mer, also of a table whose cells are in parts."""
-    return annotated.dropDuplicates(["kmer"]) if "part" in annotated.columns else annotated
-
-
 def category_summary(annotated: DataFrame) -> DataFrame:
     """The six categories in their fixed order, then total and novel rows.
 
     Categories of other labels are in the total only.
     """
-    agg = _per_kmer(annotated).agg(F.count("*").alias("total"),
+    agg = annotated.agg(F.count("*").alias("total"),
                         F.count_if(~F.col("ref_match")).alias("novel"),
                         *(F.count_if(F.col("category") == c).alias(f"n{i}") for i, c in enumerate(CATEGORY_ORDER)))
     named = [(c, F.col(f"n{i}")) for i, c in enumerate(CATEGORY_ORDER)]
@@ -225,7 +184,7 @@ def category_summary(annotated: DataFrame) -> DataFrame:
 def category_count_table(annotated: DataFrame) -> DataFrame:
     """K-mers per category file; null stands for a category without a file."""
     safe = F.translate("category", "|", "_")
-    agg = _per_kmer(annotated).agg(*(F.count_if(safe == c).alias(f"n{i}") for i, c in enumerate(COUNT_TABLE_ORDER)))
+    agg = annotated.agg(*(F.count_if(safe == c).alias(f"n{i}") for i, c in enumerate(COUNT_TABLE_ORDER)))
     rows = F.array(*(F.struct(F.lit(c).alias("kmer_type"), F.nullif(F.col(f"n{i}"), F.lit(0)).alias("count"))
                      for i, c in enumerate(COUNT_TABLE_ORDER)))
     return agg.select(F.explode(rows).alias("r")).select("r.kmer_type", "r.count")

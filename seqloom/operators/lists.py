@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
-from seqloom.operators.cells import ordered_cell
 from seqloom.operators.containment import first_container
 from seqloom.session import materialize
 
@@ -137,13 +136,9 @@ def shared_norms(peptides: DataFrame, labels: list[str]) -> DataFrame:
     return membership(peptides, labels).filter(everywhere).select("norm")
 
 
-def all_files_overlap(peptides: DataFrame, labels: list[str]) -> DataFrame:
-    """Shared norms with the originals of each file, repeats and order kept."""
-    shared = shared_norms(peptides, labels)
-    mine = normalized(peptides).join(shared, "norm", "left_semi")
-    cells = [ordered_cell(F.when(F.col("label") == name, F.col("idx")),
-                          F.when(F.col("label") == name, F.col("peptide"))).alias(name) for name in labels]
-    return mine.groupBy(F.col("norm").alias("normalized_sequence")).agg(*cells)
+def all_files_originals(peptides: DataFrame, shared: DataFrame) -> DataFrame:
+    """(norm, label, idx, peptide): every occurrence of the norms that all files have."""
+    return normalized(peptides).join(shared, "norm", "left_semi").select("norm", "label", "idx", "peptide")
 
 
 def length_filter_distinct(lines: DataFrame, column: str = "value", min_length: int = 8) -> DataFrame:

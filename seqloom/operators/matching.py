@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
-from seqloom.operators.cells import ordered_cell, with_part
 from seqloom.operators.containment import containing_pairs
 
 
@@ -27,19 +26,18 @@ def protein_matches(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     return containing_pairs(wanted, "norm", "norm", texts, "body", "id", carry=["rec_idx"])
 
 
-def match_table(peptides: DataFrame, matches: DataFrame, parts: int = 1) -> DataFrame:
-    """One row per input peptide, repeats included, with its protein ids.
-
-    Ids follow the order of the protein records. ``parts`` bounds the cells;
-    ``n_proteins`` counts all proteins in any case.
-    """
+def match_counts(peptides: DataFrame, matches: DataFrame) -> DataFrame:
+    """(idx, peptide, n_proteins): one row per input peptide, repeats included."""
     totals = matches.groupBy("norm").agg(F.count("*").alias("n_proteins"))
-    split, extra = with_part(matches, "id", parts)
-    cells = split.groupBy("norm", *extra).agg(ordered_cell(F.col("rec_idx"), F.col("id")).alias("protein_ids"))
-    return (peptides.withColumn("norm", tx.fold_li_upper(F.col("peptide")))
-            .join(totals.join(cells, "norm"), "norm", "left")
-            .select("idx", *extra, "peptide", F.coalesce("n_proteins", F.lit(0).cast("bigint")).alias("n_proteins"),
-                    F.coalesce("protein_ids", F.lit(tx.NO_MATCH)).alias("protein_ids")))
+    return (peptides.withColumn("norm", tx.fold_li_upper(F.col("peptide"))).join(totals, "norm", "left")
+            .select("idx", "peptide", F.coalesce("n_proteins", F.lit(0).cast("bigint")).alias("n_proteins")))
+
+
+def match_rows(peptides: DataFrame, matches: DataFrame) -> DataFrame:
+    """(idx, peptide, protein_id, rec_idx): one row per input peptide and protein
+    that holds it; a peptide without any has one row with ``NO_MATCH``."""
+    return (peptides.withColumn("norm", tx.fold_li_upper(F.col("peptide"))).join(matches, "norm", "left")
+            .select("idx", "peptide", F.coalesce("id", F.lit(tx.NO_MATCH)).alias("protein_id"), "rec_idx"))
 
 
 def matched_fraction(peptides: DataFrame, matches: DataFrame) -> DataFrame:

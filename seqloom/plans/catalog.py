@@ -68,8 +68,8 @@ def kmer_pile_summary_keep_ambiguous(spark, sf_dir):
 
 @query
 def kmer_piles_k9(spark, sf_dir):
-    table = km.pile_table(_turn_windows(spark, sf_dir, [9]), "short", "long")
-    return km.sort_piles(table, "short", "long").drop("k")
+    piles = km.pile_counts_by_kmer(_turn_windows(spark, sf_dir, [9]), "short", "long")
+    return km.sort_piles(piles, "short", "long").drop("k")
 
 
 @query
@@ -86,8 +86,8 @@ def kmer_ref_annotate_k9(spark, sf_dir):
 
 @query
 def kmer_ref_proteins_k9(spark, sf_dir):
-    tagged = _turn_windows(spark, sf_dir, [9], reference=True)
-    return km.pile_table(tagged, "short", "long", reference=True, track_ids=True).drop("k")
+    piles = km.pile_counts_by_kmer(_turn_windows(spark, sf_dir, [9]), "short", "long")
+    return km.reference_postings(piles, km.windows(km.record_stream(tb.reference_records(spark, sf_dir)), [9]))
 
 
 @query
@@ -156,7 +156,9 @@ def shared_norms(spark, sf_dir):
 @query
 def all_files_overlap(spark, sf_dir):
     lists = _db(spark, sf_dir)
-    return ls.all_files_overlap(lists, _labels(lists))
+    rows = ls.all_files_originals(lists, ls.shared_norms(lists, _labels(lists)))
+    place = [F.get("idx", F.lit(i)).alias(name) for i, name in enumerate(("doc_id", "pos"))]
+    return rows.select(F.col("norm").alias("normalized_sequence"), "label", *place, "peptide")
 
 
 @query
@@ -183,7 +185,7 @@ def _matches(spark, sf_dir):
 @query
 def exact_li_match(spark, sf_dir):
     peptides, _, matches = _matches(spark, sf_dir)
-    return mt.match_table(peptides, matches)
+    return mt.match_rows(peptides, matches).select("idx", "peptide", "protein_id")
 
 
 @query
@@ -284,7 +286,12 @@ def blast_filter(spark, sf_dir):
 @query
 def blast_summary(spark, sf_dir):
     kept = ht.filter_hits(tb.alignment_hits(spark, sf_dir), "tool", min_pident=85.0)
-    return ht.summarize_hits(kept, "tool")
+    return ht.subject_counts(ht.hit_subjects(kept), "tool")
+
+
+@query
+def blast_subjects(spark, sf_dir):
+    return ht.hit_subjects(ht.filter_hits(tb.alignment_hits(spark, sf_dir), "tool", min_pident=85.0))
 
 
 @query

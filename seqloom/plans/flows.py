@@ -40,11 +40,11 @@ def assign_piles(spark: SparkSession, file1: str, file2: str, outdir: str, label
     common = km.shared_ids(sequences.filter("side = 1"), sequences.filter("side = 2")).count()
     if common:
         log.warning("%d ids appear in both files and cannot be told apart in the output", common)
-    tagged = km.tagged_windows(sequences, list(ks), skip_ambiguous=not keep_ambiguous)
-    piles = materialize(km.pile_table(tagged, label1, label2))
+    tagged = materialize(km.tagged_windows(sequences, list(ks), skip_ambiguous=not keep_ambiguous))
+    piles = materialize(km.pile_counts_by_kmer(tagged, label1, label2))
     for k in ks:
-        table = km.sort_piles(piles.filter(F.col("k") == k).drop("k"), label1, label2)
-        sinks.write_tsv(table, f"{outdir}/kmers_k{k}.tsv")
+        postings = km.pile_postings(tagged.filter(F.col("k") == k))
+        sinks.write_piles(piles.filter(F.col("k") == k), postings, f"{outdir}/kmers_k{k}.tsv", label1, label2)
     return km.pile_summary(piles, label1, label2)
 
 
@@ -59,12 +59,14 @@ def annotate_piles(spark: SparkSession, inputs: Sequence[str], reference: str, o
     ks = {path: src.k_of(path) for path in inputs}
     records = km.record_stream(src.read_fasta(spark, reference))
     windows = km.windows(records, sorted(set(ks.values())), not keep_ambiguous)
-    summaries = {}
+    summaries, indexes = {}, {}
     for path, k in sorted(ks.items(), key=lambda item: item[1]):
-        index = km.reference_index(windows.filter(F.col("k") == k), track_ids)
-        annotated = materialize(km.annotate(src.read_piles(spark, path), index))
+        own = windows.filter(F.col("k") == k)
+        if k not in indexes:  # one index per k, whatever the number of inputs
+            indexes[k] = materialize(km.reference_index(own))
+        annotated = materialize(km.annotate(src.read_piles(spark, path), indexes[k]))
         stem = src.label_of(path)
-        sinks.write_tsv(annotated, f"{outdir}/{stem}_annotated.tsv")
+        sinks.write_annotated(annotated, f"{outdir}/{stem}_annotated.tsv", km.reference_postings(annotated, own) if track_ids else None)
         if split_categories:
             name = f"k{k}_by_category" if len(set(ks.values())) == len(ks) else f"{stem}_by_category"
             sinks.write_by_category(annotated, f"{outdir}/{name}")
@@ -92,7 +94,8 @@ def compare_lists(spark: SparkSession, db_files: Sequence[str], denovo_files: Se
     everything = db.unionByName(denovo)
     sinks.write_exact_pairs(ls.exact_pairs(db, denovo), f"{outdir}/exact_overlaps")
     sinks.write_substring_pairs(ls.substring_pairs(denovo, containers), f"{outdir}/substring_overlaps")
-    sinks.write_all_files(ls.all_files_overlap(everything, labels), f"{outdir}/all_files_overlap.tsv", labels)
+    shared = materialize(ls.shared_norms(everything, labels))
+    sinks.write_all_files(shared, ls.all_files_originals(everything, shared), f"{outdir}/all_files_overlap.tsv", labels)
     sinks.write_venn(ls.venn_counts(everything, labels), f"{outdir}/venn_counts.tsv")
     # Every pair of files, also those of an empty list.
     found = ls.overlap_summary(db, denovo, containers)
@@ -119,8 +122,7 @@ def match_exact(spark: SparkSession, peptides: str, fasta: str, out: str) -> Dat
     wanted = src.read_peptides(spark, peptides)
     proteins = materialize(mt.protein_index(src.read_fasta(spark, fasta)))
     matches = materialize(mt.protein_matches(wanted, proteins))
-    table = mt.match_table(wanted, matches)
-    sinks.write_tsv(table.orderBy("idx").drop("idx"), out)
+    sinks.write_matches(mt.match_counts(wanted, matches), mt.match_rows(wanted, matches), out)
     return mt.matched_fraction(wanted, matches)
 
 
@@ -129,7 +131,8 @@ def parse_hits(spark: SparkSession, tool: str, hits_tsv: str, out: str, min_pide
     """Summary of the accepted alignment hits; returns the filter funnel."""
     hits = src.read_hits(spark, hits_tsv)
     kept = ht.filter_hits(hits, tool, min_pident, max_mismatch)
-    sinks.write_tsv(ht.summarize_hits(kept, tool).orderBy("peptide"), out)
+    subjects = materialize(ht.hit_subjects(kept))
+    sinks.write_hit_summary(ht.subject_counts(subjects, tool), subjects, out)
     return ht.hit_funnel(hits, min_pident, max_mismatch)
 
 

@@ -34,22 +34,14 @@ def _windows(name: str, source: str, side: str, k: int, ambiguous: bool = False)
 _PILE = """CASE WHEN n1 > 0 AND n2 > 0 THEN 'shared' WHEN n1 > 0 THEN 'only_{0}' ELSE 'only_{1}' END"""
 
 
-def _counted(source: str, label1: str, label2: str) -> str:
-    return f"""counted AS (SELECT *, {_PILE.format(label1, label2)} AS pile FROM (
-  SELECT k, kmer, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 2) AS n2,
-  coalesce(string_agg(id, ';' ORDER BY id) FILTER (WHERE side = 1), '') AS t1,
-  coalesce(string_agg(id, ';' ORDER BY id) FILTER (WHERE side = 2), '') AS t2
-  FROM {source} GROUP BY k, kmer))"""
-
-
 def _plain_counted(source: str, label1: str, label2: str) -> str:
     return f"""counted AS (SELECT *, {_PILE.format(label1, label2)} AS pile FROM (
   SELECT k, kmer, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 2) AS n2
   FROM {source} GROUP BY k, kmer))"""
 
 
-_REF = """refs AS (SELECT kmer, string_agg(id, ';' ORDER BY id) AS ids FROM rwin GROUP BY kmer)"""
-_ANNOTATED = """annotated AS (SELECT c.*, r.kmer IS NOT NULL AS ref_match, coalesce(r.ids, '') AS ref_proteins,
+_REF = """refs AS (SELECT DISTINCT kmer FROM rwin)"""
+_ANNOTATED = """annotated AS (SELECT c.*, r.kmer IS NOT NULL AS ref_match,
   c.pile || '|' || CASE WHEN r.kmer IS NOT NULL THEN 'in_reference' ELSE 'novel' END AS category
   FROM counted c LEFT JOIN refs r USING (kmer))"""
 
@@ -156,16 +148,14 @@ ORACLE: dict[str, str] = {
     "kmer_pile_summary": _pile_summary([8, 9, 10, 11], False),
     "kmer_pile_summary_keep_ambiguous": _pile_summary([9], True),
     "kmer_piles_k9": "WITH " + ",\n".join([OWN_TURNS, _keyed("turns"), _windows("win", "keyed", "side", 9),
-                                          _counted("win", "short", "long")])
-    + """ SELECT kmer, pile, t1 AS short_transcripts, t2 AS long_transcripts, n1 AS short_count, n2 AS long_count
-    FROM counted""",
+                                          _plain_counted("win", "short", "long")])
+    + """ SELECT kmer, pile, n1 AS short_count, n2 AS long_count FROM counted""",
     "kmer_postings_k9": "WITH " + ",\n".join([OWN_TURNS, _keyed("turns"), _windows("win", "keyed", "side", 9)])
     + " SELECT kmer, side, id FROM win",
     "kmer_ref_annotate_k9": _reference("turns", _plain_counted("win", "short", "long"))
     + """ SELECT kmer, pile, n1 AS short_count, n2 AS long_count, ref_match, category FROM annotated""",
-    "kmer_ref_proteins_k9": _reference("turns", _counted("win", "short", "long"))
-    + """ SELECT kmer, pile, t1 AS short_transcripts, t2 AS long_transcripts, n1 AS short_count, n2 AS long_count,
-    ref_match, ref_proteins, category FROM annotated""",
+    "kmer_ref_proteins_k9": _reference("turns", _plain_counted("win", "short", "long"))
+    + """ SELECT DISTINCT kmer, pile, r.id AS ref_protein FROM counted JOIN rwin r USING (kmer)""",
     "kmer_parse_metrics": f"""WITH {DOCS}, {_keyed('docs')},
     kept AS (SELECT side, id, rec_idx, greatest(length(seq) - 8, 0) AS every,
       list_sum(list_transform(regexp_split_to_array(seq, '[XBZUO*]'), lambda s: greatest(length(s) - 8, 0))) AS clean, seq FROM keyed)
@@ -191,17 +181,13 @@ ORACLE: dict[str, str] = {
     SELECT file_combination, count(*) AS peptide_count FROM seen GROUP BY 1""",
     "shared_norms": f"""WITH {DB} SELECT norm FROM db GROUP BY norm HAVING count(DISTINCT label) = 4""",
     "all_files_overlap": f"""WITH {DB}, shared AS (SELECT norm FROM db GROUP BY norm HAVING count(DISTINCT label) = 4)
-    SELECT norm AS normalized_sequence, """
-    + ", ".join(f"string_agg(peptide, ';' ORDER BY idx) FILTER (WHERE label = 'docs_{lang}') AS docs_{lang}"
-                for lang in ("de", "en", "es", "fr"))
-    + " FROM db WHERE norm IN (SELECT norm FROM shared) GROUP BY norm",
+    SELECT norm AS normalized_sequence, label, idx[1] AS doc_id, idx[2] AS pos, peptide FROM db WHERE norm IN (SELECT norm FROM shared)""",
     "length_filter_distinct": """SELECT DISTINCT value FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM documents)
     WHERE length(value) > 7""",
     "list_to_fasta": f"""WITH {DB} SELECT row_number() OVER (ORDER BY idx) AS ordinal,
       '>tool_peptide_' || row_number() OVER (ORDER BY idx) || chr(10) || peptide AS record FROM db""",
-    "exact_li_match": _MATCH + """, cells AS (SELECT idx, count(*) AS n, string_agg(id, ';' ORDER BY rec_idx) AS ids FROM matched GROUP BY idx)
-    SELECT e.idx, e.peptide, coalesce(c.n, 0) AS n_proteins, coalesce(c.ids, 'NO_MATCH') AS protein_ids
-    FROM peptides e LEFT JOIN cells c USING (idx)""",
+    "exact_li_match": _MATCH + """ SELECT e.idx, e.peptide, coalesce(m.id, 'NO_MATCH') AS protein_id
+    FROM peptides e LEFT JOIN matched m USING (idx)""",
     "matched_fraction": _MATCH + """ SELECT (SELECT count(*) FROM peptides) AS n_peptides, count(DISTINCT idx) AS n_matched,
       CAST(100 AS DOUBLE) * count(DISTINCT idx) / (SELECT count(*) FROM peptides) AS pct FROM matched""",
     "ungapped_li_hits": _MATCH + """, placed AS (SELECT DISTINCT upper(peptide) AS qseq, id, seq, body FROM matched),
@@ -230,8 +216,9 @@ ORACLE: dict[str, str] = {
     "qc_counts": f"""WITH {ISOFORMS} SELECT count(*) FILTER (WHERE orf <> '' AND orf <> 'NA') AS written,
       count(*) FILTER (WHERE orf = '' OR orf = 'NA') AS skipped FROM isoforms""",
     "blast_filter": f"""WITH {HITS}, {KEPT} SELECT 'tool' AS tool, query_id, subject_id, pident, mismatch, qseq, sseq, evalue FROM kept""",
-    "blast_summary": f"""WITH {HITS}, {KEPT} SELECT 'tool' AS tool, qseq AS peptide, count(DISTINCT subject_id) AS n_proteins,
-      string_agg(DISTINCT subject_id, ';' ORDER BY subject_id) AS protein_ids FROM kept GROUP BY qseq""",
+    "blast_summary": f"""WITH {HITS}, {KEPT} SELECT 'tool' AS tool, qseq AS peptide, count(DISTINCT subject_id) AS n_proteins
+      FROM kept GROUP BY qseq""",
+    "blast_subjects": f"""WITH {HITS}, {KEPT} SELECT DISTINCT qseq AS peptide, subject_id AS protein_id FROM kept""",
     "blast_funnel": f"""WITH {HITS} SELECT count(*) AS raw_hits, count(*) FILTER (WHERE {FULL}) AS full_length,
       count(*) FILTER (WHERE {FULL} AND pident >= 90 AND mismatch <= 1) AS after_identity,
       count(*) FILTER (WHERE {FULL} AND pident >= 90 AND mismatch <= 1 AND {LI}) AS after_li FROM hits""",

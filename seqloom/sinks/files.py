@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
 from seqloom.operators.dedup import sort_provenance
+from seqloom.operators.kmers import pile_rank
 from seqloom.operators.lists import expand_pairs, sort_venn
+from seqloom.sinks.cells import write_cells
 
 # Comment lines of the all-files table.
 ALL_FILES_COMMENTS = [
@@ -67,11 +69,42 @@ def write_substring_pairs(pairs: DataFrame, path: str) -> None:
     _tsv(ordered).partitionBy("db_file", "denovo_file").csv(path)
 
 
-def write_all_files(df: DataFrame, path: str, labels: list[str]) -> None:
-    """Shared norms in sorted order; the comment lines go into a file beside."""
-    _tsv(df.select("normalized_sequence", *labels).orderBy("normalized_sequence")).csv(path)
-    if "://" not in path:
-        Path(path, "_comments.txt").write_text("\n".join(ALL_FILES_COMMENTS) + "\n")
+def write_piles(piles: DataFrame, postings: DataFrame, path: str, label1: str, label2: str) -> None:
+    """Pile table of one k with the ids of both sources, in order of the piles."""
+    ranked = piles.withColumn("rank", pile_rank(F.col("pile"), label1))
+    values = postings.filter("cell < 2").join(ranked.select("kmer", "rank"), "kmer")
+    write_cells(ranked, values, path, ["rank", "kmer"], ["kmer", "pile"], [f"{label1}_transcripts", f"{label2}_transcripts"],
+                [f"{label1}_count", f"{label2}_count"])
+
+
+def write_annotated(annotated: DataFrame, path: str, ref_proteins: DataFrame | None = None) -> None:
+    """Annotated pile table; with ``ref_proteins`` (kmer, ref_protein) a cell of ids before the category."""
+    if ref_proteins is None:
+        write_tsv(annotated, path)
+        return
+    values = ref_proteins.select("kmer", F.lit(0).alias("cell"), F.col("ref_protein").alias("value"))
+    before = [c for c in annotated.columns if c != "category"]
+    write_cells(annotated, values, path, ["kmer"], before, ["ref_proteins"], ["category"])
+
+
+def write_all_files(shared: DataFrame, originals: DataFrame, path: str, labels: list[str]) -> None:
+    """Shared norms in sorted order with the originals of each file, repeats and order kept, below two comment lines."""
+    cell = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
+    values = originals.select("norm", cell.alias("cell"), F.col("peptide").alias("value"), "idx")
+    heads = shared.select("norm", F.col("norm").alias("normalized_sequence"))
+    write_cells(heads, values, path, ["norm"], ["normalized_sequence"], labels, value_order=["idx"], comments=ALL_FILES_COMMENTS)
+
+
+def write_matches(counts: DataFrame, rows: DataFrame, path: str) -> None:
+    """Peptides in input order with the ids of their proteins in the order of the records."""
+    values = rows.select("idx", F.lit(0).alias("cell"), F.col("protein_id").alias("value"), "rec_idx")
+    write_cells(counts, values, path, ["idx"], ["peptide", "n_proteins"], ["protein_ids"], value_order=["rec_idx"])
+
+
+def write_hit_summary(counts: DataFrame, subjects: DataFrame, path: str) -> None:
+    """Query texts in sorted order with their subjects."""
+    values = subjects.select("peptide", F.lit(0).alias("cell"), F.col("protein_id").alias("value"))
+    write_cells(counts, values, path, ["peptide"], ["tool", "peptide", "n_proteins"], ["protein_ids"])
 
 
 def write_small_tsv(df: DataFrame, path: str, max_rows: int = 100_000) -> None:

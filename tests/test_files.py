@@ -4,6 +4,7 @@ import pytest
 
 from seqloom import cli
 from seqloom.plans import flows
+from seqloom.sinks import files as sinks
 from seqloom.sources import files as src
 
 
@@ -127,7 +128,12 @@ def test_compare_flow(spark, tmp_path):
     assert sorted(lines(exact))[:2] == ["AILK\tALIK\tALLK", "ALLK\tALIK\tALLK"]
     assert not Path(out, "exact_overlaps", "db_file=D", "denovo_file=M").exists()
     assert lines(Path(out, "substring_overlaps"))[1:] == ["PEPTIDE\tPEPTIDEK"] * 2
-    assert lines(f"{out}/all_files_overlap.tsv") in ([], ["normalized_sequence\tD\tN\tM"])
+    text = [part.read_text() for part in Path(out, "all_files_overlap.tsv").glob("part-*")]
+    assert set(text) <= {"\n".join([*sinks.ALL_FILES_COMMENTS, "normalized_sequence\tD\tN\tM"]) + "\n"}
+    both = str(tmp_path / "both")
+    flows.compare_lists(spark, [d], [n], both)
+    rows = [line for part in sorted(Path(both, "all_files_overlap.tsv").glob("part-*")) for line in part.read_text().splitlines()]
+    assert rows[:2] == sinks.ALL_FILES_COMMENTS and [x for x in rows if x[0] != "#"][:2] == ["normalized_sequence\tD\tN", "ALLK\tAILK;ALLK\tALIK"]
 
 
 def test_dedup_flow(spark, tmp_path):

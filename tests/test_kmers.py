@@ -1,10 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import cells
 from seqloom.operators import kmers as km
-from seqloom.operators.cells import parts_for
-from seqloom.plans.catalog import QUERIES
 
 SHORT = [(0, "t1", "*macde*"), (1, "t2", "MAC"), (2, "t2", "ACD"), (3, "t3", "**"), (4, "t2", "*")]
 LONG = [(0, "u1", "CDEXF"), (1, "u2", "ACD"), (2, "u3", "AC")]
@@ -31,25 +28,21 @@ def test_last_sequence_wins(sequences):
     assert got == [(1, "t1", "MACDE", 0), (1, "t2", "ACD", 1), (2, "u1", "CDEXF", 0), (2, "u2", "ACD", 1), (2, "u3", "AC", 2)]
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_piles(sequences, parts):
-    piles = km.pile_table(km.tagged_windows(sequences, [3]), "short", "long", parts=parts)
-    if parts == 1:
-        got = rows(km.sort_piles(piles, "short", "long"), "kmer", "pile", "short_transcripts", "long_transcripts", "short_count", "long_count")
-        assert got == [("ACD", "shared", "t1;t2", "u2", 2, 1), ("CDE", "shared", "t1", "u1", 1, 1),
-                       ("MAC", "only_short", "t1", "", 1, 0)]
-    else:
-        cells = [r for r in piles.collect() if r.kmer == "ACD"]
-        assert {(r.pile, r.short_count, r.long_count) for r in cells} == {("shared", 2, 1)}
-        assert sorted(i for r in cells for i in r.short_transcripts.split(";") if i) == ["t1", "t2"]
+def test_piles(sequences):
+    tagged = km.tagged_windows(sequences, [3])
+    piles = km.pile_counts_by_kmer(tagged, "short", "long")
+    got = rows(km.sort_piles(piles, "short", "long"), "kmer", "pile", "short_count", "long_count")
+    assert got == [("ACD", "shared", 2, 1), ("CDE", "shared", 1, 1), ("MAC", "only_short", 1, 0)]
+    assert sorted(rows(km.pile_postings(tagged), "kmer", "cell", "value")) == [
+        ("ACD", 0, "t1"), ("ACD", 0, "t2"), ("ACD", 1, "u2"), ("CDE", 0, "t1"), ("CDE", 1, "u1"), ("MAC", 0, "t1")]
 
 
-def test_counts_agree_with_table(sequences, reference):
+def test_counts_agree_with_postings(sequences, reference):
     tagged = km.tagged_windows(sequences, [2, 3], reference)
-    table = km.pile_table(tagged, "a", "b", reference=True, track_ids=True)
     counts = km.pile_counts_by_kmer(tagged, "a", "b", reference=True)
-    columns = ["k", "kmer", "pile", "a_count", "b_count", "ref_match", "category"]
-    assert sorted(rows(table, *columns)) == sorted(rows(counts, *columns))
+    postings = km.pile_postings(tagged).groupBy("kmer").pivot("cell", [0, 1, 2]).count().na.fill(0)
+    want = sorted((r["kmer"], r["0"], r["1"], r["2"] > 0) for r in postings.collect() if r["0"] + r["1"])
+    assert sorted(rows(counts, "kmer", "a_count", "b_count", "ref_match")) == want
 
 
 def test_keep_ambiguous(sequences):
@@ -59,10 +52,12 @@ def test_keep_ambiguous(sequences):
 
 def test_annotation(sequences, reference):
     piles = km.pile_counts_by_kmer(km.tagged_windows(sequences, [3]), "short", "long")
-    index = km.reference_index(km.windows(reference, [3]), track_ids=True)
-    got = sorted(rows(km.annotate(piles, index), "kmer", "ref_match", "ref_proteins", "category"))
-    assert got == [("ACD", True, "r2", "shared|in_reference"), ("CDE", True, "r2", "shared|in_reference"),
-                   ("MAC", True, "r1", "only_short|in_reference")]
+    windows = km.windows(reference, [3])
+    annotated = km.annotate(piles, km.reference_index(windows))
+    assert sorted(rows(annotated, "kmer", "ref_match", "category")) == [
+        ("ACD", True, "shared|in_reference"), ("CDE", True, "shared|in_reference"), ("MAC", True, "only_short|in_reference")]
+    assert sorted(rows(km.reference_postings(annotated, windows), "kmer", "pile", "ref_protein")) == [
+        ("ACD", "shared", "r2"), ("CDE", "shared", "r2"), ("MAC", "only_short", "r1")]
     one_less = km.reference_index(km.windows(reference.filter("rec_idx < 2"), [3]))
     got = dict(rows(km.annotate(piles, one_less), "kmer", "category"))
     assert got["CDE"] == "shared|novel"
@@ -98,7 +93,7 @@ def test_errors(sequences):
     with pytest.raises(ValueError):
         km.windows(sequences, [0])
     with pytest.raises(ValueError):
-        km.pile_table(km.tagged_windows(sequences, [3]), "a", "a")
+        km.pile_counts_by_kmer(km.tagged_windows(sequences, [3]), "a", "a")
 
 
 def test_shared_ids(frame):
@@ -107,10 +102,6 @@ def test_shared_ids(frame):
     assert rows(km.shared_ids(a, b), "id") == [("x",)]
 
 
-def test_parts():
-    assert parts_for(0) == 1 and parts_for(1_000_000) == 1 and parts_for(1_000_001) == 2
-
-
 def test_one_shuffle_for_piles_and_reference(sequences, reference):
     tagged = km.tagged_windows(sequences.select("id", "seq", "side").hint("rebalance"), [3], reference)
     plan = km.pile_counts_by_kmer(tagged, reference=True)._jdf.queryExecution().executedPlan().toString()
@@ -122,25 +113,3 @@ def test_piles_partition_the_union(sequences):
     everything = km.windows(sequences, [2]).select("kmer").distinct()
     assert counts.count() == everything.count()
     assert counts.filter((F.col("file1_count") == 0) & (F.col("file2_count") == 0)).count() == 0
-
-
-def test_queries_have_one_schema_at_every_size(spark, monkeypatch):
-    sf_dir = "/root/testdata/sf0.001"
-    keys = {"kmer_piles_k9": "kmer", "kmer_ref_proteins_k9": "kmer", "exact_li_match": "idx"}
-    tables = {name: QUERIES[name](spark, sf_dir) for name in keys}
-    monkeypatch.setattr(cells, "IDS_PER_CELL", 20)
-    for name, key in keys.items():
-        small = QUERIES[name](spark, sf_dir)
-        assert small.schema == tables[name].schema and "part" not in small.columns
-        assert small.count() == small.select(key).distinct().count() == tables[name].count()
-
-
-def test_categories_count_kmers_not_parts(sequences, reference):
-    tagged = km.tagged_windows(sequences, [3])
-    index = km.reference_index(km.windows(reference, [3]), track_ids=True)
-    whole, split = (km.annotate(km.pile_table(tagged, "short", "long", parts=n), index) for n in (1, 3))
-    assert split.count() > whole.count()
-    parted = km.reference_index(km.windows(reference, [3]), track_ids=True, parts=3)
-    assert sorted(km.annotate(whole.select("kmer", "pile"), parted).collect()) == sorted(km.annotate(whole.select("kmer", "pile"), index).collect())
-    for f in (km.category_summary, km.category_count_table):
-        assert sorted(map(str, f(split).collect())) == sorted(map(str, f(whole).collect()))

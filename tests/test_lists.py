@@ -60,8 +60,9 @@ def test_membership(db, denovo):
     lists = db.unionByName(denovo)
     venn = ls.sort_venn(ls.venn_counts(lists, ["D", "N"])).collect()
     assert [tuple(r) for r in venn] == [("D & N", 1), ("D", 2), ("N", 2)]
-    shared = ls.all_files_overlap(lists, ["D", "N"]).collect()
-    assert [(r.normalized_sequence, r.D, r.N) for r in shared] == [("ALLK", "AILK;ALLK", "ALIK")]
+    shared = ls.shared_norms(lists, ["D", "N"])
+    originals = ls.all_files_originals(lists, shared).orderBy("label", "idx").collect()
+    assert [tuple(r) for r in originals] == [("ALLK", "D", 0, "AILK"), ("ALLK", "D", 1, "ALLK"), ("ALLK", "N", 0, "ALIK")]
     assert sum(r.peptide_count for r in venn) == ls.normalized(lists).select("norm").distinct().count()
     with pytest.raises(ValueError):
         ls.membership(lists, ["D", "D"])
@@ -87,17 +88,12 @@ def proteins(frame):
                                   "rec_idx bigint, id string, seq string"))
 
 
-@pytest.mark.parametrize("parts", [1, 2])
-def test_exact_match(frame, proteins, parts):
+def test_exact_match(frame, proteins):
     wanted = peptides(frame, "x", "KIL", "kll", "QQ", "KIL").drop("label")
     matches = mt.protein_matches(wanted, proteins)
-    got = mt.match_table(wanted, matches, parts)
-    if parts == 1:
-        assert [tuple(r) for r in got.orderBy("idx").collect()] == [
-            (0, "KIL", 2, "pB;pA"), (1, "kll", 2, "pB;pA"), (2, "QQ", 0, "NO_MATCH"), (3, "KIL", 2, "pB;pA")]
-    else:
-        ids = [i for r in got.filter("idx = 0").collect() for i in r.protein_ids.split(";")]
-        assert sorted(ids) == ["pA", "pB"] and {r.n_proteins for r in got.filter("idx = 0").collect()} == {2}
+    assert [tuple(r) for r in mt.match_counts(wanted, matches).orderBy("idx").collect()] == [(0, "KIL", 2), (1, "kll", 2), (2, "QQ", 0), (3, "KIL", 2)]
+    got = [tuple(r) for r in mt.match_rows(wanted, matches).orderBy("idx", "rec_idx").select("idx", "peptide", "protein_id").collect()]
+    assert got == [(0, "KIL", "pB"), (0, "KIL", "pA"), (1, "kll", "pB"), (1, "kll", "pA"), (2, "QQ", "NO_MATCH"), (3, "KIL", "pB"), (3, "KIL", "pA")]
     share = mt.matched_fraction(wanted, matches).first()
     assert (share.n_peptides, share.n_matched, share.pct) == (4, 3, 75.0)
 
@@ -105,7 +101,7 @@ def test_exact_match(frame, proteins, parts):
 def test_no_peptides(frame, proteins):
     wanted = peptides(frame, "x").drop("label")
     matches = mt.protein_matches(wanted, proteins)
-    assert mt.match_table(wanted, matches).count() == 0
+    assert mt.match_rows(wanted, matches).count() == mt.match_counts(wanted, matches).count() == 0
     assert mt.matched_fraction(wanted, matches).first().pct == 0.0
 
 
@@ -131,6 +127,7 @@ def test_hit_funnel_and_summary(hits):
     assert tuple(ht.hit_funnel(hits, 70, 1).first()) == (6, 5, 4, 3)
     kept = ht.filter_hits(hits, "t", 70, 1)
     assert kept.columns == ["tool", "query_id", "subject_id", "pident", "mismatch", "qseq", "sseq", "evalue"]
-    got = ht.summarize_hits(kept, "t").orderBy("peptide").collect()
-    assert [tuple(r) for r in got] == [("t", "A-LK", 1, "p9"), ("t", "AILK", 2, "p1;p2")]
-    assert ht.summarize_hits(kept.limit(0), "t").columns == ["tool", "peptide", "n_proteins", "protein_ids"]
+    subjects = ht.hit_subjects(kept)
+    assert sorted(tuple(r) for r in subjects.collect()) == [("A-LK", "p9"), ("AILK", "p1"), ("AILK", "p2")]
+    assert sorted(tuple(r) for r in ht.subject_counts(subjects, "t").collect()) == [("t", "A-LK", 1), ("t", "AILK", 2)]
+    assert ht.subject_counts(subjects.limit(0), "t").columns == ["tool", "peptide", "n_proteins"]
