@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.containment import first_container
+from seqloom.operators.latest import keep_one
 from seqloom.session import materialize
 
 
 def unique_sequences(records: DataFrame) -> DataFrame:
     """First record of every sequence: (rec_idx, id, seq, digest, n, length).
 
-    Records meet on a digest; only the first sequence of each goes through the
-    shuffle, since map tasks reduce their copies beforehand.
+    Records meet on a digest; which is the first one follows from positions.
     """
-    return (records.withColumn("digest", F.sha2("seq", 256)).groupBy("digest")
-            .agg(F.min_by(F.struct("rec_idx", "id", "seq"), "rec_idx").alias("r"), F.count("*").alias("n"))
-            .select("r.*", "digest", "n", F.length("r.seq").alias("length")))
+    kept = keep_one(records.select("rec_idx", "id", "seq", F.sha2("seq", 256).alias("digest")), ["digest"], "rec_idx", last=False)
+    return kept.select("rec_idx", "id", "seq", "digest", "n", F.length("seq").alias("length"))
 
 
 def identical_edges(records: DataFrame, unique: DataFrame) -> DataFrame:

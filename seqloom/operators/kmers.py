@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
 from seqloom.functions import windows as win
+from seqloom.operators.latest import keep_one
 
 # Category order of the summary and of the count table.
 CATEGORY_ORDER = [
@@ -46,17 +47,11 @@ def record_stream(records: DataFrame) -> DataFrame:
 def keyed_sequences(records: DataFrame) -> DataFrame:
     """One cleaned sequence per id (and ``side``): its last non-empty one.
 
-    ``rec_idx`` is the position where the id appeared first. The partial
-    aggregation reduces a repeated id before the shuffle.
+    ``rec_idx`` is the position where the id appeared first.
     """
     keys = [c for c in ("side", "id") if c in records.columns]
-    # Empty records are skipped inside the aggregation: as a filter their test
-    # would move to the scan and clean every text a second time there.
-    position = F.when(F.col("seq") != "", F.col("rec_idx"))
-    return (records.withColumn("seq", tx.clean_residues(F.col("seq"))).groupBy(*keys)
-            .agg(F.max_by("seq", position).alias("seq"), F.min(position).alias("rec_idx"),
-                 F.count(position).alias("n_records"))
-            .filter(F.col("n_records") > 0))
+    kept = keep_one(record_stream(records).select(*keys, "rec_idx", "seq"), keys, "rec_idx", last=True)
+    return kept.select(*keys, "seq", F.col("first").alias("rec_idx"), F.col("n").alias("n_records"))
 
 
 def shared_ids(first: DataFrame, second: DataFrame) -> DataFrame:

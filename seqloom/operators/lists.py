@@ -41,10 +41,26 @@ def exact_pairs(db: DataFrame, denovo: DataFrame) -> DataFrame:
                     (F.col("n_db") * F.col("n_denovo")).alias("n_pairs")))
 
 
+# Rows of a pair that one step writes out.
+_PAIRS_PER_STEP = 1 << 16
+
+
 def expand_pairs(pairs: DataFrame) -> DataFrame:
-    """One row per pair of occurrences."""
-    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_pairs"))).alias("_i")
-    return pairs.select("*", each).drop("_i", "n_pairs")
+    """One row per pair of occurrences.
+
+    A pair is written out by steps of 65,536 rows, and so are its steps, so no
+    array is longer; steps are dealt over the tasks, so a pair that makes up
+    most of the output does not stay with one.
+    """
+    size = _PAIRS_PER_STEP
+    exact = lambda n, d: F.expr(f"({n} + {d - 1}L) div {d}L")
+    steps = pairs.withColumn("_outer", F.explode(F.sequence(F.lit(0).cast("bigint"), exact("n_pairs", size * size) - 1)))
+    inner = F.least(F.lit(size - 1).cast("bigint"), exact("n_pairs", size) - 1 - F.col("_outer") * size)
+    steps = steps.withColumn("_inner", F.explode(F.sequence(F.lit(0).cast("bigint"), inner)))
+    steps = steps.withColumn("_step", F.col("_outer") * size + F.col("_inner"))
+    rows = F.least(F.lit(size).cast("bigint"), F.col("n_pairs") - F.col("_step") * size)
+    dealt = steps.select(*pairs.columns, rows.alias("_rows")).hint("rebalance")
+    return dealt.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))).alias("_i")).drop("_i", "_rows", "n_pairs")
 
 
 def substring_containers(db: DataFrame, denovo: DataFrame) -> DataFrame:
@@ -102,23 +118,39 @@ def overlap_summary(db: DataFrame, denovo: DataFrame, containers: DataFrame) ->
                     (e + s).alias("total_overlap")))
 
 
+# Lists whose membership one long holds.
+_LISTS_PER_WORD = 63
+
+
 def membership(peptides: DataFrame, labels: list[str]) -> DataFrame:
-    """Per norm one flag per file, in one pre-aggregated shuffle.
+    """(norm, lists): bit ``i`` of ``lists`` tells whether list ``labels[i]`` has the norm.
 
-    Labels repeat if two files share a stem, which is refused.
+    Bits are set by the map side and merged in one shuffle; a long holds 63
+    lists, so a thousand of them are sixteen numbers. Labels repeat if two
+    files share a stem, which is refused.
     """
     if len(set(labels)) != len(labels):
         raise ValueError(f"file labels must differ: {labels}")
-    flags = [F.bool_or(F.col("label") == name).alias(f"in{i}") for i, name in enumerate(labels)]
-    return normalized(peptides).groupBy("norm").agg(*flags)
+    numbers = F.create_map(*[F.lit(v) for i, name in enumerate(labels) for v in (name, i)])[F.col("label")] if labels else F.lit(None).cast("int")
+    numbered = normalized(peptides).select("norm", numbers.alias("number"))
+    word, bit = F.floor(F.col("number") / _LISTS_PER_WORD), F.expr(f"shiftleft(1L, cast(number % {_LISTS_PER_WORD} as int))")
+    words = [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(_words_of(labels))]
+    return numbered.groupBy("norm").agg(*words).select("norm", F.array(*[f"w{w}" for w in range(_words_of(labels))]).alias("lists"))
+
+
+def _words_of(labels: list[str]) -> int:
+    return max(1, -(-len(labels) // _LISTS_PER_WORD))
 
 
 def venn_counts(peptides: DataFrame, labels: list[str]) -> DataFrame:
-    """Norms per exact combination of files; combinations seen only."""
-    flags = [f"in{i}" for i in range(len(labels))]
-    names = F.array_compact(F.array(*(F.when(F.col(f), F.lit(name)) for f, name in zip(flags, labels))))
-    counts = membership(peptides, labels).groupBy(*flags).agg(F.count("*").alias("peptide_count"))
-    return counts.select(F.array_sort(names).alias("files"), "peptide_count").select(
+    """Norms per exact combination of files; combinations seen only.
+
+    Combinations are counted as bits and named afterwards.
+    """
+    counts = membership(peptides, labels).groupBy("lists").agg(F.count("*").alias("peptide_count"))
+    has = [F.when(F.get("lists", F.lit(i // _LISTS_PER_WORD)).bitwiseAND(F.lit(1 << i % _LISTS_PER_WORD)) != 0, F.lit(name))
+           for i, name in enumerate(labels)]
+    return counts.select(F.array_sort(F.array_compact(F.array(*has))).alias("files"), "peptide_count").select(
         F.array_join("files", " & ").alias("file_combination"), F.size("files").alias("n_files"),
         "peptide_count")
 
@@ -130,10 +162,8 @@ def sort_venn(counts: DataFrame) -> DataFrame:
 
 def shared_norms(peptides: DataFrame, labels: list[str]) -> DataFrame:
     """Norms present in every file."""
-    everywhere = F.lit(True)
-    for i in range(len(labels)):
-        everywhere = everywhere & F.col(f"in{i}")
-    return membership(peptides, labels).filter(everywhere).select("norm")
+    full = [(1 << min(_LISTS_PER_WORD, len(labels) - w * _LISTS_PER_WORD)) - 1 for w in range(_words_of(labels))]
+    return membership(peptides, labels).filter(F.col("lists") == F.array(*[F.lit(v).cast("bigint") for v in full])).select("norm")
 
 
 def all_files_originals(peptides: DataFrame, shared: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
 from seqloom.operators.containment import containing_pairs
+from seqloom.operators.latest import keep_one
 
 
 def protein_index(records: DataFrame) -> DataFrame:
@@ -14,8 +15,8 @@ def protein_index(records: DataFrame) -> DataFrame:
 
     Stop marks and empty sequences are kept here.
     """
-    return (records.groupBy("id")
-            .agg(F.upper(F.max_by("seq", "rec_idx")).alias("seq"), F.min("rec_idx").alias("rec_idx"))
+    kept = keep_one(records.select("id", "seq", "rec_idx"), ["id"], "rec_idx", last=True)
+    return (kept.select("id", F.upper("seq").alias("seq"), F.col("first").alias("rec_idx"))
             .withColumn("norm", F.translate("seq", "I", "L")))
 
 

@@ -117,9 +117,12 @@ def _denovo(spark, sf_dir):
     return tb.turn_words(spark, sf_dir, F.concat(F.lit("turns_"), F.col("role")))
 
 
-def _labels(lists):
-    """Labels of the lists; one per input file."""
-    return sorted(r.label for r in lists.select("label").distinct().collect())
+def _labels(spark, sf_dir, turns=True):
+    """Labels of the lists, one per input file, from the columns that name them."""
+    langs = tb.load(spark, sf_dir, "documents").select(F.concat(F.lit("docs_"), F.col("lang")).alias("label"))
+    roles = tb.load(spark, sf_dir, "conversations").select(F.concat(F.lit("turns_"), F.col("role")).alias("label"))
+    found = (langs.unionByName(roles) if turns else langs).filter("label is not null").distinct()
+    return sorted(r.label for r in found.collect())
 
 
 @query
@@ -144,19 +147,19 @@ def overlap_summary(spark, sf_dir):
 @query
 def venn_counts(spark, sf_dir):
     lists = _db(spark, sf_dir).unionByName(_denovo(spark, sf_dir))
-    return ls.sort_venn(ls.venn_counts(lists, _labels(lists)))
+    return ls.sort_venn(ls.venn_counts(lists, _labels(spark, sf_dir)))
 
 
 @query
 def shared_norms(spark, sf_dir):
     lists = _db(spark, sf_dir)
-    return ls.shared_norms(lists, _labels(lists))
+    return ls.shared_norms(lists, _labels(spark, sf_dir, turns=False))
 
 
 @query
 def all_files_overlap(spark, sf_dir):
     lists = _db(spark, sf_dir)
-    rows = ls.all_files_originals(lists, ls.shared_norms(lists, _labels(lists)))
+    rows = ls.all_files_originals(lists, ls.shared_norms(lists, _labels(spark, sf_dir, turns=False)))
     place = [F.get("idx", F.lit(i)).alias(name) for i, name in enumerate(("doc_id", "pos"))]
     return rows.select(F.col("norm").alias("normalized_sequence"), "label", *place, "peptide")
 

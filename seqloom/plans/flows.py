@@ -92,8 +92,8 @@ def compare_lists(spark: SparkSession, db_files: Sequence[str], denovo_files: Se
         raise ValueError(f"two input files share a label: {labels}")
     containers = materialize(ls.substring_containers(db, denovo))
     everything = db.unionByName(denovo)
-    sinks.write_exact_pairs(ls.exact_pairs(db, denovo), f"{outdir}/exact_overlaps")
-    sinks.write_substring_pairs(ls.substring_pairs(denovo, containers), f"{outdir}/substring_overlaps")
+    sinks.write_exact_pairs(materialize(ls.exact_pairs(db, denovo)), f"{outdir}/exact_overlaps")
+    sinks.write_substring_pairs(materialize(ls.substring_pairs(denovo, containers)), f"{outdir}/substring_overlaps")
     shared = materialize(ls.shared_norms(everything, labels))
     sinks.write_all_files(shared, ls.all_files_originals(everything, shared), f"{outdir}/all_files_overlap.tsv", labels)
     sinks.write_venn(ls.venn_counts(everything, labels), f"{outdir}/venn_counts.tsv")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage in reliable storage."""
+    """Compute ``df`` once and cut its lineage in reliable storage.
+
+    The stage is a table of columns in the shared folder: readers fetch the
+    columns they use, and its size is known when a join is planned.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    base = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base}/stage-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -58,15 +58,24 @@ def write_provenance(edges: DataFrame, path: str) -> None:
     _tsv(sort_provenance(edges)).csv(path)
 
 
+def _file_pairs(pairs: DataFrame) -> list[tuple[str, str, DataFrame]]:
+    """The pairs of files that have rows, with their rows."""
+    found = sorted(tuple(r) for r in pairs.select("db_file", "denovo_file").distinct().collect())  # one row per pair of input files
+    return [(a, b, pairs.filter((F.col("db_file") == a) & (F.col("denovo_file") == b))) for a, b in found]
+
+
 def write_exact_pairs(pairs: DataFrame, path: str) -> None:
-    """The bag of exact pairs, one folder per pair of files with any."""
-    _tsv(expand_pairs(pairs)).partitionBy("db_file", "denovo_file").csv(path)
+    """The bag of exact pairs, one folder per pair of files with any, its labels in the header."""
+    for a, b, own in _file_pairs(pairs):
+        rows = expand_pairs(own).select(F.col("db_original").alias(f"{a}_original"), F.col("denovo_original").alias(f"{b}_original"), "il_normalized")
+        _tsv(rows).csv(f"{path}/{a}__{b}.tsv")
 
 
 def write_substring_pairs(pairs: DataFrame, path: str) -> None:
-    """Substring pairs in list order, one folder per pair of files with any."""
-    ordered = pairs.sort("db_file", "denovo_file", "idx").drop("idx")
-    _tsv(ordered).partitionBy("db_file", "denovo_file").csv(path)
+    """Substring pairs in list order, one folder per pair of files with any, its labels in the header."""
+    for a, b, own in _file_pairs(pairs):
+        rows = own.sort("idx").select(F.col("denovo_original").alias(f"{b}_denovo"), F.col("db_containing_peptide").alias(f"{a}_db_containing_peptide"))
+        _tsv(rows).csv(f"{path}/{a}__{b}.tsv")
 
 
 def write_piles(piles: DataFrame, postings: DataFrame, path: str, label1: str, label2: str) -> None:

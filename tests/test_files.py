@@ -124,10 +124,9 @@ def test_compare_flow(spark, tmp_path):
     assert Path(out, "overlap_summary.tsv").read_text().splitlines() == [
         "db_file\tdenovo_file\texact_overlap\tsubstring_only_overlap\ttotal_overlap", "D\tN\t2\t2\t4", "D\tM\t0\t0\t0"]
     assert Path(out, "venn_counts.tsv").read_text().splitlines()[:3] == ["file_combination\tpeptide_count", "D & N\t1", "D\t2"]
-    exact = Path(out, "exact_overlaps", "db_file=D", "denovo_file=N")
-    assert sorted(lines(exact))[:2] == ["AILK\tALIK\tALLK", "ALLK\tALIK\tALLK"]
-    assert not Path(out, "exact_overlaps", "db_file=D", "denovo_file=M").exists()
-    assert lines(Path(out, "substring_overlaps"))[1:] == ["PEPTIDE\tPEPTIDEK"] * 2
+    assert sorted(lines(Path(out, "exact_overlaps", "D__N.tsv"))) == ["AILK\tALIK\tALLK", "ALLK\tALIK\tALLK", "D_original\tN_original\til_normalized"]
+    assert not Path(out, "exact_overlaps", "D__M.tsv").exists()
+    assert lines(Path(out, "substring_overlaps", "D__N.tsv")) == ["N_denovo\tD_db_containing_peptide"] + ["PEPTIDE\tPEPTIDEK"] * 2
     text = [part.read_text() for part in Path(out, "all_files_overlap.tsv").glob("part-*")]
     assert set(text) <= {"\n".join([*sinks.ALL_FILES_COMMENTS, "normalized_sequence\tD\tN\tM"]) + "\n"}
     both = str(tmp_path / "both")

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import kmers as km
+from seqloom.operators import latest
+from seqloom.session import materialize
 
 SHORT = [(0, "t1", "*macde*"), (1, "t2", "MAC"), (2, "t2", "ACD"), (3, "t3", "**"), (4, "t2", "*")]
 LONG = [(0, "u1", "CDEXF"), (1, "u2", "ACD"), (2, "u3", "AC")]
@@ -103,6 +105,8 @@ def test_shared_ids(frame):
 
 
 def test_one_shuffle_for_piles_and_reference(sequences, reference):
+    # The windows meet in one aggregation; that repeated ids are joined away before is another step, written out here.
+    sequences = materialize(sequences)
     tagged = km.tagged_windows(sequences.select("id", "seq", "side").hint("rebalance"), [3], reference)
     plan = km.pile_counts_by_kmer(tagged, reference=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(kmer") == 1 and "Join" not in plan
@@ -113,3 +117,22 @@ def test_piles_partition_the_union(sequences):
     everything = km.windows(sequences, [2]).select("kmer").distinct()
     assert counts.count() == everything.count()
     assert counts.filter((F.col("file1_count") == 0) & (F.col("file2_count") == 0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_texts_reach_the_windows_without_sorts(frame, monkeypatch, most):
+    """Repeated ids are settled by numbers; while they are few no text is in an exchange or aggregation."""
+    monkeypatch.setattr(latest, "REPEATED_KEYS", most)
+    records = frame([(i, f"t{i % 7}", "ACDE" * (i % 3), 1 + i % 2) for i in range(60)], "rec_idx bigint, id string, seq string, side int")
+    last, first, n = {}, {}, {}
+    for r in records.collect():
+        if r.seq:
+            key = (r.side, r.id)
+            n[key] = n.get(key, 0) + 1
+            first[key] = min(first.get(key, r.rec_idx), r.rec_idx)
+            last[key] = max(last.get(key, (-1, "")), (r.rec_idx, r.seq))
+    kept = km.keyed_sequences(records.persist())
+    assert sorted(rows(kept, "side", "id", "seq", "rec_idx", "n_records")) == sorted((*k, last[k][1], first[k], n[k]) for k in last)
+    plan = km.windows(kept, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and (most == 0 or "hashpartitioning" not in plan)
+    records.unpersist()

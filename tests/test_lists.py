@@ -68,6 +68,24 @@ def test_membership(db, denovo):
         ls.membership(lists, ["D", "D"])
 
 
+def test_a_thousand_lists(frame):
+    """Bits of lists beyond one long, and norms of all of them."""
+    labels = [f"L{i:04d}" for i in range(1000)]
+    rows = [(name, 0, "AIK") for name in labels] + [(name, 1, "PEP") for name in labels[62:65]] + [(labels[-1], 2, "ZZ")]
+    lists = frame(rows, "label string, idx bigint, peptide string")
+    assert [r.norm for r in ls.shared_norms(lists, labels).collect()] == ["ALK"]
+    got = {(r.n_files, r.file_combination[:21]): r.peptide_count for r in ls.venn_counts(lists, labels).collect()}
+    assert got == {(1000, "L0000 & L0001 & L0002"): 1, (3, "L0062 & L0063 & L0064"): 1, (1, "L0999"): 1}
+
+
+def test_pairs_are_written_out_by_steps(frame, monkeypatch):
+    monkeypatch.setattr(ls, "_PAIRS_PER_STEP", 4)
+    counts = [1, 3, 4, 5, 15, 16, 17, 40, 64, 65, 130]
+    pairs = frame([(f"p{n}", n) for n in counts], "db_original string, n_pairs bigint")
+    got = {r.db_original: r["count"] for r in ls.expand_pairs(pairs).groupBy("db_original").count().collect()}
+    assert got == {f"p{n}": n for n in counts}
+
+
 def test_length_filter(frame):
     lines = frame([("ABCDEFG",), ("ABCDEFGH",), ("ABCDEFGH",), ("   ABCDE",)], "value string")
     assert sorted(r.value for r in ls.length_filter_distinct(lines).collect()) == ["   ABCDE", "ABCDEFGH"]
