@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.graph import components
-from seqloom.llm.storage import store, text_batches
+from seqloom.llm.storage import sheltered, store, text_batches
 
 SHINGLE_WORDS = 5
 HALVES, ROWS = 16, 4
@@ -301,9 +301,10 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each class, with all its columns: the one with the least
     id. Rows that repeat an id and a text stay once; rows without an id are
     linked with nothing, but equal texts among them stay once too. Of rows
-    that share an id, those go whose own text is a copy."""
+    that share an id, those go whose own text is a copy. Other columns may have any name."""
+    docs, named = sheltered(docs, "doc_id", "text")
     gone = text_classes(docs, percent).where(~F.col("kept")).select(
         F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct()
     marked = docs.withColumns({"__gone_id": F.col("doc_id").cast("long"), "__gone_text": F.xxhash64("text")})
     left = marked.join(gone, ["__gone_id", "__gone_text"], "left_anti").dropDuplicates(["__gone_id", "__gone_text"])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named(left)

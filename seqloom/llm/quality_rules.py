@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.storage import store
+from seqloom.llm.storage import sheltered, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,11 +23,11 @@ SYMBOLS = "#*$%&|<>"
 #: Documents under this many words fail, as do those with more than half their words in repeated windows.
 LEAST_WORDS = 50
 #: Posterior probability of being good from which a document is kept.
-KEEP_FROM = 0.5
-#: Votes that the prior rates count for.
-PRIOR_VOTES = 20.0
-#: Bounds of how often a rule is taken to vote bad on good documents, and on bad ones.
-FALSE_ALARM, DETECTION = (0.004, 0.02), (0.05, 0.98)
+KEEP_FROM = 0.85
+#: Means of the beta priors of how often a rule votes bad on good documents and on bad ones, and of the share of good ones.
+FALSE_ALARM, DETECTION, GOOD = 0.01, 0.3, 0.85
+#: Votes that a prior counts for; that of false alarms counts for a share of all documents as well, as rules are written to spare good text.
+PRIOR_VOTES, PRIOR_SHARE = 20.0, 0.1
 
 
 def _without(text: str, characters: str) -> Column:
@@ -78,14 +78,13 @@ class Rule:
     good: str
 
 
+#: One rule for each count: two cuts of one count would bring the same fact as two witnesses.
 RULES = (
     Rule("symbols", "__q_symbols * 10 > __q_words", "__q_symbols * 50 <= __q_words"),
-    Rule("many_symbols", "__q_symbols * 4 > __q_words", "__q_symbols * 20 <= __q_words"),
     Rule("letters", "__q_letters * 10 < __q_chars * 8", "__q_letters * 100 >= __q_chars * 88"),
     Rule("capitals", "__q_upper * 10 > __q_letters * 4", "__q_upper * 10 <= __q_letters * 2"),
     Rule("shouting", "__q_shouts * 10 > __q_words * 3", "__q_shouts * 20 <= __q_words"),
     Rule("repeats", "__q_repeat * 10 > __q_words * 3", "__q_repeat * 10 <= __q_words"),
-    Rule("many_repeats", "__q_repeat * 2 > __q_words", "__q_repeat * 5 <= __q_words"),
     Rule("lines", "__q_dup_lines * 10 > __q_lines * 3", "__q_dup_lines * 10 <= __q_lines"),
     Rule("word_length", "__q_chars < __q_words * 2 or __q_chars > __q_words * 15", "__q_chars between __q_words * 3 and __q_words * 12"),
 )
@@ -96,13 +95,9 @@ def base_failed() -> Column:
 
 
 def with_votes(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``__q_votes``: a letter for each rule: g, b, or - for an abstention. No words, no votes.
-
-    A filter that also looks at the partition number beside it is not pushed
-    below the counts, where each would be computed many times over.
-    """
+    """Add ``__q_votes``: a letter for each rule: g, b, or - for an abstention. No words, no votes."""
     vote = lambda r: F.when(F.col("__q_words") == 0, "-").when(F.expr(r.bad), "b").when(F.expr(r.good), "g").otherwise("-")
-    return df.withColumns({"__q_votes": F.concat(*[vote(r) for r in rules]), "__q_part": F.spark_partition_id()})
+    return df.withColumn("__q_votes", F.concat(*[vote(r) for r in rules]))
 
 
 @dataclass(frozen=True)
@@ -130,23 +125,22 @@ def fit(patterns: dict[str, int], rounds: int = 300) -> Model:
     """Expectation-maximisation over the counted vote patterns of all documents.
 
     There are at most three to the power of the number of rules patterns,
-    whatever the number of documents. Rules are written to spare good text:
-    ``FALSE_ALARM`` bounds how often one may vote bad on a good document, which
-    also keeps the two classes from trading places. Without documents the prior
-    stands.
+    whatever the number of documents. All rates are posterior means under beta
+    priors; that of false alarms also keeps the two classes from trading
+    places. Without documents the priors stand.
     """
     width, total = len(next(iter(patterns), "")), sum(patterns.values())
-    start_good, start_bad = {"b": 0.005, "g": 0.995}, {"b": 0.3, "g": 0.7}
-    model = Model(0.85, (start_good,) * width, (start_bad,) * width)
+    priors = ((FALSE_ALARM, PRIOR_VOTES + PRIOR_SHARE * total), (DETECTION, PRIOR_VOTES))
+    start_good, start_bad = ({"b": mean, "g": 1 - mean} for mean, _ in priors)
+    model = Model(GOOD, (start_good,) * width, (start_bad,) * width)
     for _ in range(rounds):
         good = {p: 1 / (1 + math.exp(-max(-500.0, min(500.0, model.log_odds(p))))) for p in patterns}
-        share = (sum(n * good[p] for p, n in patterns.items()) + 0.85 * PRIOR_VOTES) / (total + PRIOR_VOTES)
+        share = (sum(n * good[p] for p, n in patterns.items()) + GOOD * PRIOR_VOTES) / (total + PRIOR_VOTES)
         on_good, on_bad = [], []
         for j in range(width):
-            for start, found, of in ((start_good, on_good, good), (start_bad, on_bad, {p: 1 - g for p, g in good.items()})):
-                seen = {v: PRIOR_VOTES * start[v] + sum(n * of[p] for p, n in patterns.items() if p[j] == v) for v in "bg"}
-                low, high = FALSE_ALARM if start is start_good else DETECTION
-                bad = min(high, max(low, seen["b"] / sum(seen.values())))
+            for (mean, weight), found, of in ((priors[0], on_good, good), (priors[1], on_bad, {p: 1 - g for p, g in good.items()})):
+                seen = {v: weight * (mean if v == "b" else 1 - mean) + sum(n * of[p] for p, n in patterns.items() if p[j] == v) for v in "bg"}
+                bad = seen["b"] / (seen["b"] + seen["g"])
                 found.append({"b": bad, "g": 1 - bad})
         new = Model(share, tuple(on_good), tuple(on_bad))
         moved = abs(new.good - model.good) + sum(
@@ -184,8 +178,13 @@ def document_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents kept, with all their columns. The votes of all are fitted first."""
-    voted = with_votes(with_counts(docs))
-    probability = posterior(fit_votes(voted.select("__q_votes")))
-    kept = voted.where(~base_failed() & (probability >= KEEP_FROM) & (F.col("__q_part") >= 0))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents kept, with all their columns whatever their names. Null
+    texts are empty and fail; repeated rows stay or go together.
+
+    The counts are made once: rows are stored with their votes, and those kept
+    are read from there.
+    """
+    rows, named = sheltered(docs, "text")
+    voted = with_votes(with_counts(rows)).select(*rows.columns, base_failed().alias("failed"), F.col("__q_votes"))
+    voted = store(voted, "voted")
+    return named(voted.where(~F.col("failed") & (posterior(fit_votes(voted)) >= KEEP_FROM)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.ranges import null_first, range_of, running_sums, splitters
-from seqloom.llm.storage import store
+from seqloom.llm.storage import sheltered, store
 
 #: Ranges per shard. Boundaries of shards fall inside ranges, so this only sets how even the tasks are.
 RANGES_PER_SHARD = 32
@@ -30,7 +30,7 @@ def assign_shards(df: DataFrame, keys: list[str], weight: str, n_shards: int,
     largest row. Ties in all keys are cut in any order. Columns named shard or
     slot are replaced. An empty table gives no rows.
     """
-    df = df.drop("shard", "slot")
+    df, named = sheltered(df.drop("shard", "slot"), *keys, weight)
     bounds = splitters(df, keys, weight, n_shards * RANGES_PER_SHARD, seed)
     ranged = df.withColumn("__range", range_of(df, keys, bounds))
     # One row per overfull range at most, and the number of ranges is fixed by the number of shards.
@@ -47,8 +47,8 @@ def assign_shards(df: DataFrame, keys: list[str], weight: str, n_shards: int,
     placed = placed.withColumn("shard", F.expr(f"cast(__start * {n_shards} div {total} as int)"))
     # At most n_shards rows.
     first = placed.groupBy("shard").agg(F.min("__index").alias("__first"))
-    return placed.join(F.broadcast(first), "shard").select(
-        *df.columns, "shard", (F.col("__index") - F.col("__first")).alias("slot"))
+    done = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("__index") - F.col("__first"))
+    return named(done, "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

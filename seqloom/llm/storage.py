@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqloom.session import ensure_checkpoint_dir
 
@@ -28,6 +30,14 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sheltered(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with all columns but the used ones under names that an operator's
+    own cannot clash with, and what gives a result its names back, followed by
+    the new columns named to it."""
+    names = {f"column_{i}" if c not in used else c: c for i, c in enumerate(df.columns)}
+    return df.toDF(*names), lambda out, *new: out.select(*[F.col(inner).alias(c) for inner, c in names.items()], *new)
+
+
 #: Bytes of rows that a worker process gets at a time.
 BATCH_BYTES = 8 << 20
 

@@ -3,7 +3,10 @@
 Logistic regression over the words of a text and their beginnings. Besides the
 labels it fits a penalty: in labelled texts that mention a group, the mention
 is swapped for others, and changes of the score are punished. So a group's name
-carries no weight of its own, however often it stands in toxic texts.
+carries no weight of its own, however often it stands in toxic texts. A text
+without a mention gets one, and the same text with another name is its
+counterpart: names that the labels never show are held to the same score as
+well. A model states its number of pairs and their mean change of score.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.ranges import uniform
-from seqloom.llm.storage import store, text_batches
+from seqloom.llm.storage import sheltered, store, text_batches
 
 #: Group names that are swapped for one another, by kind, so that swaps stay grammatical.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -43,6 +46,7 @@ MIN_TEXTS, MIN_Z, MAX_FEATURES = 3, 4.0, 20_000
 PREFIX = 5
 #: Weights of the penalty on weights and of that on score changes; swaps for each mention.
 L2, COUNTERFACTUAL, SWAPS = 1e-3, 1.0, 4
+Terms = tuple[tuple[str, ...], ...]
 STEPS, RATE = 600, 0.1
 #: Words whose weight a worker keeps.
 MEMO_WORDS = 1 << 17
@@ -63,6 +67,13 @@ def features(word: str) -> tuple[str, ...]:
 class Classifier:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    #: Counterfactual pairs of the fit, and the mean change of the log-odds between their texts.
+    pairs: int = 0
+    mean_change: float = 0.0
+
+    @property
+    def regularised(self) -> bool:
+        return self.pairs > 0
 
     def word_weight(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
@@ -88,13 +99,20 @@ def swapped(found: set[str], term: str, other: str) -> set[str]:
     return (found - {term}) | {other}
 
 
-def counterfactuals(found: set[str], rng: np.random.Generator) -> Iterator[tuple[str, str]]:
-    """(mention, its replacement) for the group names in a text."""
-    for kind in IDENTITY_TERMS:
+def counterfactuals(found: set[str], rng: np.random.Generator, terms: Terms = IDENTITY_TERMS) -> Iterator[tuple[str, str]]:
+    """(mention, its replacement) for the group names in a text; for a text without any, one that is put in."""
+    none = True
+    for kind in terms:
         for term in sorted(found.intersection(kind)):
+            none = False
             others = [t for t in kind if t != term]
             for k in rng.permutation(len(others))[:SWAPS]:
                 yield term, others[k]
+    kinds = [kind for kind in terms if len(kind) > 1]
+    if none and kinds:
+        kind = kinds[rng.integers(len(kinds))]
+        a, b = rng.permutation(len(kind))[:2]
+        yield kind[a], kind[b]
 
 
 def minimise(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[float, np.ndarray]:
@@ -125,9 +143,10 @@ def minimise(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nd
     return bias, w
 
 
-def fit(labelled: DataFrame) -> Classifier:
+def fit(labelled: DataFrame, terms: Terms = IDENTITY_TERMS) -> Classifier:
     """Fit (text, toxic) of a bounded number of rows; see ``training_rows``.
 
+    ``terms`` are the group names to swap, by kind. A null text is empty.
     Without labels of both kinds there are no weights, and the bias states the
     share of toxic rows with half a row added to each side.
     """
@@ -151,33 +170,35 @@ def fit(labelled: DataFrame) -> Classifier:
     chosen = (labelled.mapInArrow(occurrences, "feature string, toxic int").groupBy("feature")
               .agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where(f"n >= {MIN_TEXTS}")
               .withColumn("z", F.abs(distance)).where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect())
-    groups = {f for kind in IDENTITY_TERMS for t in kind for f in features(t)}
+    groups = {f for kind in terms for t in kind for f in features(t)}
     index = {f: i for i, f in enumerate(dict.fromkeys([*(r["feature"] for r in chosen), *sorted(groups)]))}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set(index)
-        mentions = {t for kind in IDENTITY_TERMS for t in kind}
+        mentions = {t for kind in terms for t in kind}
         for batch in batches:
-            rows, terms = [], []
+            rows, named = [], []
             for text in batch.column("text"):
                 own = words(text.as_py())
                 rows.append(sorted(index[f] for f in {f for w in own for f in features(w)} & known))
-                terms.append(sorted(own & mentions))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.string()))],
+                named.append(sorted(own & mentions))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string()))],
                                              names=["toxic", "features", "terms"])
 
-    rows = labelled.select("text", "toxic").mapInArrow(encode, "toxic int, features array<int>, terms array<string>").collect()
+    rows = labelled.select("text", "toxic").mapInArrow(encode, "toxic int, features array<int>, terms array<string>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["features"], r["terms"], r["toxic"]))
     rng, pairs = np.random.default_rng(7), []
     names = list(index)
     for r in rows:
         own = {names[i] for i in r["features"]}
-        for term, other in counterfactuals(set(r["terms"]), rng):
-            lost = [index[f] for f in features(term)]
-            got = [index[f] for f in features(other) if f not in own]
-            pairs.append((np.array(lost), np.array(got, dtype=np.int64)))
+        for term, other in counterfactuals(set(r["terms"]), rng, terms):
+            stays = own if term not in r["terms"] else own - set(features(term))
+            lost = [index[f] for f in features(term) if f not in stays]
+            got = [index[f] for f in features(other) if f not in stays]
+            pairs.append((np.array(lost, dtype=np.int64), np.array(got, dtype=np.int64)))
     bias, w = minimise([np.array(r["features"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), pairs, len(index))
-    return Classifier(bias, {f: float(w[i]) for f, i in index.items() if w[i]})
+    change = float(np.mean([abs(w[got].sum() - w[lost].sum()) for lost, got in pairs])) if pairs else 0.0
+    return Classifier(bias, {f: float(w[i]) for f, i in index.items() if w[i]}, len(pairs), change)
 
 
 # ---- data -------------------------------------------------------------------
@@ -201,7 +222,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_score(docs: DataFrame, model: Classifier, out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the probability of toxicity of the whole text."""
+    """All columns of ``docs`` and the probability of toxicity of the whole
+    text. A null text is empty; ``out`` must be the name of no other column."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model)
@@ -225,6 +247,9 @@ def document_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents scored under 0.5, with all their columns."""
+    """The documents scored under 0.5, with all their columns whatever their
+    names. Null texts are empty, rows without an id are scored as well, and
+    repeated rows stay or go together."""
     model = fit(training_rows(docs, labels))
-    return with_score(docs, model, "__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    rows, named = sheltered(docs, "text")
+    return named(with_score(rows, model, "toxicity").where("toxicity < 0.5").drop("toxicity"))

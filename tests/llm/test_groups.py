@@ -230,6 +230,33 @@ def test_group_names_carry_no_weight(spark, monkeypatch):
     assert gap < 0.2 * abs(free.word_weight("muslims") - free.word_weight("christians"))
 
 
+def test_pairs_arise_without_mentions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.training_rows(docs, labels)
+    model = toxicity.fit(rows)
+    assert model.regularised and model.pairs >= rows.count() and 0 <= model.mean_change < 0.05
+    own = toxicity.fit(labelled(spark), terms=(("muslims", "christians"), ("alone",)))
+    assert own.pairs == labelled(spark).count() and not toxicity.fit(labelled(spark), terms=()).regularised
+
+
+def test_batches_score_as_the_model_does(docs):
+    model = toxicity.Classifier(-0.5, {"quick": 1.5, "brown": -0.25, "alpha": 0.125, "delta": 2.0, "wörds": 3.0, "epsil*": -4.0})
+    for r in toxicity.with_score(docs.select("text"), model, "p").collect():
+        assert r["p"] == pytest.approx(1 / (1 + np.exp(-model.logit(r["text"]))))
+
+
+def test_stages_handle_odd_and_empty_tables(spark, docs, no_docs, tmp_path):
+    spark.createDataFrame([(0, 1, 1), (5, 1, 0), (7, 0, 0), (8, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.withColumns({"__toxicity": F.lit(1), "__q_words": F.lit("a"), "__gone_id": F.lit(2), "sequence": F.lit(3)})
+    for table in (odd, odd.where("false"), odd.unionByName(odd)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, stage(spark, kept, str(tmp_path)).cache()
+            assert kept.columns == before.columns and kept.exceptAll(before).count() == 0
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.collect()}
+
+
 def test_scores_of_every_row(spark, docs, no_docs):
     labels = spark.createDataFrame([(0, 1), (0, 0), (5, None), (None, 1), (7, 0), (77, 1)], "doc_id long, toxic int")
     got = toxicity.document_toxicity(docs, labels).collect()

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -31,11 +32,11 @@ def test_shards_are_even_and_gapless(request, source):
 
 def test_a_hot_key_is_cut_and_columns_may_clash(spark):
     rows = spark.range(3000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("i"), F.lit(10).cast("long").alias("w"),
-                                    F.lit("x").alias("shard"), F.lit("y").alias("extra"))
+                                    F.lit("x").alias("shard"), F.lit("y").alias("extra"), F.lit("z").alias("__range"))
     got = sharding.assign_shards(rows, ["k", "i"], "w", 4, range_bytes=500).collect()
     counts = collections.Counter(r["shard"] for r in got)
     assert len(got) == 3000 and set(counts) == {0, 1, 2, 3} and max(counts.values()) - min(counts.values()) <= 2
-    assert got[0]["extra"] == "y"
+    assert got[0]["extra"] == "y" and got[0]["__range"] == "z"
 
 
 def test_empty_table_has_no_shards(no_docs):
@@ -103,9 +104,24 @@ def test_voting_junk_goes_and_prose_stays():
     assert all(a > 0.9 for a, _ in map(model.accuracy, range(9)))
 
 
+def test_planted_accuracies_are_recovered():
+    """Votes drawn with known rates, conditionally independent; a fifth of the votes are abstentions."""
+    rng = random.Random(11)
+    alarms, detections, good_share = [0.005, 0.01, 0.02, 0.03, 0.05, 0.01, 0.002], [0.8, 0.6, 0.4, 0.7, 0.5, 0.3, 0.15], 0.8
+    patterns = collections.Counter()
+    for _ in range(30_000):
+        rates = alarms if rng.random() < good_share else detections
+        patterns["".join("-" if rng.random() < 0.2 else "b" if rng.random() < r else "g" for r in rates)] += 1
+    model = quality_rules.fit(patterns)
+    assert model.good == pytest.approx(good_share, abs=0.03)
+    for j, (alarm, detection) in enumerate(zip(alarms, detections, strict=True)):
+        assert model.on_good[j]["b"] == pytest.approx(alarm, abs=0.012) and model.on_bad[j]["b"] == pytest.approx(detection, abs=0.06)
+
+
 def test_filter_keeps_whole_rows(docs, no_docs):
-    kept = quality_rules.keep_good(docs.withColumn("__q_extra", F.lit(1)))
-    assert kept.columns == [*docs.columns, "__q_extra"]
+    clashing = docs.withColumns({"__q_extra": F.lit(1), "__q_text": F.lit("x"), "__q_words": F.lit(7), "failed": F.lit(False)})
+    kept = quality_rules.keep_good(clashing)
+    assert kept.columns == clashing.columns and kept.where("__q_text != 'x' or __q_words != 7 or failed").count() == 0
     verdict = sorted(str(r["doc_id"]) for r in quality_rules.document_quality(docs).where("kept").collect())
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == verdict
     assert quality_rules.keep_good(no_docs).count() == 0 and quality_rules.document_quality(no_docs).count() == 0
