@@ -185,13 +185,27 @@ def category_count_table(annotated: DataFrame) -> DataFrame:
     return agg.select(F.explode(rows).alias("r")).select("r.kmer_type", "r.count")
 
 
-def parse_metrics(sequences: DataFrame, k: int) -> DataFrame:
-    """Loaded sequences, those too short and ambiguous window occurrences."""
+def parse_figures(k: int, suffix: str = "") -> list[Column]:
+    """Loaded sequences, those too short and ambiguous window occurrences, to aggregate or to observe."""
     seq = F.col("seq")
-    return sequences.agg(
-        F.count("*").alias("n_sequences"),
-        F.count_if(F.length(seq) < k).alias("skipped_short"),
-        F.sum(win.window_count(seq, k) - win.clean_window_count(seq, k)).alias("skipped_ambiguous"))
+    return [F.count("*").alias(f"n_sequences{suffix}"), F.count_if(F.length(seq) < k).alias(f"skipped_short{suffix}"),
+            F.sum(win.window_count(seq, k) - win.clean_window_count(seq, k)).alias(f"skipped_ambiguous{suffix}")]
+
+
+def parse_metrics(sequences: DataFrame, k: int) -> DataFrame:
+    return sequences.agg(*parse_figures(k))
+
+
+def load_figures() -> list[Column]:
+    """Records read and empty ones."""
+    return [F.count("*").alias("read"), F.count_if(tx.clean_residues(F.col("seq")) == "").alias("empty")]
+
+
+def unique_kmers(piles: DataFrame, label1: str, label2: str) -> DataFrame:
+    """Unique k-mers of each source, and of both, per k."""
+    on1, on2 = F.col(f"{label1}_count") > 0, F.col(f"{label2}_count") > 0
+    return piles.groupBy("k").agg(F.count_if(on1).alias(f"{label1}_unique"), F.count_if(on2).alias(f"{label2}_unique"),
+                                  F.count_if(on1 & on2).alias("in_both"))
 
 
 def load_metrics(records: DataFrame) -> DataFrame:

@@ -60,6 +60,11 @@ def kmer_pile_summary(spark, sf_dir):
     return km.pile_summary(km.pile_counts_by_kmer(tagged), "file1", "file2")
 
 
+@query
+def kmer_unique_per_source(spark, sf_dir):
+    return km.unique_kmers(km.pile_counts_by_kmer(_turn_windows(spark, sf_dir, [8, 9])), "file1", "file2")
+
+
 @query
 def kmer_pile_summary_keep_ambiguous(spark, sf_dir):
     tagged = _document_windows(spark, sf_dir, [9], skip_ambiguous=False)

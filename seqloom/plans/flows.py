@@ -6,7 +6,7 @@ import logging
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
@@ -36,18 +36,37 @@ def assign_piles(spark: SparkSession, file1: str, file2: str, outdir: str, label
             log.warning("k=%d is very large; expect sparse results", k)
     records = (src.read_fasta(spark, file1).withColumn("side", F.lit(km.FILE1))
                .unionByName(src.read_fasta(spark, file2).withColumn("side", F.lit(km.FILE2))))
-    sequences = materialize(km.keyed_sequences(records))
+    # The figures are observed in the passes that do the work.
+    load, parse, unique = Observation("load"), Observation("parse"), Observation("unique")
+    sequences = materialize(km.keyed_sequences(records.observe(load, *km.load_figures())))
     common = km.shared_ids(sequences.filter("side = 1"), sequences.filter("side = 2")).count()
     if common:
         log.warning("%d ids appear in both files and cannot be told apart in the output", common)
-    tagged = materialize(km.tagged_windows(sequences, list(ks), skip_ambiguous=not keep_ambiguous))
-    piles = materialize(km.pile_counts_by_kmer(tagged, label1, label2))
+    observed = sequences.observe(parse, *[figure for k in ks for figure in km.parse_figures(k, f"_{k}")])
+    tagged = materialize(km.tagged_windows(observed, list(ks), skip_ambiguous=not keep_ambiguous))
+    figures = [figure.alias(f"{name}_{k}") for k in ks for name, figure in _unique_of(k, label1, label2)]
+    piles = materialize(km.pile_counts_by_kmer(tagged, label1, label2).observe(unique, *figures))
+    _log_load(load.get, parse.get[f"n_sequences_{ks[0]}"])
+    for k in ks:
+        log.info("k=%d: %d sequences too short, %d ambiguous windows %s; unique k-mers: %d in %s, %d in %s", k, parse.get[f"skipped_short_{k}"],
+                 parse.get[f"skipped_ambiguous_{k}"] or 0, "kept" if keep_ambiguous else "skipped", unique.get[f"unique_1_{k}"], label1,
+                 unique.get[f"unique_2_{k}"], label2)
     for k in ks:
         postings = km.pile_postings(tagged.filter(F.col("k") == k))
         sinks.write_piles(piles.filter(F.col("k") == k), postings, f"{outdir}/kmers_k{k}.tsv", label1, label2)
     return km.pile_summary(piles, label1, label2)
 
 
+def _unique_of(k: int, label1: str, label2: str) -> list[tuple[str, Column]]:
+    of = F.col("k") == k
+    return [(f"unique_{i}", F.count_if(of & (F.col(f"{label}_count") > 0))) for i, label in enumerate((label1, label2), 1)]
+
+
+def _log_load(found: dict, loaded: int) -> None:
+    log.info("read %d records: %d loaded, %d empty, %d with a repeated id", found["read"], loaded, found["empty"],
+             found["read"] - found["empty"] - loaded)
+
+
 def annotate_piles(spark: SparkSession, inputs: Sequence[str], reference: str, outdir: str,
                    track_ids: bool = False, split_categories: bool = False,
                    keep_ambiguous: bool = False) -> dict[str, DataFrame]:
@@ -57,13 +76,15 @@ def annotate_piles(spark: SparkSession, inputs: Sequence[str], reference: str, o
     inputs with the same k do not overwrite each other.
     """
     ks = {path: src.k_of(path) for path in inputs}
-    records = km.record_stream(src.read_fasta(spark, reference))
+    load = Observation("reference")
+    records = km.record_stream(src.read_fasta(spark, reference).observe(load, *km.load_figures()))
     windows = km.windows(records, sorted(set(ks.values())), not keep_ambiguous)
     summaries, indexes = {}, {}
     for path, k in sorted(ks.items(), key=lambda item: item[1]):
         own = windows.filter(F.col("k") == k)
         if k not in indexes:  # one index per k, whatever the number of inputs
             indexes[k] = materialize(km.reference_index(own))
+            log.info("reference, k=%d: read %d records, %d empty; %d unique k-mers", k, load.get["read"], load.get["empty"], indexes[k].count())
         annotated = materialize(km.annotate(src.read_piles(spark, path), indexes[k]))
         stem = src.label_of(path)
         sinks.write_annotated(annotated, f"{outdir}/{stem}_annotated.tsv", km.reference_postings(annotated, own) if track_ids else None)

@@ -152,6 +152,10 @@ ORACLE: dict[str, str] = {
     + """ SELECT kmer, pile, n1 AS short_count, n2 AS long_count FROM counted""",
     "kmer_postings_k9": "WITH " + ",\n".join([OWN_TURNS, _keyed("turns"), _windows("win", "keyed", "side", 9)])
     + " SELECT kmer, side, id FROM win",
+    "kmer_unique_per_source": "WITH " + ",\n".join([OWN_TURNS, _keyed("turns"), _windows("w8", "keyed", "side", 8), _windows("w9", "keyed", "side", 9),
+                                                   "win AS (SELECT * FROM w8 UNION ALL SELECT * FROM w9)", _plain_counted("win", "file1", "file2")])
+    + """ SELECT k, count(*) FILTER (WHERE n1 > 0) AS file1_unique, count(*) FILTER (WHERE n2 > 0) AS file2_unique,
+      count(*) FILTER (WHERE n1 > 0 AND n2 > 0) AS in_both FROM counted GROUP BY k""",
     "kmer_ref_annotate_k9": _reference("turns", _plain_counted("win", "short", "long"))
     + """ SELECT kmer, pile, n1 AS short_count, n2 AS long_count, ref_match, category FROM annotated""",
     "kmer_ref_proteins_k9": _reference("turns", _plain_counted("win", "short", "long"))

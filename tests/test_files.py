@@ -100,7 +100,9 @@ def test_kmer_flow(spark, tmp_path):
     out = str(tmp_path / "out")
     assert cli.main(["--log", str(tmp_path / "log"), "piles", "--file1", short, "--file2", long, "--label1", "short",
                      "--label2", "long", "--k", "3", "4", "--outdir", out]) == 0
-    assert "only_short" in (tmp_path / "log").read_text()
+    told = (tmp_path / "log").read_text()
+    assert "only_short" in told and "read 7 records: 5 loaded, 1 empty, 1 with a repeated id" in told
+    assert "k=3: 1 sequences too short, 2 ambiguous windows skipped; unique k-mers: 3 in short, 2 in long" in told
     assert lines(f"{out}/kmers_k3.tsv") == [
         "kmer\tpile\tshort_transcripts\tlong_transcripts\tshort_count\tlong_count",
         "ACD\tshared\tt1;t2\tu2\t2\t1", "CDE\tshared\tt1\tu1\t1\t1", "MAC\tonly_short\tt1\t\t1\t0"]
