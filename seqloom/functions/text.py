@@ -71,7 +71,11 @@ def key_upper(c: Column) -> Column:
 
 
 _QUOTED = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
-_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+_INTEGER = r"[+-]?(?:0+|[1-9][0-9]*)"
+_FLOAT = r"[+-]?(?:(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+)"
+_NAME = r"None|True|False"
+_ITEM = rf"(?:{_QUOTED}|{_FLOAT}|{_INTEGER}|{_NAME})"
+_JSON = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
 def _list_of(item: str) -> str:
@@ -84,8 +88,42 @@ def _parse_list(c: Column, item: str = _QUOTED) -> Column:
 
     A trailing comma is legal in the literal but not in JSON.
     """
-    body = F.regexp_replace(c, r",\s*\]$", "]")
-    return F.when(c.rlike(_list_of(item)), F.from_json(body, "array<string>", {"allowSingleQuotes": "true"}))
+    body = _wide_escapes(F.regexp_replace(c, r",\s*\]$", "]"))
+    return F.when(c.rlike(_list_of(item)), F.from_json(body, "array<string>", _JSON))
+
+
+def _wide_escapes(c: Column) -> Column:
+    """Escapes of two hexadecimal digits, which JSON lacks, as ones of four."""
+    return F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+
+
+def _float_text(item: Column) -> Column:
+    """A decimal number as a literal's value prints: plain from 0.0001 to 1e16, else with an exponent of two digits."""
+    value = item.try_cast("double")
+    size, java = F.abs(value), value.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(value.try_cast("decimal(38,22)").cast("string"), "0+$", ""), r"\.$", ".0")
+    plain = F.when((size == 0) & item.startswith("-"), F.lit("-0.0")).otherwise(plain)
+    power = F.regexp_extract(java, "E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
+    scientific = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    wide = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
+    infinite = F.when(value < 0, "-inf").otherwise("inf")
+    return (F.when(F.isnan(value) | (size == float("inf")), infinite).when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain)
+            .when(F.abs(power) > 99, wide).otherwise(scientific))
+
+
+def _item_text(item: Column) -> Column:
+    """An item of a literal as its value prints."""
+    quoted = F.get(F.from_json(F.concat(F.lit("["), _wide_escapes(item), F.lit("]")), "array<string>", _JSON), F.lit(0))
+    whole = F.when(item.rlike("^[+-]?0+$"), F.lit("0")).otherwise(F.regexp_replace(item, r"^\+", ""))
+    return (F.when(item.rlike("""^['"]"""), quoted).when(item.rlike(f"^(?:{_INTEGER})$"), whole)
+            .when(item.rlike(f"^(?:{_NAME})$"), item).otherwise(_float_text(item)))
+
+
+def _printed_list(c: Column) -> Column:
+    """The printed items of a list literal; null when the text is anything but a list of literals."""
+    items = F.regexp_extract_all(c, F.lit(f"({_ITEM})"), F.lit(1))
+    return F.when(c.rlike(_list_of(_ITEM)), F.transform(items, _item_text))
 
 
 def tokens_to_sequence(c: Column) -> Column:
@@ -112,8 +150,7 @@ def prediction_key(c: Column) -> Column:
     as it stands. Null stays null and therefore matches nothing.
     """
     s = strip(c)
-    parsed = _parse_list(s, f"(?:{_QUOTED}|{_NUMBER})")
-    joined = F.when(s.startswith("["), F.coalesce(F.array_join(parsed, ""), s)).otherwise(s)
+    joined = F.when(s.startswith("["), F.coalesce(F.array_join(_printed_list(s), ""), s)).otherwise(s)
     return F.upper(strip(strip_modifications(joined)))
 
 

@@ -1,3 +1,7 @@
+import ast
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +46,24 @@ def test_lenient_key(spark, value, key):
     assert one(spark, value, tx.prediction_key) == key
 
 
+def test_lenient_key_prints_literals_as_they_are(spark):
+    items = ["'A'", '"B[x]"', "None", "True", "False", "5", "-5", "+5", "0", "-0", "00", "1e5", "1.5", "-2.", ".5", "1e16", "1.25e-7", "-0.0", "123456789.125",
+             "1E+300", "1e-5", "0.0001", "'it\\'s'", "'\\x41'", "'\\u0042'", "' '", "1e400", "-1e400"]
+    rng = random.Random(0)
+    values = [f"[{i}]" for i in items] + [f"[{', '.join(rng.choices(items, k=rng.randint(0, 5)))}{rng.choice(['', ','])}]" for _ in range(200)]
+    values += ["[05]", "[nope]", "['A' 'B']", "[[1]]", "[,]", "[1, ,2]"]
+
+    def plain(value):
+        try:
+            joined = "".join(str(t) for t in ast.literal_eval(value))
+        except (ValueError, SyntaxError):
+            joined = value
+        return re.sub(r"\[.*?\]", "", joined).strip().upper()
+
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", tx.prediction_key(F.col("v")).alias("r")).collect()
+    assert {r.v: r.r for r in got if r.v not in ("[,]", "['A' 'B']", "[[1]]")} == {v: plain(v) for v in values if v not in ("[,]", "['A' 'B']", "[[1]]")}
+
+
 @pytest.mark.parametrize("fn, value, expected", [
     (tx.fold_li, "AIi", "ALi"), (tx.fold_li_upper, "AIi", "ALL"), (tx.strip_stops, "**MK**", "MK"),
     (tx.strip_trailing_stops, "*MK*", "*MK"), (tx.clean_residues, "*macde*", "MACDE"),
