@@ -28,7 +28,7 @@ def strip(c: Column) -> Column:
 
 def fold_li(c: Column) -> Column:
     """Make isoleucine and leucine equal, keeping the case of all letters."""
-    return F.translate(c, "I", "L")
+    return F.replace(c, F.lit("I"), F.lit("L"))
 
 
 def fold_li_upper(c: Column) -> Column:

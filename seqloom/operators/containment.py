@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.bloom import build_filters
 from seqloom.functions.seeds import CLASSES, with_end_windows, with_seeds, with_windows
 from seqloom.session import materialize
+from seqloom.session import spread as more_tasks
 
 # Size up to which candidates are sent to all tasks; they are counted first.
 CANDIDATE_BYTES = 64 << 20
@@ -35,7 +36,7 @@ def seed_matches(patterns: DataFrame, pattern: str, pattern_key: str,
     that pass by chance meet no probe.
     """
     spark = patterns.sparkSession
-    sized = patterns.withColumn("size", F.octet_length(pattern).cast("bigint"))
+    sized = more_tasks(patterns).withColumn("size", F.octet_length(pattern).cast("bigint"))
     texts = texts.withColumn("text_size", F.octet_length(text).cast("bigint"))
     carry = [*carry, "text_size"]
     own = materialize(with_seeds(sized, pattern, [pattern_key, "size"], list(CLASSES), own_class=True))

@@ -73,7 +73,8 @@ def substring_containers(db: DataFrame, denovo: DataFrame) -> DataFrame:
     """
     # Used three times: as texts, for exact norms and for the originals.
     firsts = (normalized(db).groupBy(F.col("label").alias("db_file"), F.col("norm").alias("db_norm"))
-              .agg(F.min("idx").alias("first_idx"), F.min_by("peptide", "idx").alias("db_original")))
+              .agg(F.min(F.struct("idx", "peptide")).alias("first"))
+              .select("db_file", "db_norm", F.col("first.idx").alias("first_idx"), F.col("first.peptide").alias("db_original")))
     firsts = materialize(firsts)
     exact = firsts.select(F.col("db_norm").alias("norm"), "db_file")
     n_files = firsts.select(F.count_distinct("db_file")).first()[0]

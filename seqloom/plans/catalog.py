@@ -16,6 +16,7 @@ from seqloom.operators import matching as mt
 from seqloom.operators import ordinals as od
 from seqloom.operators import quality as ql
 from seqloom.session import materialize
+from seqloom.sources import files as src
 from seqloom.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +248,41 @@ def fasta_wrap60(spark, sf_dir):
     return records.select("rec_idx", tx.fasta_record(F.col("id"), F.col("seq"), tx.FASTA_WIDTH).alias("record"))
 
 
+# ---- record parsing -------------------------------------------------------
+
+def _raw_records(spark, sf_dir):
+    """(doc_id, pos, value): texts cut at header marks, as the reader does."""
+    return tb.fasta_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n>")).alias("pos", "value"))
+
+
+@query
+def fasta_records(spark, sf_dir):
+    return _raw_records(spark, sf_dir).select("doc_id", "pos", *src.fasta_fields(F.col("value")))
+
+
+@query
+def fasta_keyed(spark, sf_dir):
+    parsed = _raw_records(spark, sf_dir).select(F.array("doc_id", F.col("pos").cast("bigint")).alias("rec_idx"), *src.fasta_fields(F.col("value")))
+    return km.keyed_sequences(parsed).select("id", "seq", "n_records")
+
+
+@query
+def fasta_ordered(spark, sf_dir):
+    name, seq = src.fasta_fields(F.col("value"), inner_spaces=True)
+    return _raw_records(spark, sf_dir).select("doc_id", "pos", name, F.upper(seq).alias("seq"))
+
+
+@query
+def peptide_lines(spark, sf_dir):
+    lines = tb.fasta_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return src.peptide_lines(lines, "line").select("doc_id", "pos", "peptide")
+
+
+@query
+def typed_pile_cells(spark, sf_dir):
+    return src.typed_piles(tb.pile_cells(spark, sf_dir), keep=("event_id",))
+
+
 # ---- text projections -----------------------------------------------------
 
 @query

@@ -52,6 +52,20 @@ def _reference(table: str, counted: str) -> str:
                                  _windows("rwin", "items", "0", 9), counted, _REF, _ANNOTATED])
 
 
+# FASTA texts of the documents, their lines, and their records (lists of lines), with positions from 0.
+_SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_FASTA = """texts AS (SELECT doc_id, '>doc' || doc_id || ' ' || coalesce(lang, '') || chr(10) ||
+  regexp_replace(coalesce(text, ''), '\\n([A-Da-d])', chr(10) || '>\\1', 'g') AS body FROM documents)"""
+LINES = f"""{_FASTA}, cut AS (SELECT doc_id, string_split(body, chr(10)) AS parts FROM texts),
+  lines AS (SELECT doc_id, CAST(unnest(range(0, len(parts))) AS INTEGER) AS pos, unnest(parts) AS line FROM cut)"""
+RECORDS = f"""{_FASTA}, cut AS (SELECT doc_id, string_split(substr(body, 2), chr(10) || '>') AS parts FROM texts),
+  records AS (SELECT doc_id, CAST(unnest(range(0, len(parts))) AS INTEGER) AS pos,
+    string_split(regexp_replace(unnest(parts), '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM cut)"""
+_RECORD_ID = f"regexp_extract(trim(ls[1], {_SPACES}), '^[^ \\t\\n\\r\\f\\v]*')"
+_RECORD_BODY = f"array_to_string(list_transform(ls[2:], lambda s: rtrim(s, {_SPACES})), '')"
+_UPPER = "upper(replace({}, 'ß', 'ss'))"  # DuckDB has a capital for it
+_CLEANED = _UPPER.format(f"rtrim(ltrim(replace({_RECORD_BODY}, ' ', ''), '*'), '*')")
+
 _CATEGORIES = ["shared|in_reference", "shared|novel", "only_short|in_reference", "only_short|novel",
                "only_long|in_reference", "only_long|novel"]
 _TABLE = ["only_long_in_reference", "only_long_novel", "only_short_in_reference", "only_short_novel",
@@ -210,6 +224,15 @@ ORACLE: dict[str, str] = {
       (SELECT count(*) FROM uniq) - (SELECT count(*) FROM absorbed) AS representatives_kept""",
     "fasta_wrap60": f"""WITH {DOCS} SELECT rec_idx, CASE WHEN seq = '' THEN '>' || id ELSE '>' || id || chr(10) ||
       rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) END AS record FROM docs""",
+    "fasta_records": f"""WITH {RECORDS} SELECT doc_id, pos, {_RECORD_ID} AS id, replace({_RECORD_BODY}, ' ', '') AS seq FROM records""",
+    "fasta_keyed": f"""WITH {RECORDS}, parsed AS (SELECT doc_id, pos, {_RECORD_ID} AS id, {_CLEANED} AS seq FROM records)
+    SELECT id, arg_max(seq, [doc_id, pos]) AS seq, count(*) AS n_records FROM parsed WHERE seq <> '' GROUP BY id""",
+    "fasta_ordered": f"""WITH {RECORDS} SELECT doc_id, pos, {_RECORD_ID} AS id, {_UPPER.format(_RECORD_BODY)} AS seq FROM records""",
+    "peptide_lines": f"""WITH {LINES} SELECT doc_id, pos, trim(line, {_SPACES}) AS peptide FROM lines WHERE trim(line, {_SPACES}) <> ''""",
+    "typed_pile_cells": f"""WITH cells AS (SELECT event_id, upper(event_type) AS kmer, event_id % 6 AS kind, user_id AS n FROM events)
+    SELECT event_id, kmer, CASE WHEN kind = 4 THEN '' ELSE 'shared' END AS pile,
+      CAST(CASE WHEN kind <= 2 THEN n WHEN kind = 3 THEN 10 * n ELSE 0 END AS BIGINT) AS short_count,
+      CAST(CASE WHEN kind = 5 THEN 0 ELSE -n END AS BIGINT) AS long_count FROM cells""",
     "strip_mods": f"""WITH {MODIFIED} SELECT event_id, peptide FROM
       (SELECT event_id, trim(regexp_replace(sequence, '\\[.*?\\]', '', 'g')) AS peptide FROM modified) WHERE peptide <> ''""",
     "token_list_to_sequence": "SELECT event_id, upper(event_type) AS peptide FROM events",

@@ -86,15 +86,20 @@ def read_fasta(spark: SparkSession, paths: str | list[str], unnamed: bool = True
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = _drop_preambles(_read_lines(spark, paths, "\n>"))
+    return raw.select("rec_idx", *fasta_fields(F.col("value"), unnamed, inner_spaces))
+
+
+def fasta_fields(value: Column, unnamed: bool = True, inner_spaces: bool = False) -> tuple[Column, Column]:
+    """Name and sequence of a record, a stretch of text between header marks."""
     # Only the first record of a file still has its mark.
-    body = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^>", "")
+    body = F.regexp_replace(F.regexp_replace(value, "\r\n?", "\n"), "^>", "")
     lines = F.split(body, "\n")
     name = F.split(tx.strip(lines[0]), r"\s+")[0]
     if not unnamed:
         name = F.when(name == "", F.raise_error(F.lit("FASTA header without a name")).cast("string")).otherwise(name)
     rows = F.transform(F.slice(lines, 2, F.size(lines)), lambda s: F.regexp_replace(s, r"\s+$", ""))
     seq = F.array_join(rows, "")
-    return raw.select("rec_idx", name.alias("id"), (seq if inner_spaces else F.replace(seq, F.lit(" "), F.lit(""))).alias("seq"))
+    return name.alias("id"), (seq if inner_spaces else F.replace(seq, F.lit(" "), F.lit(""))).alias("seq")
 
 
 def read_ordered_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -104,9 +109,13 @@ def read_ordered_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 def read_peptides(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
     """(label, idx, peptide): stripped non-blank lines in order, case kept."""
-    lines = _read_lines(spark, path).select(F.col("rec_idx").alias("idx"), tx.strip(F.col("value")).alias("peptide"))
-    return (lines.filter(F.col("peptide") != "")
-            .select(F.lit(label or label_of(path)).alias("label"), "idx", "peptide"))
+    lines = _read_lines(spark, path).withColumnRenamed("rec_idx", "idx")
+    return peptide_lines(lines, "value").select(F.lit(label or label_of(path)).alias("label"), "idx", "peptide")
+
+
+def peptide_lines(lines: DataFrame, line: str) -> DataFrame:
+    """Lines with ``peptide``, their stripped form; blank lines are left out."""
+    return lines.withColumn("peptide", tx.strip(F.col(line))).filter(F.col("peptide") != "")
 
 
 def read_peptide_lists(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
@@ -202,10 +211,10 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_piles(spark: SparkSession, path: str) -> DataFrame:
     """Pile table; count columns as integers, unreadable ones 0."""
-    table = require_columns(read_table(spark, path, "\t"), ["kmer", "pile"], path)
-    for name in table.columns:
-        if name.endswith("_count"):
-            table = table.withColumn(name, tx.count_or_zero(F.col(name)))
-        else:
-            table = table.withColumn(name, F.coalesce(F.col(name), F.lit("")))
-    return table
+    return typed_piles(require_columns(read_table(spark, path, "\t"), ["kmer", "pile"], path))
+
+
+def typed_piles(table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of a pile table as integers, other cells as text; columns of ``keep`` as they are."""
+    cell = lambda c: tx.count_or_zero(F.col(c)) if c.endswith("_count") else F.coalesce(F.col(c), F.lit(""))
+    return table.select(*[F.col(c) if c in keep else cell(c).alias(c) for c in table.columns])

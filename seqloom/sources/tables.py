@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.session import spread
+
 # Words of a text as peptides, short ones as well.
 WORD = "[A-Za-z]+"
 
@@ -16,15 +18,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table in few files more tasks before a step that multiplies it.
-
-    A large table already has a task per split and is left as it is.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(2 * wanted)
-
-
 def residues(c: Column) -> Column:
     """Letters of a text as a sequence."""
     return F.upper(F.regexp_replace(c, "[^A-Za-z]+", ""))
@@ -87,6 +80,28 @@ def turn_words(spark: SparkSession, sf_dir: str, label: Column | None = None) ->
     return words.withColumn("peptide", F.translate("peptide", "IL", "LI"))
 
 
+def fasta_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): every document as the text of a FASTA file. Its header
+    names the document; lines that begin with a to d are headers too."""
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    head = F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit("\n"))
+    return docs.select("doc_id", F.concat(head, F.regexp_replace(F.coalesce("text", F.lit("")), "\n([A-Da-d])", "\n>$1")).alias("text"))
+
+
+def pile_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, kmer, pile, short_count, long_count): events as rows of a pile
+    table whose cells are text: whole, padded and decimal numbers, exponents,
+    words and nothing."""
+    e = spread(load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    n = F.col("user_id").cast("string")
+    kind = F.col("event_id") % 6
+    short = (F.when(kind == 0, n).when(kind == 1, F.concat(F.lit(" "), n, F.lit(" "))).when(kind == 2, F.concat(n, F.lit(".0")))
+             .when(kind == 3, F.concat(n, F.lit("e1"))).when(kind == 4, F.lit("NA")))
+    long = F.when(kind == 5, F.lit("")).otherwise(F.concat(F.lit("-"), n, F.lit(".75")))
+    pile = F.when(kind == 4, F.lit(None).cast("string")).otherwise(F.lit("shared"))
+    return e.select("event_id", F.upper("event_type").alias("kmer"), pile.alias("pile"), short.alias("short_count"), long.alias("long_count"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, prediction, metrics): events as token-list predictions.
 

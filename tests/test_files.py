@@ -197,3 +197,19 @@ def test_preambles_of_several_files(spark, tmp_path):
     (tmp_path / "c.fa").write_text("noise\nmore\n>w\nDD\n")
     rows = src.read_fasta(spark, [str(tmp_path / n) for n in ("c.fa", "a.fa", "b.fa")]).orderBy("rec_idx").collect()
     assert [(r.id, r.seq) for r in rows] == [("w", "DD"), ("x", "AA"), ("y", "BB"), ("z", "CC")]
+
+
+def test_records_of_a_column(spark, frame):
+    df = frame([(1, ">a b\nAC \r\nDE\t"), (2, "\nQ\x0b"), (3, ""), (4, None)], "n int, value string")
+    rows = {r.n: (r.id, r.seq) for r in df.select("n", *src.fasta_fields(df.value)).collect()}
+    assert rows == {1: ("a", "ACDE"), 2: ("", "Q"), 3: ("", ""), 4: (None, None)}
+    spaced = df.filter("n = 1").select(*src.fasta_fields(df.value, inner_spaces=True)).first()
+    assert tuple(spaced) == ("a", "ACDE")
+    lines = frame([(1, " x y\t"), (2, " \x0b"), (3, None)], "n int, line string")
+    assert [(r.n, r.peptide) for r in src.peptide_lines(lines, "line").collect()] == [(1, "x y")]
+
+
+def test_typed_piles_of_a_frame(spark, frame):
+    df = frame([(1, None, "7.9"), (2, "k", None), (3, "", "1e2"), (4, "NA", "x")], "n int, kmer string, a_count string")
+    rows = [tuple(r) for r in src.typed_piles(df, keep=("n",)).orderBy("n").collect()]
+    assert rows == [(1, "", 7), (2, "k", 0), (3, "", 100), (4, "NA", 0)]
