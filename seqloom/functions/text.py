@@ -187,3 +187,14 @@ def pile_label(count1: Column, count2: Column, label1: str, label2: str) -> Colu
     return (F.when((count1 > 0) & (count2 > 0), F.lit("shared"))
             .when(count1 > 0, F.lit(f"only_{label1}"))
             .otherwise(F.lit(f"only_{label2}")))
+
+
+def sorted_cell(ids: Column, sep: str = ";") -> Column:
+    """Distinct ids in sorted order as an aggregate; an empty cell when there are none."""
+    return F.array_join(F.array_sort(F.collect_set(ids)), sep)
+
+
+def ordered_cell(order: Column, value: Column, sep: str = ";") -> Column:
+    """Values with repeats in the given order as an aggregate."""
+    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
+    return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)

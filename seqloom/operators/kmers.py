@@ -84,14 +84,14 @@ def tagged_windows(sequences: DataFrame, ks: Sequence[int], reference: DataFrame
     return out
 
 
-def _piles(tagged: DataFrame, label1: str, label2: str, reference: bool) -> DataFrame:
+def _piles(tagged: DataFrame, label1: str, label2: str, reference: bool, cells: Sequence[Column] = ()) -> DataFrame:
     """Counts per k-mer. Its length tells k, so k is not shuffled."""
     if label1 == label2:
         raise ValueError("the two labels must be different")
     on1, on2 = F.col("side") == FILE1, F.col("side") == FILE2
     seen = [F.bool_or(F.col("side") == REFERENCE).alias("ref_match")] if reference else []
     return (tagged.groupBy("kmer")
-            .agg(F.count_if(on1).alias("n1"), F.count_if(on2).alias("n2"), *seen)
+            .agg(F.count_if(on1).alias("n1"), F.count_if(on2).alias("n2"), *seen, *cells)
             .withColumn("k", F.length("kmer")))
 
 
@@ -112,6 +112,26 @@ def pile_counts_by_kmer(tagged: DataFrame, label1: str = "file1", label2: str =
     return out.select(*columns)
 
 
+def pile_table(tagged: DataFrame, label1: str = "file1", label2: str = "file2", reference: bool = False) -> DataFrame:
+    """The pile table with the ids of both sources in joined, sorted cells.
+
+    ``reference`` adds ``ref_match``, the ids of the reference and ``category``.
+    """
+    ids = lambda side: tx.sorted_cell(F.when(F.col("side") == side, F.col("id")))
+    cells = [ids(FILE1).alias(f"{label1}_transcripts"), ids(FILE2).alias(f"{label2}_transcripts")]
+    if reference:
+        cells.append(ids(REFERENCE).alias("ref_proteins"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    out = (_piles(tagged, label1, label2, reference, cells)
+           .filter((n1 > 0) | (n2 > 0))
+           .withColumn("pile", tx.pile_label(n1, n2, label1, label2)))
+    columns = ["k", "kmer", "pile", f"{label1}_transcripts", f"{label2}_transcripts",
+               n1.alias(f"{label1}_count"), n2.alias(f"{label2}_count")]
+    if reference:
+        columns += ["ref_match", "ref_proteins", tx.category(F.col("pile"), F.col("ref_match")).alias("category")]
+    return out.select(*columns)
+
+
 def pile_postings(tagged: DataFrame) -> DataFrame:
     """(kmer, cell, value): every id of a k-mer, once; cell 0 and 1 are the two
     sources, 2 is the reference. The long form of the joined id cells."""
