@@ -34,6 +34,16 @@ def match_counts(peptides: DataFrame, matches: DataFrame) -> DataFrame:
             .select("idx", "peptide", F.coalesce("n_proteins", F.lit(0).cast("bigint")).alias("n_proteins")))
 
 
+def match_table(peptides: DataFrame, matches: DataFrame) -> DataFrame:
+    """(idx, peptide, n_proteins, protein_ids): one row per input peptide, repeats
+    included. Ids follow the order of the protein records."""
+    cells = matches.groupBy("norm").agg(F.count("*").alias("n_proteins"),
+                                        tx.ordered_cell(F.col("rec_idx"), F.col("id")).alias("protein_ids"))
+    return (peptides.withColumn("norm", tx.fold_li_upper(F.col("peptide"))).join(cells, "norm", "left")
+            .select("idx", "peptide", F.coalesce("n_proteins", F.lit(0).cast("bigint")).alias("n_proteins"),
+                    F.coalesce("protein_ids", F.lit(tx.NO_MATCH)).alias("protein_ids")))
+
+
 def match_rows(peptides: DataFrame, matches: DataFrame) -> DataFrame:
     """(idx, peptide, protein_id, rec_idx): one row per input peptide and protein
     that holds it; a peptide without any has one row with ``NO_MATCH``."""

@@ -92,8 +92,8 @@ def kmer_ref_annotate_k9(spark, sf_dir):
 
 @query
 def kmer_ref_proteins_k9(spark, sf_dir):
-    piles = km.pile_counts_by_kmer(_turn_windows(spark, sf_dir, [9]), "short", "long")
-    return km.reference_postings(piles, km.windows(km.record_stream(tb.reference_records(spark, sf_dir)), [9]))
+    tagged = _turn_windows(spark, sf_dir, [9], reference=True)
+    return km.pile_table(tagged, "short", "long", reference=True).drop("k")
 
 
 @query

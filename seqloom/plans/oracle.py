@@ -181,8 +181,10 @@ ORACLE: dict[str, str] = {
       count(*) FILTER (WHERE n1 > 0 AND n2 > 0) AS in_both FROM counted GROUP BY k""",
     "kmer_ref_annotate_k9": _reference("turns", _plain_counted("win", "short", "long"))
     + """ SELECT kmer, pile, n1 AS short_count, n2 AS long_count, ref_match, category FROM annotated""",
-    "kmer_ref_proteins_k9": _reference("turns", _plain_counted("win", "short", "long"))
-    + """ SELECT DISTINCT kmer, pile, r.id AS ref_protein FROM counted JOIN rwin r USING (kmer)""",
+    "kmer_ref_proteins_k9": _reference("turns", _counted("win", "short", "long"))
+    + """, held AS (SELECT kmer, string_agg(id, ';' ORDER BY id) AS ids FROM rwin GROUP BY kmer)
+    SELECT kmer, pile, t1 AS short_transcripts, t2 AS long_transcripts, n1 AS short_count, n2 AS long_count,
+    ref_match, coalesce(ids, '') AS ref_proteins, category FROM annotated LEFT JOIN held USING (kmer)""",
     "kmer_parse_metrics": f"""WITH {DOCS}, {_keyed('docs')},
     kept AS (SELECT side, id, rec_idx, greatest(length(seq) - 8, 0) AS every,
       list_sum(list_transform(regexp_split_to_array(seq, '[XBZUO*]'), lambda s: greatest(length(s) - 8, 0))) AS clean, seq FROM keyed)
