@@ -29,6 +29,7 @@ from seqloom.functions.bloom import BloomFilters
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 
 _STEP = 1 << 17  # bytes hashed at a time, so that arrays stay in cache
+_PIECE = 1 << 18  # bytes of texts whose seeds are held at a time, unless a single text is longer
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -125,8 +126,21 @@ def _seeds(data: np.ndarray, offsets: np.ndarray, classes: list[int],
                 at = at + lo
                 row = np.searchsorted(ends, at, side="right")
                 inside = at + m <= ends[row]
-                found[m].append((row[inside], seed[inside]))
-    return {m: _each_once(pairs) for m, pairs in found.items() if pairs}
+                # Short seeds repeat in nearly every byte: what is held is each one once.
+                found[m].append(_each_once([(row[inside], seed[inside])]))
+    return {m: _each_once(pairs) if len(pairs) > 1 else pairs[0] for m, pairs in found.items() if pairs}
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch, whose first column is a text, in runs of rows of ``_PIECE`` bytes
+    at most or one row. What a task holds then follows from neither the rows nor
+    the texts of a batch."""
+    offsets = _buffers(batch.column(0))[1]
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _PIECE, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def _each_once(pairs: list) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +153,43 @@ def _each_once(pairs: list) -> tuple[np.ndarray, np.ndarray]:
     return row[new], seed[new]
 
 
+def _text_seeds(column: pa.Array, classes: list[int], wanted: BloomFilters | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    data, offsets = _buffers(column)
+    longest = int(np.diff(offsets).max(initial=0))
+    fitting = [m for m in classes if m <= longest]
+    return _seeds(data, offsets, fitting, wanted) if fitting else {}
+
+
+def _pattern_seeds(column: pa.Array, classes: list[int], wanted: BloomFilters | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    edges = np.array(CLASSES)
+    sizes = np.diff(_buffers(column)[1])
+    own = edges[np.maximum(np.searchsorted(edges, sizes, side="right") - 1, 0)]
+    found = {}
+    for m in classes:
+        mine = np.flatnonzero((own == m) & (sizes >= m))
+        if len(mine):
+            row, seed = _seeds(*_buffers(column.take(pa.array(mine))), [m], wanted)[m]
+            found[m] = mine[row], seed
+    return found
+
+
+def seed_rows(batches: Iterator[pa.RecordBatch], carry: list[str], classes: list[int], own_class: bool,
+              wanted: BloomFilters | None) -> Iterator[pa.RecordBatch]:
+    """(carry..., m, seed) of batches (text, carry...), a batch for each piece."""
+    seeds_of = _pattern_seeds if own_class else _text_seeds
+    for batch in batches:
+        for piece in pieces(batch):
+            found = seeds_of(piece.column(0), classes, wanted)
+            row = np.concatenate([r for r, _ in found.values()] or [np.zeros(0, np.int64)])
+            if len(row):
+                at = pa.array(row)
+                size = np.repeat(np.fromiter(found, np.int64), [len(r) for r, _ in found.values()])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(i + 1).take(at) for i in range(len(carry))]
+                    + [pa.array(size), pa.array(np.concatenate([s for _, s in found.values()]))],
+                    names=[*carry, "m", "seed"])
+
+
 def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
                own_class: bool, keep=None) -> DataFrame:
     """(carry..., m, seed): one row per row of ``df``, class and seed.
@@ -147,36 +198,11 @@ def with_seeds(df: DataFrame, text: str, carry: list[str], classes: list[int],
     ``classes`` (ascending) that fit it as a text. ``keep`` is a broadcast of
     the filters' tables; seeds outside them are dropped where they arise.
     """
-    edges = np.array(CLASSES)
-
-    def as_texts(column: pa.Array, wanted: BloomFilters | None):
-        data, offsets = _buffers(column)
-        longest = int(np.diff(offsets).max(initial=0))
-        fitting = [m for m in classes if m <= longest]
-        return _seeds(data, offsets, fitting, wanted).items() if fitting else ()
-
-    def as_patterns(column: pa.Array, wanted: BloomFilters | None):
-        sizes = np.diff(_buffers(column)[1])
-        own = edges[np.maximum(np.searchsorted(edges, sizes, side="right") - 1, 0)]
-        for m in classes:
-            mine = np.flatnonzero((own == m) & (sizes >= m))
-            if len(mine):
-                row, seed = _seeds(*_buffers(column.take(pa.array(mine))), [m], wanted)[m]
-                yield m, (mine[row], seed)
-
-    def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = BloomFilters(keep.value) if keep is not None else None
-        for batch in batches:
-            for m, (row, seed) in (as_patterns if own_class else as_texts)(batch.column(0), wanted):
-                if len(row):
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(i + 1).take(at) for i in range(len(carry))]
-                        + [pa.array(np.full(len(row), m, np.int64)), pa.array(seed)],
-                        names=[*carry, "m", "seed"])
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return seed_rows(batches, carry, classes, own_class, BloomFilters(keep.value) if keep is not None else None)
 
     return df.select(F.col(text).alias("_text"), *carry).mapInArrow(
-        seed_rows, _with_longs(df, carry, "m", "seed"))
+        rows_of, _with_longs(df, carry, "m", "seed"))
 
 
 def with_end_windows(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
