@@ -13,9 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions import packed as pk
 from seqloom.functions import text as tx
 from seqloom.functions import windows as win
 from seqloom.operators.latest import keep_one
+from seqloom.session import materialize
 
 # Category order of the summary and of the count table.
 CATEGORY_ORDER = [
@@ -112,6 +114,43 @@ def pile_counts_by_kmer(tagged: DataFrame, label1: str = "file1", label2: str =
     return out.select(*columns)
 
 
+def counted_piles(sequences: DataFrame, ks: Sequence[int], label1: str = "file1", label2: str = "file2",
+                  reference: DataFrame | None = None, skip_ambiguous: bool = True) -> DataFrame:
+    """(k, pile[, ref_match, category], n_kmers): how many k-mers of sided sequences are in each pile.
+
+    The same numbers as rows of ``pile_counts_by_kmer``, from integers in place
+    of strings. Windows that do not fit into one go by their text.
+    """
+    if label1 == label2:
+        raise ValueError("the two labels must be different")
+    rows = sequences.select("seq", F.col("side").cast("int").alias("side"))
+    if reference is not None:
+        rows = rows.unionByName(reference.select("seq", F.lit(REFERENCE).alias("side")))
+    rows = materialize(rows)
+    fits = max(ks) <= pk.MOST
+    texts = windows(rows.filter(F.col("seq").rlike(pk.FOREIGN)), ks, skip_ambiguous).filter(F.col("kmer").rlike(pk.FOREIGN)) if fits \
+        else windows(rows, ks, skip_ambiguous)
+    counts = (texts.groupBy("kmer").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"))
+              .groupBy(F.length("kmer").alias("k"), "sides").agg(F.count("*").alias("n")))
+    if fits:
+        counts = counts.unionByName(pk.count_by_sides(rows, list(ks), tx.AMBIGUOUS_CLASS.strip("[]") if skip_ambiguous else ""))
+    has = lambda side: F.col("sides").bitwiseAND(1 << side)
+    out = (counts.filter((has(FILE1) > 0) | (has(FILE2) > 0))
+           .withColumn("pile", tx.pile_label(has(FILE1), has(FILE2), label1, label2)))
+    columns = ["k", "pile"]
+    if reference is not None:
+        out = out.withColumn("ref_match", has(REFERENCE) > 0)
+        out = out.withColumn("category", tx.category(F.col("pile"), F.col("ref_match")))
+        columns += ["ref_match", "category"]
+    return out.groupBy(*columns).agg(F.sum("n").alias("n_kmers"))
+
+
+def _tally(piles: DataFrame, condition: Column | None = None) -> Column:
+    """Number of k-mers, all or some, of rows that stand for one each or for ``n_kmers``."""
+    weight = F.col("n_kmers") if "n_kmers" in piles.columns else F.lit(1).cast("bigint")
+    return F.coalesce(F.sum(weight if condition is None else F.when(condition, weight)), F.lit(0).cast("bigint"))
+
+
 def pile_table(tagged: DataFrame, label1: str = "file1", label2: str = "file2", reference: bool = False) -> DataFrame:
     """The pile table with the ids of both sources in joined, sorted cells.
 
@@ -170,9 +209,9 @@ def annotate(piles: DataFrame, index: DataFrame) -> DataFrame:
 
 def pile_summary(piles: DataFrame, label1: str, label2: str) -> DataFrame:
     """Rows per pile with percentage, all three piles present, and their total, per k."""
-    n = lambda name: F.count_if(F.col("pile") == name)
+    n = lambda name: _tally(piles, F.col("pile") == name)
     names = ["shared", f"only_{label1}", f"only_{label2}"]
-    counted = piles.groupBy("k").agg(F.count("*").alias("total"),
+    counted = piles.groupBy("k").agg(_tally(piles).alias("total"),
                                      *(n(name).alias(f"n{i}") for i, name in enumerate(names)))
     named = [*((name, F.col(f"n{i}")) for i, name in enumerate(names)), ("TOTAL", F.col("total"))]
     rows = F.array(*(F.struct(F.lit(name).alias("pile"), n.alias("n")) for name, n in named))
@@ -185,9 +224,9 @@ def category_summary(annotated: DataFrame) -> DataFrame:
 
     Categories of other labels are in the total only.
     """
-    agg = annotated.agg(F.count("*").alias("total"),
-                        F.count_if(~F.col("ref_match")).alias("novel"),
-                        *(F.count_if(F.col("category") == c).alias(f"n{i}") for i, c in enumerate(CATEGORY_ORDER)))
+    agg = annotated.agg(_tally(annotated).alias("total"),
+                        _tally(annotated, ~F.col("ref_match")).alias("novel"),
+                        *(_tally(annotated, F.col("category") == c).alias(f"n{i}") for i, c in enumerate(CATEGORY_ORDER)))
     named = [(c, F.col(f"n{i}")) for i, c in enumerate(CATEGORY_ORDER)]
     named += [("TOTAL", F.col("total")), ("NOVEL", F.col("novel"))]
     rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("category"), n.alias("n"))
@@ -199,7 +238,7 @@ def category_summary(annotated: DataFrame) -> DataFrame:
 def category_count_table(annotated: DataFrame) -> DataFrame:
     """K-mers per category file; null stands for a category without a file."""
     safe = F.translate("category", "|", "_")
-    agg = annotated.agg(*(F.count_if(safe == c).alias(f"n{i}") for i, c in enumerate(COUNT_TABLE_ORDER)))
+    agg = annotated.agg(*(_tally(annotated, safe == c).alias(f"n{i}") for i, c in enumerate(COUNT_TABLE_ORDER)))
     rows = F.array(*(F.struct(F.lit(c).alias("kmer_type"), F.nullif(F.col(f"n{i}"), F.lit(0)).alias("count"))
                      for i, c in enumerate(COUNT_TABLE_ORDER)))
     return agg.select(F.explode(rows).alias("r")).select("r.kmer_type", "r.count")
@@ -223,9 +262,9 @@ def load_figures() -> list[Column]:
 
 def unique_kmers(piles: DataFrame, label1: str, label2: str) -> DataFrame:
     """Unique k-mers of each source, and of both, per k."""
-    on1, on2 = F.col(f"{label1}_count") > 0, F.col(f"{label2}_count") > 0
-    return piles.groupBy("k").agg(F.count_if(on1).alias(f"{label1}_unique"), F.count_if(on2).alias(f"{label2}_unique"),
-                                  F.count_if(on1 & on2).alias("in_both"))
+    both, only = F.col("pile") == "shared", lambda label: F.col("pile") == f"only_{label}"
+    return piles.groupBy("k").agg(_tally(piles, both | only(label1)).alias(f"{label1}_unique"),
+                                  _tally(piles, both | only(label2)).alias(f"{label2}_unique"), _tally(piles, both).alias("in_both"))
 
 
 def load_metrics(records: DataFrame) -> DataFrame:

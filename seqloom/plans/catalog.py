@@ -31,10 +31,16 @@ def query(fn: Query) -> Query:
 
 # ---- k-mers ---------------------------------------------------------------
 
-def _document_windows(spark, sf_dir, ks, reference=False, skip_ambiguous=True):
+def _document_piles(spark, sf_dir, ks, *labels, reference=False, skip_ambiguous=True):
     sequences = km.keyed_sequences(tb.document_records(spark, sf_dir))
     ref = km.record_stream(tb.reference_records(spark, sf_dir)) if reference else None
-    return km.tagged_windows(sequences, ks, ref, skip_ambiguous)
+    return km.counted_piles(sequences, ks, *labels, reference=ref, skip_ambiguous=skip_ambiguous)
+
+
+def _turn_piles(spark, sf_dir, ks, *labels, reference=False):
+    sequences = km.keyed_sequences(tb.turn_records(spark, sf_dir, own_ids=True))
+    ref = km.record_stream(tb.reference_records(spark, sf_dir)) if reference else None
+    return km.counted_piles(sequences, ks, *labels, reference=ref)
 
 
 def _turn_windows(spark, sf_dir, ks, reference=False):
@@ -45,31 +51,27 @@ def _turn_windows(spark, sf_dir, ks, reference=False):
 
 @query
 def kmer_category_counts_k9(spark, sf_dir):
-    tagged = _document_windows(spark, sf_dir, [9], reference=True)
-    return km.category_summary(km.pile_counts_by_kmer(tagged, "short", "long", reference=True))
+    return km.category_summary(_document_piles(spark, sf_dir, [9], "short", "long", reference=True))
 
 
 @query
 def kmer_category_count_table_k9(spark, sf_dir):
-    tagged = _turn_windows(spark, sf_dir, [9], reference=True)
-    return km.category_count_table(km.pile_counts_by_kmer(tagged, "short", "long", reference=True))
+    return km.category_count_table(_turn_piles(spark, sf_dir, [9], "short", "long", reference=True))
 
 
 @query
 def kmer_pile_summary(spark, sf_dir):
-    tagged = _document_windows(spark, sf_dir, [8, 9, 10, 11])
-    return km.pile_summary(km.pile_counts_by_kmer(tagged), "file1", "file2")
+    return km.pile_summary(_document_piles(spark, sf_dir, [8, 9, 10, 11]), "file1", "file2")
 
 
 @query
 def kmer_unique_per_source(spark, sf_dir):
-    return km.unique_kmers(km.pile_counts_by_kmer(_turn_windows(spark, sf_dir, [8, 9])), "file1", "file2")
+    return km.unique_kmers(_turn_piles(spark, sf_dir, [8, 9]), "file1", "file2")
 
 
 @query
 def kmer_pile_summary_keep_ambiguous(spark, sf_dir):
-    tagged = _document_windows(spark, sf_dir, [9], skip_ambiguous=False)
-    return km.pile_summary(km.pile_counts_by_kmer(tagged), "file1", "file2")
+    return km.pile_summary(_document_piles(spark, sf_dir, [9], skip_ambiguous=False), "file1", "file2")
 
 
 @query
