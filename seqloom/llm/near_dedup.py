@@ -8,9 +8,12 @@ of A or none of B; at s = 0.85 that is missed with 2 * (1 - 0.85^4)^16 = 1.5e-5.
 A lower threshold takes more half-keys: at 0.8, 22 of them miss 1.9e-5.
 
 Half-keys that occur once are dropped before pairs are formed. The members of a
-table bucket are compared with the bucket's most connected member; where a
-bucket then still holds several components, its whole family is compared in
-blocks. All comparisons are exact, on full shingle sets.
+half-key are compared with its most connected member, if they share a table
+with it; half-keys whose members are one component then are settled, and so is
+every table that they are half of. The members of any other table bucket with
+several components are compared with the bucket's most connected member; where
+the buckets of one such member then still hold several components, their whole
+family is compared in blocks. All comparisons are exact, on full shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.graph import components
@@ -122,21 +125,41 @@ def signatures(docs: DataFrame, halves: int = HALVES) -> DataFrame:
         sign, "doc_id long, text_hash long, n_shingles long, node long, halves array<long>")
 
 
-def table_buckets(nodes: DataFrame, n_halves: int = HALVES) -> DataFrame:
-    """(bucket, hub, node) of all tables with more than one member; buckets with the same members once."""
+def shared_halves(nodes: DataFrame) -> DataFrame:
+    """(node, score, slot, half) of all half-keys with more than one member; a node's score counts the members it meets."""
     halves = store(nodes.select("node", F.posexplode("halves").alias("slot", "half")), "halves")
     shared = halves.groupBy("slot", "half").agg(F.count("*").alias("n")).where("n > 1")
     kept = halves.join(shared, ["slot", "half"]).groupBy("node").agg(
         F.collect_list(F.struct("slot", "half")).alias("h"), F.sum("n").alias("score"))  # at most 2 * n_halves
-    sides = kept.select("node", "score", F.filter("h", lambda x: x["slot"] < n_halves).alias("a"),
-                        F.filter("h", lambda x: x["slot"] >= n_halves).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
-    tables = store(sides.select("node", "score", F.explode("a").alias("a"), "b").select("node", "score", "a", F.explode("b").alias("b"))
-                   .select(F.xxhash64("a.slot", "a.half", "b.slot", "b.half").alias("bucket"), "node", "score"), "tables")
-    buckets = tables.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.max(F.struct("score", "node")).alias("hub"),
-        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    distinct = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", F.col("hub.node").alias("hub"))).alias("b")).select("b.*")
-    return tables.select("bucket", "node").join(distinct, "bucket").select("bucket", "hub", "node")
+    return kept.select("node", "score", F.explode("h").alias("h")).select("node", "score", "h.*")
+
+
+def half_stars(shared: DataFrame, n_halves: int = HALVES) -> DataFrame:
+    """(a, b) of nodes that share a table, where a is the most connected member of both half-keys."""
+    hubs = shared.groupBy("slot", "half").agg(F.max(F.struct("score", "node")).alias("hub"))
+    meets = shared.join(hubs, ["slot", "half"]).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "slot").where("a <> b")
+    return meets.groupBy("a", "b").agg(F.min("slot").alias("low"), F.max("slot").alias("high")).where(
+        (F.col("low") < n_halves) & (F.col("high") >= n_halves)).select("a", "b")
+
+
+def table_stars(shared: DataFrame, labels: DataFrame, n_halves: int = HALVES) -> DataFrame:
+    """(hub, node) of all tables whose members have more than one label; the hub, its most connected member, included.
+
+    Such a table's half-keys have more than one label each, so only those are
+    paired. A table's rows pass its hub on as they stand sorted; of the rows, at
+    most n_halves^2 a node, each task keeps one per pair.
+    """
+    labelled = store(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "halves")
+    open_halves = labelled.groupBy("slot", "half").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    sides = labelled.join(open_halves.select("slot", "half"), ["slot", "half"]).groupBy("node", "score", "label").agg(
+        F.collect_list(F.struct("slot", "half")).alias("h")).select(
+        "node", "score", "label", F.filter("h", lambda x: x["slot"] < n_halves).alias("a"), F.filter("h", lambda x: x["slot"] >= n_halves).alias("b"))
+    tables = (sides.where((F.size("a") > 0) & (F.size("b") > 0))
+              .select("node", "score", "label", F.explode("a").alias("a"), "b").select("node", "score", "label", "a", F.explode("b").alias("b"))
+              .select(F.xxhash64("a.slot", "a.half", "b.slot", "b.half").alias("bucket"), "node", "score", "label"))
+    of = Window.partitionBy("bucket")
+    return tables.select("node", F.max(F.struct("score", "node")).over(of).alias("hub"), F.min("label").over(of).alias("low"),
+                         F.max("label").over(of).alias("high")).where("low <> high").select(F.col("hub.node").alias("hub"), "node").distinct()
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -254,15 +277,22 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
 
 def link_labels(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of all nodes with links."""
-    buckets = store(table_buckets(nodes, halves_for(percent)), "buckets")
-    edges = store(buckets.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    near = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    sets = store(candidate_sets(docs, nodes.select("node", "rep").join(near, "node")), "sets")
-    links = store(verified(edges, sets, percent), "links")
+    halves = halves_for(percent)
+    shared = store(shared_halves(nodes), "shared")
+    stars = store(half_stars(shared, halves), "stars")
+    named = nodes.select("node", "rep")
+    near = lambda edges: edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    sets = store(candidate_sets(docs, named.join(near(stars), "node")), "sets")
+    links = store(verified(stars, sets, percent), "links")
+    labels = components(links)
+    met = store(table_stars(shared, labels, halves), "met")
+    edges = store(met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).join(stars, ["a", "b"], "left_anti"), "stars")
+    sets = sets.unionByName(store(candidate_sets(docs, named.join(near(edges).join(sets, "node", "left_anti"), "node")), "sets"))
+    links = links.union(store(verified(edges, sets, percent), "links"))
     labels = components(links)
-    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    undecided = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rest = store(labelled.join(undecided, "bucket"), "rest")
+    labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    undecided = labelled.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("hub")
+    rest = store(labelled.join(undecided, "hub"), "rest")
     families = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     members = (rest.select("node", "label").distinct().join(families.select("node", F.col("label").alias("family")), "node")
                .join(nodes.select("node", F.col("n_shingles").alias("n")), "node"))

@@ -90,6 +90,23 @@ def test_pipeline_links_from_80_percent(spark):
     assert near_dedup.halves_for(85) == near_dedup.HALVES and 2 * (1 - 0.8**4) ** near_dedup.halves_for(80) < 2e-5
 
 
+def test_near_copies_meet_without_a_row_for_each_table(spark, monkeypatch):
+    words, other = [f"w{i}" for i in range(400)], [f"v{i}" for i in range(300)]
+    texts = [" ".join(words[:i * 4] + ["new"] + words[i * 4 + 1:]) for i in range(40)] + [" ".join(words[:100] + other)]
+    stored, store = {}, near_dedup.store
+
+    def counted(df, name="table"):
+        out = store(df, name)
+        stored[name] = max(stored.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "store", counted)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = near_dedup.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 40 else 40 for i in range(41)}
+    assert max(stored.values()) <= 2 * near_dedup.halves_for(80) * len(rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
