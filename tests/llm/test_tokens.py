@@ -39,6 +39,17 @@ def test_memo_overflow_changes_nothing(monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(BYTES, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_known_words_are_not_encoded_again_with_signs(path, monkeypatch):
+    encoder, given, encode = Encoder(path), [], Encoder._encode
+    monkeypatch.setattr(Encoder, "_encode", lambda self, pieces: given.extend(pieces) or encode(self, pieces))
+    first, then = "so été Bar and Bar, foo.\nBar 7 foo", "so, Bar. été.\nBar. foo, and.\nBar, and, 7"
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all([first])] == [plain(path, first)]
+    before = len(given)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all([then])] == [plain(path, then)]
+    assert given[before:] == []
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
