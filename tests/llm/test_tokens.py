@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from functools import lru_cache
 
@@ -150,3 +151,33 @@ def test_nnls_solves_and_stays_positive():
         x = packing.nnls(a, b)
         gradient = a.T @ (a @ x - b)
         assert (x >= 0).all() and (gradient > -1e-6).all() and abs(gradient[x > 0]).max(initial=0) < 1e-6
+
+
+def test_new_words_are_merged_by_lines(monkeypatch):
+    """Asking the model for each new word by itself took most of the encoding's time."""
+    encoder = Encoder(BYTES)
+    text = " ".join(f"{a}{b}{c}" for a in ("thin", "Été", "on") for b in ("wher", "ß", "ti", "\xff") for c in ("ed", "an", "er,", "!?", "\n")) + " 漢 7 \xb5"
+    given = []
+
+    class Spy:
+        def __getattr__(self, name):
+            given.append(name)
+            return getattr(tokenizer_of(BYTES), name)
+
+    encoder._tokenizer = Spy()
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all([text, None, text])] == [plain(BYTES, text), [], plain(BYTES, text)]
+    assert "model" not in given
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_memory_of_new_words_is_bounded(path):
+    """A group's words and the remembered ones were held as Python objects."""
+    rng, encoder = random.Random(5), Encoder(path)
+    parts = ["an", "th", "er", "wh", "on", "ti", "ed", "in"]
+    texts = [" ".join("".join(rng.choices(parts, k=7)) for _ in range(5000)) for _ in range(40)]
+    tracemalloc.start()
+    for _ in encoder.encode_all(texts):
+        pass
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 16 << 20 and peak < 80 << 20
