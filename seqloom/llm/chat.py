@@ -29,6 +29,8 @@ from seqloom.llm.storage import store, text_batches
 SEGMENT_CHARS, KEY_TURNS = 1 << 18, 32
 #: Characters of each range of paths, and the most ranges.
 RANGE_CHARS, MAX_RANGES = 2 << 20, 1 << 14
+#: Bytes of a row group where rows are whole conversations or segments.
+GROUP_BYTES = 16 << 20
 
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 # Control strings of common chat templates are <s> </s> [INST] [/INST] <<SYS>> <</SYS>> besides our own <| |>.
@@ -142,7 +144,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str, segment_chars
     once more. A conversation is never cut. No conversations, no segments.
     """
     text_batches(conversations.sparkSession)
-    paths = store(conversation_paths(conversations), "paths")
+    paths = store(conversation_paths(conversations), "paths", GROUP_BYTES)
     keys = ["key", "id"]
     total = paths.agg(F.sum("w")).first()[0] or 0
     bounds = splitters(paths, keys, "w", min(MAX_RANGES, max(1, total // RANGE_CHARS)))
@@ -171,11 +173,12 @@ def format_conversations(conversations: DataFrame, tokenizer: str, segment_chars
 
 
 def read_conversations(segments: DataFrame) -> DataFrame:
-    """Every conversation's digests, read back from the segments alone."""
+    """Every conversation's digests, read back from the segments alone. Of
+    stored segments only the columns of the text and its tree are fetched."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["text", "node_parent", "node_start", "node_end", "loss_start", "loss_end", "conv_id", "leaf"]).to_pylist():
+            for row in batch.to_pylist():
                 text, parent = row["text"], row["node_parent"]
                 turns = [parse_turn(text[a:b]) for a, b in zip(row["node_start"], row["node_end"], strict=True)]
                 loss = [unescape(text[a:b]) if a >= 0 else None for a, b in zip(row["loss_start"], row["loss_end"], strict=True)]
@@ -203,4 +206,5 @@ def read_conversations(segments: DataFrame) -> DataFrame:
                                                  names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     text_batches(segments.sparkSession)
-    return segments.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    used = segments.select("text", "node_parent", "node_start", "node_end", "loss_start", "loss_end", "conv_id", "leaf")
+    return used.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import chat, mixing, near_dedup, toxicity
+from seqloom.llm import chat, mixing, near_dedup, queries, toxicity
 from seqloom.llm.encoding import vocabulary
 from seqloom.llm.graph import components
+from seqloom.llm.storage import store
 
 BYTES = vocabulary("byte_bpe_50k.json")
 
@@ -180,6 +182,35 @@ def test_shared_turns_stand_once_at_any_depth(spark):
     assert [len(r["node_parent"]) for r in segments.collect()] == [nodes]
 
 
+def test_segments_are_held_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    from pyarrow import parquet
+
+    stored = {}
+
+    def kept(df, name, *more):
+        stored[name] = store(df, name, *more)
+        return stored[name]
+
+    monkeypatch.setattr(chat, "GROUP_BYTES", 1 << 20, raising=False)
+    monkeypatch.setattr(chat, "store", kept)
+    monkeypatch.setattr(queries, "store", kept)
+    words = random.Random(3)
+    rows = [(c, k, ("user", "assistant")[k], "".join(words.choices("abcdefghij kl", k=40_000))) for c in range(60) for k in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    read = queries.op3_prefix_tree_chat(spark, str(tmp_path))
+    told = "</s>[INST] ok [/INST]"
+    expected = digests([*rows, (-7, 0, "user", told), (-7, 1, "assistant", told)])
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256"]
+    assert sorted((str(r["conv_id"]), *[r[n] for n in names]) for r in read.collect()) == expected
+    for name in ("paths", "segments"):
+        footers = [parquet.ParquetFile(f.removeprefix("file:")).metadata for f in stored[name].inputFiles()]
+        groups = [m.row_group(i) for m in footers for i in range(m.num_row_groups)]
+        assert sum(g.num_rows for g in groups) == stored[name].count()
+        assert all(g.num_rows == 1 or g.total_byte_size < 4 << 20 for g in groups)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "text" in plan and not any(c in plan for c in ("token_ids", "position_ids", "attention"))
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_conversations(chat.format_conversations(empty, BYTES)).count() == 0
